@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in every part file; an empty text stays apart from null."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header in every part file.
+
+    Values keep their outer spaces and quotes inside a value are doubled. A CSV reader
+    takes an empty text for null; Parquet keeps the two apart.
+    """
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

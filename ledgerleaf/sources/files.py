@@ -47,13 +47,16 @@ def read_csv_by_name(
     path: str | list[str],
     schema: T.StructType,
     missing: Sequence[str] = (),
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV whose columns are found by header name, in any order.
 
     Declared columns come first with their types, further ones follow as text.
-    Texts listed in ``missing`` become null.
+    Texts listed in ``missing`` become null. Quotes inside a quoted value are doubled.
+    Values with line breaks need ``multi_line``, which makes each file one task.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    raw = reader.option("escape", '"').option("multiLine", multi_line).csv(path)
     absent = [name for name in schema.names if name not in raw.columns]
     if absent:
         raise ValueError(f"columns missing from {path}: {', '.join(absent)}")
