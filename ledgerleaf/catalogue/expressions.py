@@ -112,8 +112,8 @@ def safe_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 def safe_compact_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "orders"), _RECORD).select(
         "record_id",
-        fn.parse_date(F.col("FLD_001"), "yyyyMMdd").alias("sttl_date"),
-        fn.parse_date(F.col("FLD_002"), "yyyyMMdd").alias("trn_date"),
+        fn.parse_compact_date(F.col("FLD_001")).alias("sttl_date"),
+        fn.parse_compact_date(F.col("FLD_002")).alias("trn_date"),
     )
 
 

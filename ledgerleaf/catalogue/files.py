@@ -31,7 +31,7 @@ from ledgerleaf.operators import (
     row_counts,
     table_log,
 )
-from ledgerleaf.plans.settlement import PARTITIONS, load_table, settlement_rows, with_decimals
+from ledgerleaf.plans.settlement import load_table, settlement_rows, with_decimals
 from ledgerleaf.schemas import (
     CARD_TRANSACTIONS,
     CUSTOMERS,
@@ -137,26 +137,20 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status[0].unionByName(status[1])
 
 
-def _complete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the complete deliveries only; the name list has one entry per delivery."""
+def xml_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness, records, projection, decimals, partitioned table.
+
+    The name list has one entry per delivery.
+    """
     status = completeness(spark, sf_dir)
     names = [row.FILE_NAME for row in status.filter("complete").collect()]
     parts = [xml_chunks(spark, folder, name=_name()) for folder in landing(spark, sf_dir)]
-    chunks = parts[0].unionByName(parts[1])
-    return xml_records(chunks.filter(F.col("FILE_NAME").isin(names)), SETTLEMENT_RECORD)
-
-
-def xml_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness, records, projection, decimals, partitioned table; loaded twice."""
-    rows = with_decimals(
-        settlement_rows(_complete_records(spark, sf_dir), F.lit(RUN_DATE)),
-    )
+    chunks = parts[0].unionByName(parts[1]).filter(F.col("FILE_NAME").isin(names))
+    rows = settlement_rows(xml_records(chunks, SETTLEMENT_RECORD), F.lit(RUN_DATE))
     path = work_dir(spark, "settlement")
-    name = "settlement_" + path.rsplit("-", 1)[-1]
-    names = [r.FILE_NAME for r in completeness(spark, sf_dir).filter("complete").collect()]
-    load_table(rows, name, names, path=path)
-    load_table(rows, name, names, path=path)
-    return spark.table(name)
+    loaded = "settlement_" + path.rsplit("-", 1)[-1]
+    load_table(with_decimals(rows), loaded, names, path=path)
+    return spark.table(loaded)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

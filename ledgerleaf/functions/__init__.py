@@ -2,6 +2,7 @@
 
 from ledgerleaf.functions.parsing import (
     local_time,
+    parse_compact_date,
     parse_compact_datetime,
     parse_date,
     parse_datetime,
@@ -42,6 +43,7 @@ __all__ = [
     "mask_tail",
     "name_part",
     "normalize_city",
+    "parse_compact_date",
     "parse_compact_datetime",
     "parse_date",
     "parse_datetime",

@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.parsing import parse_date
 from ledgerleaf.schemas import SETTLEMENT_PREFIX, SETTLEMENT_SUFFIX
 
 # Letters that have case; a title-case word is a run of these.
@@ -126,7 +127,7 @@ def is_settlement_name(c: Column) -> Column:
 
 def file_date(c: Column) -> Column:
     """The date after the eight-letter prefix of a settlement file name, or null."""
-    return F.try_to_date(F.substring(c, 9, 10), "yyyy-MM-dd")
+    return parse_date(F.substring(c, 9, 10))
 
 
 def clip_error(c: Column, length: int = 2000) -> Column:

@@ -67,8 +67,8 @@ def settlement_rows(records: DataFrame, run_date: Column, mask_cards: bool = Tru
         for number, name in enumerate(SETTLEMENT_TEXT_COLUMNS, start=4)
     ]
     rows = records.select(
-        fn.parse_date(F.col("FLD_001"), "yyyyMMdd").alias("STTL_DATE"),
-        fn.parse_date(F.col("FLD_002"), "yyyyMMdd").alias("TRN_DATE"),
+        fn.parse_compact_date(F.col("FLD_001")).alias("STTL_DATE"),
+        fn.parse_compact_date(F.col("FLD_002")).alias("TRN_DATE"),
         fn.parse_compact_datetime(F.col("FLD_002"), F.col("FLD_003")).alias("TRN_TIME"),
         *texts,
         "FILE_NAME",

@@ -17,6 +17,12 @@ from pyspark.sql import types as T
 from ledgerleaf.schemas import ROW_TAG
 
 
+def _file_name() -> Column:
+    """The file's own name: ``_metadata`` holds it with URL escapes (but a bare ``+``)."""
+    escaped = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(escaped)
+
+
 def xml_chunks(
     spark: SparkSession,
     paths: str | list[str],
@@ -28,7 +34,7 @@ def xml_chunks(
     ``name`` tells how to take the file's name from ``_metadata`` where a delivery
     is a folder of parts and not one file.
     """
-    name = F.col("_metadata.file_name") if name is None else name
+    name = _file_name() if name is None else name
     lines = spark.read.option("lineSep", f"</{row_tag}>").text(paths)
     return lines.select(name.alias("FILE_NAME"), F.col("value").alias("chunk"))
 
@@ -58,6 +64,6 @@ def read_xml(
     name: Column | None = None,
 ) -> DataFrame:
     """The same rows by the XML reader, one task per file."""
-    name = F.col("_metadata.file_name") if name is None else name
+    name = _file_name() if name is None else name
     rows = spark.read.schema(schema).option("rowTag", row_tag).xml(paths)
     return rows.select(name.alias("FILE_NAME"), *schema.names)
