@@ -60,8 +60,11 @@ _RECORD = {"source": SOURCE, **FIELDS}
 
 
 def _name() -> Column:
-    """A delivery is a folder of part files; the folder carries the file's name."""
-    return F.regexp_extract("_metadata.file_path", "source=([^/]+)/", 1)
+    """A delivery is a folder of part files; the folder carries the file's name.
+
+    As a partition column it is constant per file, and a filter on it skips folders.
+    """
+    return F.col("source")
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ from ledgerleaf.catalogue import oracle as sql
 from ledgerleaf.catalogue.registry import Query, query
 from ledgerleaf.catalogue.standins import BRONZE_CARDS_SQL, bronze_cards, bronze_customers
 from ledgerleaf.plans import gold, silver
+from ledgerleaf.schemas import CARD_KEYS, MERCHANT_KEYS
+from ledgerleaf.sinks import write_parquet
+from ledgerleaf.sources import read_parquet
+from ledgerleaf.workdir import work_dir
 
 
 def silver_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,35 +49,41 @@ def dim_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.dim_customer(silver_customer(spark, sf_dir))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, as the joins meet it in the gold job."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    write_parquet(df, path)
+    return read_parquet(spark, path)
+
+
 def join_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = gold.dim_customer(silver_customer(spark, sf_dir)).select(
-        "customer_id", "first_name", "customer_segment"
-    )
+    customer = _stored(dim_customer(spark, sf_dir), "dim_customer")
     facts = silver_card(spark, sf_dir).select("transaction_id", "customer_id")
-    return gold.with_customer(facts, customer)
+    joined = gold.with_customer(_stored(facts, "facts"), customer)
+    return joined.select("customer_id", "transaction_id", "first_name", "customer_segment")
 
 
 def join_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The card dimension by its three keys; ``in_dimension`` is null where none matches."""
-    cards = silver_card(spark, sf_dir)
-    marked = gold.dim_card(cards).withColumn("in_dimension", F.lit(True))
-    return gold.with_card(
-        cards.select("transaction_id", "card_number", "card_type", "iban"), marked
-    )
+    cards = silver_card(spark, sf_dir).select("transaction_id", *CARD_KEYS)
+    facts = _stored(cards, "facts")
+    dimension = _stored(gold.dim_card(facts), "dim_card")
+    return gold.with_card(facts, dimension.withColumn("in_dimension", F.lit(True)))
 
 
 def join_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merchant dimension by its four keys, some of which are null."""
-    cards = silver_card(spark, sf_dir)
-    marked = gold.dim_merchant(cards).withColumn("in_dimension", F.lit(True))
-    kept = ["transaction_id", "merchant_category", "city", "channel", "is_international"]
-    return gold.with_merchant(cards.select(*kept), marked)
+    cards = silver_card(spark, sf_dir).select("transaction_id", *MERCHANT_KEYS)
+    facts = _stored(cards, "facts")
+    dimension = _stored(gold.dim_merchant(facts), "dim_merchant")
+    return gold.with_merchant(facts, dimension.withColumn("in_dimension", F.lit(True)))
 
 
 def join_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = silver_card(spark, sf_dir)
-    facts = cards.select("transaction_id", "transaction_datetime")
-    return gold.with_date(facts, gold.dim_date(cards)).drop("date")
+    cards = silver_card(spark, sf_dir).select("transaction_id", "transaction_datetime")
+    facts = _stored(cards, "facts")
+    return gold.with_date(facts, _stored(gold.dim_date(facts), "dim_date")).drop("date")
 
 
 def join_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.parsing import parse_date
-from ledgerleaf.schemas import SETTLEMENT_PREFIX, SETTLEMENT_SUFFIX
+from ledgerleaf.schemas import (
+    GENDERS,
+    MARITAL_STATUSES,
+    SETTLEMENT_PREFIX,
+    SETTLEMENT_SUFFIX,
+    UNKNOWN,
+)
 
 # Letters that have case; a title-case word is a run of these.
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
@@ -107,17 +113,19 @@ def phone_valid(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\+994\d{9}$"), F.lit(False))
 
 
+def _label(key: Column, labels: dict[str, str]) -> Column:
+    pairs = [F.lit(text) for pair in labels.items() for text in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(UNKNOWN))
+
+
 def gender_label(c: Column) -> Column:
-    lowered = F.lower(c)
-    return (
-        F.when(lowered.startswith("m"), "Male")
-        .when(lowered.startswith("f"), "Female")
-        .otherwise("Unknown")
-    )
+    """By the first letter, in any case."""
+    return _label(F.lower(F.left(c, F.lit(1))), GENDERS)
 
 
 def marital_label(c: Column) -> Column:
-    return F.when(c.isin("Single", "Married"), c).otherwise("Unknown")
+    """The known statuses as they are, spelled exactly."""
+    return _label(c, MARITAL_STATUSES)
 
 
 def is_settlement_name(c: Column) -> Column:

@@ -34,41 +34,40 @@ def latest_per_key(df: DataFrame, key: str, latest: str) -> DataFrame:
 def lookup_join(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a dimension that has one row per key; null keys match nothing.
 
-    Rows fall into three parts, each with its own plan, so no key collects in one task:
-    rows of hot keys meet a broadcast of at most ``1 / HOT_SHARE`` dimension rows,
-    rows with a null key are filled without a join, and the others take Spark's choice
-    of join. Counting the keys costs one aggregation over the key columns, which runs
-    when this function is called.
+    No key collects in one task: rows of hot keys meet a broadcast of at most
+    ``1 / HOT_SHARE`` dimension rows, rows with a null key pass through the same join
+    unmatched, and all others take Spark's choice of join. To find the hot keys the
+    key columns are counted when this function is called, so both sides should be
+    stored tables or cheap to read. A dimension with several rows for a hot key is
+    refused, which keeps the bound.
     """
     keys = list(keys)
     unkeyed = reduce(or_, [F.col(name).isNull() for name in keys])
-    total, empty = facts.agg(F.count(F.lit(1)), F.count_if(unkeyed)).first()
     keyed = facts.filter(~unkeyed)
+    total, empty = facts.agg(F.count(F.lit(1)), F.count_if(unkeyed)).first()
     hot = (
         keyed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") > F.lit(total * HOT_SHARE))
         .collect()
     )
-    hot_rows = sum(row["rows"] for row in hot)
+    rest = total - empty - sum(row["rows"] for row in hot)
+    if not hot and not empty:
+        return facts.join(dimension, keys, "left")
 
-    parts = []
-    if hot:
-        spark = facts.sparkSession
-        hot_keys = spark.createDataFrame(
-            [tuple(row[name] for name in keys) for row in hot], keyed.select(*keys).schema
-        )
-        found = dimension.join(F.broadcast(hot_keys), keys, "left_semi")
-        lookup = hot_keys.join(F.broadcast(found), keys, "left")
-        parts.append(keyed.join(F.broadcast(lookup), keys))
-        keyed = keyed.join(F.broadcast(hot_keys), keys, "left_anti")
-    if hot_rows + empty < total or total == 0:
-        parts.append(keyed.join(dimension, keys, "left"))
-    if empty:
-        added = [
-            F.lit(None).cast(field.dataType).alias(field.name)
-            for field in dimension.schema.fields
-            if field.name not in keys
-        ]
-        parts.append(facts.filter(unkeyed).select("*", *added))
-    return reduce(DataFrame.unionByName, parts)
+    hot_keys = facts.sparkSession.createDataFrame(
+        [tuple(row[name] for name in keys) for row in hot], keyed.select(*keys).schema
+    )
+    found = dimension.join(F.broadcast(hot_keys), keys, "left_semi")
+    if found.count() > len(hot):
+        raise ValueError(f"the dimension has more than one row for some {', '.join(keys)}")
+    lookup = hot_keys.join(F.broadcast(found), keys, "left").withColumn("_hot", F.lit(True))
+    answered = facts.join(F.broadcast(lookup), keys, "left")
+    if not rest:
+        return answered.drop("_hot")
+    others = keyed.join(F.broadcast(hot_keys), keys, "left_anti")
+    return (
+        answered.filter(F.col("_hot") | unkeyed)
+        .drop("_hot")
+        .unionByName(others.join(dimension, keys, "left"))
+    )

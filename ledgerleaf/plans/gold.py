@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import latest_per_key, lookup_join
-from ledgerleaf.schemas import CARD_KEYS, MERCHANT_KEYS, RATE_SCHEMA, RATES
+from ledgerleaf.schemas import CARD_KEYS, FACT_COLUMNS, MERCHANT_KEYS, RATE_SCHEMA, RATES
 
 # A rate list up to this length is sent to every task; a longer one is joined as Spark
 # chooses.
@@ -64,30 +64,15 @@ def fact_card_transaction(
     with a broadcast lookup, without a shuffle.
     """
     moments = dim_date(transactions).withColumnRenamed("date", "transaction_datetime")
-    rate = dim_currency(transactions.sparkSession, rates)
+    in_manat = F.col("transaction_amount") * F.col("conversion_rate")
     return (
-        transactions.join(dim_customer(customers), "customer_id", "left")
-        .join(dim_card(transactions), CARD_KEYS, "left")
-        .join(dim_merchant(transactions), MERCHANT_KEYS, "left")
+        with_rate(transactions, dim_currency(transactions.sparkSession, rates))
         .join(moments, "transaction_datetime", "left")
-        .join(rate, F.col("currency") == F.col("currency_code"), "left")
-        .select(
-            "transaction_id",
-            "transaction_datetime",
-            "customer_id",
-            "card_number",
-            "card_type",
-            "iban",
-            "merchant_category",
-            "city",
-            "channel",
-            "is_international",
-            F.col("currency").alias("currency_code"),
-            "transaction_amount",
-            (F.col("transaction_amount") * F.col("conversion_rate")).alias("azn_ekv"),
-            "transaction_type",
-            "transaction_status",
-        )
+        .join(dim_merchant(transactions), MERCHANT_KEYS, "left")
+        .join(dim_card(transactions), CARD_KEYS, "left")
+        .join(dim_customer(customers), "customer_id", "left")
+        .withColumns({"azn_ekv": in_manat, "currency_code": F.col("currency")})
+        .select(*FACT_COLUMNS)
     )
 
 

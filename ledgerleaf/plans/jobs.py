@@ -61,8 +61,8 @@ def snapshot_jdbc(
     target: str,
     split_column: str | None = None,
     partitions: int = 32,
+    conditions: list[str] | None = None,
 ) -> None:
-    """A database table to Parquet, read in parallel ranges of ``split_column``."""
-    write_parquet(
-        read_jdbc_table(spark, url, table, properties, split_column, partitions), target
-    )
+    """A database table to Parquet, read in parallel parts."""
+    rows = read_jdbc_table(spark, url, table, properties, split_column, partitions, conditions)
+    write_parquet(rows, target)

@@ -136,15 +136,26 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
 
 
 def load_table(
-    rows: DataFrame, table: str, names: list[str], fmt: str = "parquet", path: str | None = None
+    rows: DataFrame,
+    table: str,
+    names: list[str],
+    fmt: str = "parquet",
+    path: str | None = None,
+    compact: bool = False,
 ) -> None:
     """Loads files into the table in place of what it holds of them.
 
     Partitions hold one file each, so replacing them cannot touch other files. Those
     of an earlier delivery of the same file go first, since the new one may cover
     fewer dates.
+
+    Read tasks write their own rows, without a shuffle: a task sees one file and few
+    dates. Where dates are scattered through the files, ``compact`` brings the rows of
+    a partition together first; ``rebalance`` splits a partition that is too large.
     """
     spark = rows.sparkSession
+    if compact:
+        rows = rows.hint("rebalance", *[F.col(name) for name in PARTITIONS])
     if spark.catalog.tableExists(table):
         earlier = F.col("FILE_NAME").isin(names)
         if fmt == "delta":

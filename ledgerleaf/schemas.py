@@ -6,42 +6,32 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
-# Bronze customers, in file order.
+
+def _text(*names: str) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType()) for name in names]
+
+
+# Bronze customer columns, in file order.
 CUSTOMERS = T.StructType(
     [
         T.StructField("customer_id", T.IntegerType()),
-        T.StructField("full_name", T.StringType()),
-        T.StructField("gender", T.StringType()),
-        T.StructField("birth_date", T.StringType()),
-        T.StructField("customer_fin", T.StringType()),
-        T.StructField("email", T.StringType()),
-        T.StructField("phone", T.StringType()),
-        T.StructField("address", T.StringType()),
-        T.StructField("registration_date", T.StringType()),
-        T.StructField("marital_status", T.StringType()),
-        T.StructField("education_level", T.StringType()),
-        T.StructField("customer_segment", T.StringType()),
+        *_text("full_name", "gender", "birth_date", "customer_fin", "email", "phone"),
+        *_text("address", "registration_date", "marital_status", "education_level"),
+        *_text("customer_segment"),
     ]
 )
 
-# Bronze card transactions. Columns are found by name, so the order in a file is free.
-# Card number and IBAN are text: as numbers they lose digits when a value is missing.
+# Bronze card-transaction columns. They are found by name, so the order in
+# a file is free. Card number and IBAN are text: as numbers they lose digits when a value
+# is missing.
 CARD_TRANSACTIONS = T.StructType(
     [
-        T.StructField("transaction_id", T.StringType()),
+        *_text("transaction_id"),
         T.StructField("customer_id", T.IntegerType()),
-        T.StructField("card_number", T.StringType()),
-        T.StructField("iban", T.StringType()),
-        T.StructField("transaction_datetime", T.StringType()),
+        *_text("card_number", "iban", "transaction_datetime"),
         T.StructField("transaction_amount", T.DecimalType(18, 2)),
-        T.StructField("currency", T.StringType()),
-        T.StructField("card_type", T.StringType()),
-        T.StructField("transaction_type", T.StringType()),
-        T.StructField("merchant_category", T.StringType()),
-        T.StructField("transaction_status", T.StringType()),
-        T.StructField("channel", T.StringType()),
-        T.StructField("city", T.StringType()),
-        T.StructField("is_international", T.StringType()),
+        *_text("currency", "card_type", "transaction_type", "merchant_category"),
+        *_text("transaction_status", "channel", "city", "is_international"),
     ]
 )
 
@@ -57,6 +47,30 @@ TITLE_CASED = [
 CARD_KEYS = ["card_number", "card_type", "iban"]
 MERCHANT_KEYS = ["merchant_category", "city", "channel", "is_international"]
 
+# The fact's columns, in order.
+FACT_COLUMNS = [
+    "transaction_id",
+    "transaction_datetime",
+    "customer_id",
+    "card_number",
+    "card_type",
+    "iban",
+    "merchant_category",
+    "city",
+    "channel",
+    "is_international",
+    "currency_code",
+    "transaction_amount",
+    "azn_ekv",
+    "transaction_type",
+    "transaction_status",
+]
+
+# First letter of a gender, marital statuses, and the label of all others.
+GENDERS = {"m": "Male", "f": "Female"}
+MARITAL_STATUSES = {"Single": "Single", "Married": "Married"}
+UNKNOWN = "Unknown"
+
 # Rate of each currency to the manat.
 RATES = {"AZN": Decimal("1.0000"), "USD": Decimal("1.7000"), "EUR": Decimal("1.8500")}
 
@@ -109,7 +123,7 @@ SETTLEMENT_TEXT_COLUMNS = [
 
 SETTLEMENT_DECIMALS = ["AMOUNT", "ACQ_FEE", "ISS_FEE"]
 
-# Row counts are bigint, since a count column must hold any file.
+# Columns of the log and audit tables. Row counts are bigint, to hold any file.
 LOAD_LOG_COLUMNS = [
     "FILE_NAME",
     "PARSE_STATUS",

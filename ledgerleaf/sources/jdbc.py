@@ -24,12 +24,17 @@ def read_jdbc_table(
     properties: dict[str, str],
     split_column: str | None = None,
     partitions: int = 32,
+    conditions: list[str] | None = None,
 ) -> DataFrame:
     """A table; with ``split_column`` (number, date or timestamp) in parallel ranges.
 
     The ranges span the column's minimum and maximum, which the database computes.
-    Rows where it is null fall into the first range, so none are lost.
+    Rows where it is null fall into the first range, so none are lost. For a column
+    whose values crowd in one range, ``conditions`` gives the parts as SQL conditions
+    instead; every row must meet exactly one.
     """
+    if conditions:
+        return spark.read.jdbc(url, table, predicates=conditions, properties=properties)
     if split_column is None:
         return spark.read.jdbc(url, table, properties=properties)
     bounds_sql = f"select min({split_column}) as lo, max({split_column}) as hi from {table}"

@@ -31,8 +31,8 @@ def xml_chunks(
 ) -> DataFrame:
     """Columns FILE_NAME and chunk.
 
-    ``name`` tells how to take the file's name from ``_metadata`` where a delivery
-    is a folder of parts and not one file.
+    ``name`` gives the file's name where a delivery is a folder of parts and not one
+    file: a partition column of the read, or an expression on ``_metadata``.
     """
     name = _file_name() if name is None else name
     lines = spark.read.option("lineSep", f"</{row_tag}>").text(paths)

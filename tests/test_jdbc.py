@@ -1,11 +1,12 @@
 """JDBC calls without a database: what Spark's reader and writer are asked for."""
 
+from datetime import date
 from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import Row
 
-from ledgerleaf.plans import settlement
+from ledgerleaf.plans import jobs, settlement
 from ledgerleaf.plans.settlement import JdbcTarget, load_jdbc
 from ledgerleaf.sinks import append_jdbc
 from ledgerleaf.sources import count_by_file_sql, read_jdbc_query, read_jdbc_table
@@ -46,6 +47,21 @@ def test_table_is_read_in_ranges(monkeypatch):
     )
 
 
+def test_table_is_read_by_conditions():
+    spark = MagicMock()
+    read_jdbc_table(spark, URL, "t", PROPERTIES, conditions=["a < 1", "a >= 1"])
+    spark.read.jdbc.assert_called_once_with(
+        URL, "t", predicates=["a < 1", "a >= 1"], properties=PROPERTIES
+    )
+
+
+def test_snapshot_writes_what_was_read(spark, monkeypatch, tmp_path):
+    rows = spark.range(10)
+    monkeypatch.setattr(jobs, "read_jdbc_table", lambda *_: rows)
+    jobs.snapshot_jdbc(spark, URL, "t", PROPERTIES, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
 def test_append_limits_connections_and_keeps_the_table():
     df = MagicMock()
     append_jdbc(df, URL, "t", PROPERTIES, connections=3)
@@ -73,8 +89,7 @@ def test_only_new_files_are_appended(spark, monkeypatch, held, appended):
     monkeypatch.setattr(settlement, "read_jdbc_query", lambda *_: counts)
     monkeypatch.setattr(settlement, "append_jdbc", lambda df, *_: written.extend(df.collect()))
     rows = spark.createDataFrame([("a",), ("b",)], "FILE_NAME string")
-    day = __import__("datetime").date(2024, 1, 1)
-    good = [Row(FILE_NAME=name, FILE_DATE=day) for name in "ab"]
+    good = [Row(FILE_NAME=name, FILE_DATE=date(2024, 1, 1)) for name in "ab"]
     load_jdbc(rows, JdbcTarget(URL, "t", PROPERTIES), good)
     assert len(written) == appended
 

@@ -57,6 +57,13 @@ def test_lookup_join_keeps_hot_and_null_keys_out_of_the_shuffle(spark):
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "BroadcastHashJoin" in plan
 
 
+def test_lookup_join_refuses_a_dimension_with_repeated_keys(spark):
+    facts = spark.createDataFrame([(1,), (1,)], "k int")
+    dim = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="more than one row"):
+        op.lookup_join(facts, dim, ["k"])
+
+
 def test_latest_per_key_has_a_stated_rule(spark):
     df = spark.createDataFrame(
         [
