@@ -21,16 +21,20 @@ def is_complete(lines: DataFrame, column: str, root_tag: str = ROOT_TAG) -> bool
 def file_status(
     chunks: DataFrame, root_tag: str = ROOT_TAG, row_tag: str = ROW_TAG
 ) -> DataFrame:
-    """Per file: does its text close the root, records found, opening row tags.
+    """Per file: does its text close the root, records found, may it be cut at row tags.
 
-    One pass over the text for all files; each task sends one row per file. Where
-    ``records`` and ``openings`` differ the file cannot be cut at its closing tags.
+    One pass over the text for all files; each task sends one row per file. A file must
+    not be cut where opening tags and records differ in number, or where a comment or a
+    CDATA section could hold a tag as text.
     """
     chunk = F.col("chunk")
+    records = F.count_if(has_record(chunk, row_tag))
+    openings = F.sum(F.regexp_count(chunk, F.lit(rf"<{row_tag}[\s/>]")))
+    hidden = F.bool_or(chunk.contains("<!--") | chunk.contains("<![CDATA["))
     return chunks.groupBy("FILE_NAME").agg(
         F.bool_or(closes_root(chunk, root_tag)).alias("complete"),
-        F.count_if(has_record(chunk, row_tag)).alias("records"),
-        F.sum(F.regexp_count(chunk, F.lit(rf"<{row_tag}[\s/>]"))).alias("openings"),
+        records.alias("records"),
+        ((records == openings) & ~hidden).alias("cuttable"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import functions as fn
-from ledgerleaf.operators import daily_audit, file_status, load_log, row_counts, table_log
+from ledgerleaf.operators import daily_audit, file_status, load_log, table_log
 from ledgerleaf.schemas import (
     SETTLEMENT_DECIMALS,
     SETTLEMENT_RECORD,
@@ -98,7 +98,7 @@ def settlement_records(
 
 
 def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
-    """One row per path: FILE_NAME, FILE_DATE, complete, records, openings, error.
+    """One row per path: path, FILE_NAME, FILE_DATE, records, cuttable, error.
 
     The text of all readable files is scanned in one job, which returns one row for
     each path of the list.
@@ -114,7 +114,7 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
         [(path, base_name(path), unreadable.get(path)) for path in paths],
         "path string, FILE_NAME string, problem string",
     )
-    blank = "FILE_NAME string, complete boolean, records bigint, openings bigint"
+    blank = "FILE_NAME string, complete boolean, records bigint, cuttable boolean"
     status = (
         file_status(xml_chunks(spark, readable))
         if readable
@@ -130,7 +130,7 @@ def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
         )
     )
     checked = listing.join(status, "FILE_NAME", "left").select(
-        "path", "FILE_NAME", day.alias("FILE_DATE"), "records", "openings", error.alias("error")
+        "path", "FILE_NAME", day.alias("FILE_DATE"), "records", "cuttable", error.alias("error")
     )
     return checked.collect()
 
@@ -198,44 +198,52 @@ def load_settlement(
     run = F.current_date() if run_date is None else F.lit(run_date)
     checked = inspect_files(spark, files)
     good = [row for row in checked if row.error is None]
-    errors = {row.FILE_NAME: row.error for row in checked}
+    table_errors = {row.FILE_NAME: row.error for row in checked if row.error is not None}
+    jdbc_errors = dict(table_errors)
+    source_counts = {row.FILE_NAME: row.records for row in good}
     table_counts: dict[str, int] = {}
     jdbc_counts: dict[str, int] = {}
 
     if good:
         good_names = [row.FILE_NAME for row in good]
-        records = settlement_records(
-            spark,
-            [row.path for row in good if row.openings == row.records],
-            [row.path for row in good if row.openings != row.records],
+        whole = [row.path for row in good if not row.cuttable]
+        rows = settlement_rows(
+            settlement_records(spark, [row.path for row in good if row.cuttable], whole),
+            run,
+            mask_cards,
         )
-        rows = settlement_rows(records, run, mask_cards)
         if jdbc is not None:
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        step = table_errors
         try:
+            if whole:
+                source_counts |= _counts(read_xml(spark, whole, SETTLEMENT_RECORD))
             load_table(with_decimals(rows), table, good_names, fmt, path)
             loaded = spark.table(table).filter(F.col("FILE_NAME").isin(good_names))
-            table_counts = {r.FILE_NAME: r.ROW_CNT for r in row_counts(loaded).collect()}
+            table_counts = _counts(loaded)
+            step = jdbc_errors
             if jdbc is not None:
                 jdbc_counts = load_jdbc(rows, jdbc, good)
         except Exception as problem:  # noqa: BLE001 - every file of the batch gets its log row
-            for name in good_names:
-                errors[name] = str(problem)
+            step.update(dict.fromkeys(good_names, str(problem)))
         finally:
             rows.unpersist()
 
-    outcome = _outcome(spark, checked, table_counts, errors)
     ended = datetime.now(UTC)
-    write_log("load_log", load_log(outcome, started, ended, ended, names.job_name))
-    write_log("table_log", table_log(outcome, table, started, ended, names.dag_id, names.task_id))
-    write_log("daily_audit", daily_audit(outcome, table, names.task_id))
+    errors = jdbc_errors | table_errors
+    tabled = _outcome(spark, checked, source_counts, table_counts, table_errors)
+    total = _outcome(spark, checked, source_counts, table_counts, errors)
+    write_log("load_log", load_log(total, started, ended, ended, names.job_name))
+    write_log("table_log", table_log(tabled, table, started, ended, names.dag_id, names.task_id))
+    write_log("daily_audit", daily_audit(tabled, table, names.task_id))
     if jdbc is not None:
-        copied = _outcome(spark, checked, jdbc_counts, errors)
+        copied = _outcome(spark, checked, source_counts, jdbc_counts, errors)
         write_log("daily_audit", daily_audit(copied, jdbc.table, names.task_id))
-    failed = sorted(name for name, problem in errors.items() if problem is not None)
-    if failed:
-        raise LoadFailed(f"{len(failed)} of {len(files)} files failed: {', '.join(failed)}")
-    return outcome
+    if errors:
+        raise LoadFailed(
+            f"{len(errors)} of {len(files)} files failed: {', '.join(sorted(errors))}"
+        )
+    return total
 
 
 def load_jdbc(rows: DataFrame, target: JdbcTarget, good: list[Row]) -> dict[str, int]:
@@ -258,18 +266,26 @@ def load_jdbc(rows: DataFrame, target: JdbcTarget, good: list[Row]) -> dict[str,
     return held()
 
 
+def _counts(rows: DataFrame) -> dict[str, int]:
+    """Rows by file; one entry per file of the list that is being loaded."""
+    counted = rows.groupBy("FILE_NAME").agg(F.count(F.lit(1)).alias("n"))
+    return {row.FILE_NAME: row.n for row in counted.collect()}
+
+
 def _outcome(
-    spark: SparkSession, checked: list[Row], counts: dict[str, int], errors: dict[str, str]
+    spark: SparkSession,
+    checked: list[Row],
+    source_counts: dict[str, int],
+    target_counts: dict[str, int],
+    errors: dict[str, str],
 ) -> DataFrame:
     """Source count against target count for each checked file, and its error if it has one.
 
     A file without records is in agreement with a target that holds none of it.
     """
     rows = []
-    for row in checked:
-        source, target = row.records or 0, counts.get(row.FILE_NAME, 0)
+    for name, day in ((row.FILE_NAME, row.FILE_DATE) for row in checked):
+        source, target = source_counts.get(name, 0), target_counts.get(name, 0)
         state = "success" if source == target else "fail"
-        rows.append(
-            (row.FILE_NAME, row.FILE_DATE, source, target, state, errors[row.FILE_NAME])
-        )
+        rows.append((name, day, source, target, state, errors.get(name)))
     return spark.createDataFrame(rows, OUTCOME)

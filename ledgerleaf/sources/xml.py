@@ -2,10 +2,10 @@
 
 ``xml_chunks`` reads files as text cut after each closing row tag. Spark splits such
 a read at any size, so one huge file is many tasks; ``read_xml`` needs one task per
-file. The cut form assumes that row tags do not nest, do not close themselves and
-have no space in the closing tag. ``operators.quality.file_status`` counts opening
-tags against records per file, so a file that breaks this is noticed and can go
-through ``read_xml``.
+file. The cut form assumes that row tags do not nest, do not close themselves, have no
+space in the closing tag and do not occur in comments or CDATA sections.
+``operators.quality.file_status`` tells per file whether that holds; a file where it
+does not goes through ``read_xml``.
 """
 
 from __future__ import annotations

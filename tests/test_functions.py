@@ -1,5 +1,6 @@
 """Every expression on literal rows, edge rows included."""
 
+import unicodedata
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -155,6 +156,14 @@ def test_title_case_equals_python(spark, texts):
     assert apply(spark, fn.title_case, texts) == [text.title() for text in texts]
 
 
+def test_accented_latin_folds_to_its_base_letter(spark):
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    bases = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    expected = [b for c, b in bases.items() if b.isascii()]
+    folded = apply(spark, fn.ascii_fold, [c for c, b in bases.items() if b.isascii()])
+    assert folded == expected and len(expected) > 350
+
+
 def test_clip_error_keeps_head_and_tail(spark):
     long, short = "a" * 3000 + "b" * 3000, "x" * 3999
     assert apply(spark, fn.clip_error, [long, short, None]) == [

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import file_status, is_complete
 from ledgerleaf.plans import settlement
-from ledgerleaf.plans.settlement import LoadFailed, LogNames, load_settlement
+from ledgerleaf.plans.settlement import JdbcTarget, LoadFailed, LogNames, load_settlement
 from ledgerleaf.schemas import SETTLEMENT_RECORD
+from ledgerleaf.sinks import append_table
 from ledgerleaf.sources import read_xml, select_settlement_files, xml_chunks, xml_records
 
 NAMES = LogNames("JOB", "dag", "task")
@@ -67,7 +68,7 @@ def test_cut_read_equals_whole_file_read_at_any_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert cut == Counter(map(tuple, whole.collect())) and cut.total() == 2000
-    assert (status.complete, status.records, status.openings) == (True, 2000, 2000)
+    assert (status.complete, status.records, status.cuttable) == (True, 2000, True)
 
 
 def test_completeness_of_one_file(spark, tmp_path):
@@ -138,12 +139,75 @@ def test_repeated_load_changes_nothing_and_a_shorter_delivery_replaces(spark, tm
     )
 
 
-def test_a_file_that_cannot_be_cut_is_read_whole(spark, tmp_path, table):
-    path = deliver(tmp_path, "PERTRANS2024-01-01.xml", "<TRN/>\n", record(1), record(2))
+UNCUTTABLE = {
+    "closes itself": ("<TRN/>\n", 3),
+    "space in the closing tag": (record(7).replace("</TRN>", "</TRN >"), 3),
+    "comment": ("<!-- <TRN> </TRN> -->", 2),
+    "cdata": ("<TRN><FLD_004>5</FLD_004><FLD_020><![CDATA[</TRN>]]></FLD_020></TRN>", 3),
+}
+
+
+@pytest.mark.parametrize("case", UNCUTTABLE)
+def test_a_file_that_cannot_be_cut_is_read_whole(spark, tmp_path, table, case):
+    text, expected = UNCUTTABLE[case]
+    path = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1), text, record(2))
     (row,) = settlement.inspect_files(spark, [path])
-    assert (row.records, row.openings) == (2, 3)
-    load_settlement(spark, [path], table, NAMES, Logs(), RUN)
-    assert spark.table(table).count() == 3
+    assert not row.cuttable and row.error is None
+    outcome = load_settlement(spark, [path], table, NAMES, Logs(), RUN).first()
+    assert spark.table(table).count() == expected
+    assert (outcome.source_count, outcome.count_state) == (expected, "success")
+
+
+def test_logs_can_go_to_tables(spark, tmp_path, table):
+    path = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1))
+    for _ in range(2):
+        load_settlement(
+            spark, path, table, NAMES, lambda n, rows: append_table(rows, f"{table}_{n}", []), RUN
+        )
+    for name in ("load_log", "table_log", "daily_audit"):
+        assert spark.table(f"{table}_{name}").count() == 2
+        spark.sql(f"DROP TABLE {table}_{name}")
+
+
+@pytest.fixture
+def database(spark, monkeypatch):
+    """Stands in for the database: rows appended, and their counts by file."""
+    held = []
+
+    def counts(*_):
+        found = Counter(row.FILE_NAME for row in held)
+        return spark.createDataFrame(list(found.items()), "FILE_NAME string, ROW_CNT bigint")
+
+    monkeypatch.setattr(settlement, "append_jdbc", lambda df, *_: held.extend(df.collect()))
+    monkeypatch.setattr(settlement, "read_jdbc_query", counts)
+    return held
+
+
+def test_copy_to_a_database(spark, tmp_path, table, database):
+    one = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1), record(2, amount="1,5"))
+    two = deliver(tmp_path, "PERTRANS2024-01-02.xml", record(3))
+    target, logs = JdbcTarget("jdbc:x", "copy", {}), Logs()
+    load_settlement(spark, [one], table, NAMES, logs, RUN, jdbc=target)
+    load_settlement(spark, [one, two], table, NAMES, logs, RUN, jdbc=target)
+    assert Counter(row.AMOUNT for row in database) == Counter(["12.50", "1,5", "12.50"])
+    audit = [r for r in logs.rows["daily_audit"] if r.target_name == "copy"]
+    assert [r.count_state for r in audit] == ["success"] * 3
+
+
+def test_a_failed_copy_leaves_the_table_log_right(spark, tmp_path, table, database, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("no connection")
+
+    monkeypatch.setattr(settlement, "append_jdbc", fail)
+    one, logs = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1)), Logs()
+    with pytest.raises(LoadFailed):
+        load_settlement(
+            spark, [one], table, NAMES, logs, RUN, jdbc=JdbcTarget("jdbc:x", "copy", {})
+        )
+    assert logs.rows["load_log"][0].ERROR_DESC == "no connection"
+    assert logs.rows["table_log"][0].hms_count == 1
+    states = {r.target_name: r.count_state for r in logs.rows["daily_audit"]}
+    assert states == {table: "success", "copy": None}
 
 
 def test_target_count_prunes_to_the_files_partitions(spark, tmp_path, table):
