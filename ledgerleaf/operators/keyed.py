@@ -9,8 +9,10 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.workdir import work_dir
+
 # A key with more than this share of the rows is joined apart from the others. There
-# are fewer than 1 / HOT_SHARE such keys, which bounds what is collected and broadcast.
+# are fewer than 1 / HOT_SHARE such keys, which bounds what is broadcast.
 HOT_SHARE = 1 / 10_000
 
 
@@ -38,32 +40,33 @@ def lookup_join(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) ->
     ``1 / HOT_SHARE`` dimension rows, rows with a null key pass through the same join
     unmatched, and all others take Spark's choice of join. To find the hot keys the
     key columns are counted when this function is called, so both sides should be
-    stored tables or cheap to read. A dimension with several rows for a hot key is
-    refused, which keeps the bound.
+    stored tables or cheap to read; the hot keys are kept as a table in the shared
+    folder. A dimension with several rows for a hot key is refused, which keeps the
+    bound.
     """
-    keys = list(keys)
+    spark, keys = facts.sparkSession, list(keys)
     unkeyed = reduce(or_, [F.col(name).isNull() for name in keys])
     keyed = facts.filter(~unkeyed)
     total, empty = facts.agg(F.count(F.lit(1)), F.count_if(unkeyed)).first()
-    hot = (
+    frequent = (
         keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > F.lit(total * HOT_SHARE))
-        .collect()
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > F.lit(total * HOT_SHARE))
     )
-    rest = total - empty - sum(row["rows"] for row in hot)
+    path = work_dir(spark, "hot-keys")
+    frequent.write.parquet(path)
+    counted = spark.read.parquet(path)
+    hot, hot_rows = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     if not hot and not empty:
         return facts.join(dimension, keys, "left")
 
-    hot_keys = facts.sparkSession.createDataFrame(
-        [tuple(row[name] for name in keys) for row in hot], keyed.select(*keys).schema
-    )
+    hot_keys = counted.select(*keys)
     found = dimension.join(F.broadcast(hot_keys), keys, "left_semi")
-    if found.count() > len(hot):
+    if found.count() > hot:
         raise ValueError(f"the dimension has more than one row for some {', '.join(keys)}")
     lookup = hot_keys.join(F.broadcast(found), keys, "left").withColumn("_hot", F.lit(True))
     answered = facts.join(F.broadcast(lookup), keys, "left")
-    if not rest:
+    if total == empty + hot_rows:
         return answered.drop("_hot")
     others = keyed.join(F.broadcast(hot_keys), keys, "left_anti")
     return (

@@ -15,7 +15,7 @@ def rows(df):
 
 
 relaxed = settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 key = st.one_of(st.none(), st.integers(0, 8), st.just(3))
 
