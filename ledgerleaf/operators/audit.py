@@ -5,18 +5,20 @@ Start and end are UTC wall-clock times; the rows hold them in the bank's zone.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerleaf.functions import clip_error, local_time
 from ledgerleaf.schemas import DAILY_AUDIT_COLUMNS, LOAD_LOG_COLUMNS, TABLE_LOG_COLUMNS
 
 
 def _local(moment: datetime) -> Column:
-    return local_time(F.lit(moment.replace(tzinfo=None)).cast(T.TimestampNTZType()))
+    """As text first: a datetime literal would pass through the session's zone."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(UTC).replace(tzinfo=None)
+    return local_time(F.lit(moment.isoformat(" ")).cast("timestamp_ntz"))
 
 
 def load_log(

@@ -14,8 +14,9 @@ from ledgerleaf import functions as fn
 
 def apply(spark, function, values, kind="string"):
     rows = [(i, value) for i, value in enumerate(values)]
-    df = spark.createDataFrame(rows, f"i int, c {kind}").select("i", function(F.col("c")).alias("r"))
-    return [row.r for row in df.orderBy("i").collect()]
+    df = spark.createDataFrame(rows, f"i int, c {kind}")
+    found = df.select("i", function(F.col("c")).alias("r")).orderBy("i").collect()
+    return [row.r for row in found]
 
 
 CASES = {

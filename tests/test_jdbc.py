@@ -72,9 +72,9 @@ def test_append_limits_connections_and_keeps_the_table():
 
 
 def test_count_text_runs_as_sql(spark):
-    spark.createDataFrame(
-        [("a", "2024-01-01"), ("a", "2024-01-01"), ("b", "2024-01-02")], "FILE_NAME string, d string"
-    ).selectExpr("FILE_NAME", "cast(d as date) AS FILE_DATE").createOrReplaceTempView("counted")
+    rows = [("a", date(2024, 1, 1)), ("a", date(2024, 1, 1)), ("b", date(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "FILE_NAME string, FILE_DATE date")
+    df.createOrReplaceTempView("counted")
     found = spark.sql(count_by_file_sql("counted", ["2024-01-01"])).collect()
     assert [(r.FILE_NAME, r.ROW_CNT) for r in found] == [("a", 2)]
     assert spark.sql(count_by_file_sql("counted")).count() == 2

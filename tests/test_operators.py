@@ -1,5 +1,5 @@
 from collections import Counter
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -23,7 +23,8 @@ key = st.one_of(st.none(), st.integers(0, 8), st.just(3))
 @relaxed
 @given(st.lists(st.tuples(key, st.sampled_from(["a", "b", None])), max_size=60))
 def test_lookup_join_equals_a_plain_left_join(spark, facts):
-    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(facts)], "i int, k int, t string")
+    numbered = [(i, k, t) for i, (k, t) in enumerate(facts)]
+    df = spark.createDataFrame(numbered, "i int, k int, t string")
     dim = spark.createDataFrame(
         [(k, t, k * 10) for k in range(6) for t in "ab"], "k int, t string, v int"
     )
@@ -134,6 +135,16 @@ def test_load_log(outcome):
     assert len(bad.ERROR_DESC) == 4000
 
 
+def test_log_times_do_not_depend_on_the_session_zone(spark, outcome):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = op.load_log(outcome, AT, AT, AT.replace(tzinfo=UTC), "JOB").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert row.START_DT == row.INSERT_DATE == datetime(2024, 1, 1, 1, 0)
+
+
 def test_table_log_and_daily_audit(outcome):
     log = op.table_log(outcome, "t", AT, AT, "dag", "task")
     assert log.columns[0] == "report_date" and [r.source_table_name for r in log.collect()] == ["a"]
