@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.workdir import work_dir
 
-# A key with more than this share of the rows is joined apart from the others. There
-# are fewer than 1 / HOT_SHARE such keys, which bounds what is broadcast.
-HOT_SHARE = 1 / 10_000
+# Most dimension rows that are broadcast. A key is hot if it holds more than one part in
+# this many of the rows, so there are fewer hot keys than this.
+BROADCAST_ROWS = 10_000
 
 
 def split_null_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -36,22 +36,30 @@ def latest_per_key(df: DataFrame, key: str, latest: str) -> DataFrame:
 def lookup_join(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join to a dimension that has one row per key; null keys match nothing.
 
-    No key collects in one task: rows of hot keys meet a broadcast of at most
-    ``1 / HOT_SHARE`` dimension rows, rows with a null key pass through the same join
-    unmatched, and all others take Spark's choice of join. To find the hot keys the
-    key columns are counted when this function is called, so both sides should be
-    stored tables or cheap to read; the hot keys are kept as a table in the shared
-    folder. A dimension with several rows for a hot key is refused, which keeps the
-    bound.
+    A dimension that repeats a key is refused, since it would multiply facts. One of at
+    most ``BROADCAST_ROWS`` rows is broadcast. For a larger one no key may collect in
+    one task: rows of hot keys meet a broadcast of the hot keys' dimension rows, rows
+    with a null key pass through the same join unmatched, and all others take Spark's
+    choice of join.
+
+    Sizes and hot keys are counted when this function is called, so both sides should
+    be stored tables or cheap to read. The hot keys are kept as a table in the shared
+    folder.
     """
     spark, keys = facts.sparkSession, list(keys)
+    repeated = dimension.dropna(subset=keys).groupBy(*keys).count().filter("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"the dimension has more than one row for some {', '.join(keys)}")
+    if dimension.count() <= BROADCAST_ROWS:
+        return facts.join(F.broadcast(dimension), keys, "left")
+
     unkeyed = reduce(or_, [F.col(name).isNull() for name in keys])
     keyed = facts.filter(~unkeyed)
     total, empty = facts.agg(F.count(F.lit(1)), F.count_if(unkeyed)).first()
     frequent = (
         keyed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > F.lit(total * HOT_SHARE))
+        .filter(F.col("_rows") > F.lit(total / BROADCAST_ROWS))
     )
     path = work_dir(spark, "hot-keys")
     frequent.write.parquet(path)
@@ -62,8 +70,6 @@ def lookup_join(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) ->
 
     hot_keys = counted.select(*keys)
     found = dimension.join(F.broadcast(hot_keys), keys, "left_semi")
-    if found.count() > hot:
-        raise ValueError(f"the dimension has more than one row for some {', '.join(keys)}")
     lookup = hot_keys.join(F.broadcast(found), keys, "left").withColumn("_hot", F.lit(True))
     answered = facts.join(F.broadcast(lookup), keys, "left")
     if total == empty + hot_rows:

@@ -28,12 +28,12 @@ def test_lookup_join_equals_a_plain_left_join(spark, facts):
     dim = spark.createDataFrame(
         [(k, t, k * 10) for k in range(6) for t in "ab"], "k int, t string, v int"
     )
-    for share in (0.0001, 0.2, 1.0):
-        keyed.HOT_SHARE = share
+    for rows_allowed in (10_000, 11, 5, 1):
+        keyed.BROADCAST_ROWS = rows_allowed
         try:
             joined = op.lookup_join(df, dim, ["k", "t"])
         finally:
-            keyed.HOT_SHARE = 1 / 10_000
+            keyed.BROADCAST_ROWS = 10_000
         assert rows(joined.select("i", "k", "t", "v")) == rows(
             df.join(dim, ["k", "t"], "left").select("i", "k", "t", "v")
         )

@@ -10,7 +10,13 @@ from ledgerleaf.plans import settlement
 from ledgerleaf.plans.settlement import JdbcTarget, LoadFailed, LogNames, load_settlement
 from ledgerleaf.schemas import SETTLEMENT_RECORD
 from ledgerleaf.sinks import append_table
-from ledgerleaf.sources import read_xml, select_settlement_files, xml_chunks, xml_records
+from ledgerleaf.sources import (
+    read_table,
+    read_xml,
+    select_settlement_files,
+    xml_chunks,
+    xml_records,
+)
 
 NAMES = LogNames("JOB", "dag", "task")
 RUN = date(2024, 6, 30)
@@ -210,6 +216,16 @@ def test_a_failed_copy_leaves_the_table_log_right(spark, tmp_path, table, databa
     assert states == {table: "success", "copy": None}
 
 
+def test_compact_load_gives_the_same_rows(spark, tmp_path, table):
+    path = deliver(tmp_path, "PERTRANS2024-01-01.xml", *[record(i) for i in range(50)])
+    records = settlement.settlement_records(spark, [path])
+    rows = settlement.with_decimals(settlement.settlement_rows(records, F.lit(RUN)))
+    settlement.load_table(rows, table, ["PERTRANS2024-01-01.xml"], compact=True)
+    assert Counter(map(tuple, read_table(spark, table).select(*rows.columns).collect())) == (
+        Counter(map(tuple, rows.collect()))
+    )
+
+
 def test_target_count_prunes_to_the_files_partitions(spark, tmp_path, table):
     paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in (1, 2, 3)]
     load_settlement(spark, paths, table, NAMES, Logs(), RUN)
