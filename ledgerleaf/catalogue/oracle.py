@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ledgerleaf.catalogue.standins import BRONZE_CARDS_SQL, BRONZE_CUSTOMERS_SQL
 
-FOLD_FROM = "əƏıİşŞçÇöÖğĞüÜáàâäãåéèêëíìîïñóòôõúùûýÁÀÂÄÃÅÉÈÊËÍÌÎÏÑÓÒÔÕÚÙÛÝ"
-FOLD_TO = "eEiIsScCoOgGuUaaaaaaeeeeiiiinoooouuuyAAAAAAEEEEIIIINOOOOUUUY"
+FOLD_FROM = "əƏıİşŞçÇöÖğĞüÜáàâäãåéèêëíìîïñóòôõúùûýÁÀÂÄÃÅÉÈÊËÍÌÎÏÑÓÒÔÕÚÙÛÝрийукн"
+FOLD_TO = "eEiIsScCoOgGuUaaaaaaeeeeiiiinoooouuuyAAAAAAEEEEIIIINOOOOUUUYriiukn"
 
 
 def title(text: str) -> str:
@@ -14,7 +14,8 @@ def title(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    return f"replace(translate({text}, '{FOLD_FROM}', '{FOLD_TO}'), 'ß', 'ss')"
+    single = f"translate({text}, '{FOLD_FROM}', '{FOLD_TO}')"
+    return f"replace(replace(replace({single}, 'ß', 'ss'), 'Ю', 'Iu'), 'Щ', 'Shch')"
 
 
 def day(text: str, pattern: str = "____-__-__", fmt: str = "%Y-%m-%d") -> str:

@@ -49,7 +49,7 @@ CUSTOMERS = {
     "else cast(floor(c_custkey / 2) as int) end",
     "full_name": "case when c_custkey % 7 = 0 then 'Şəhriyar Öğüz' "
     "when c_custkey % 7 = 1 then 'Ana Maria Lopez' when c_custkey % 7 = 2 then 'Two  Spaces' "
-    "when c_custkey % 7 = 3 then '' when c_custkey % 7 = 4 then null "
+    "when c_custkey % 14 = 3 then 'Юрий Щукин' when c_custkey % 7 = 3 then '' when c_custkey % 7 = 4 then null "
     "when c_custkey % 7 = 5 then concat('José ', c_name) else c_name end",
     "gender": "case when c_custkey % 5 = 0 then 'm' when c_custkey % 5 = 1 then 'Female' "
     "when c_custkey % 5 = 2 then 'x' when c_custkey % 5 = 3 then 'MALE' else null end",

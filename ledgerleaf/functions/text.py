@@ -26,11 +26,23 @@ AZ_LETTERS = "əƏıİşŞçÇöÖğĞüÜ"
 AZ_ASCII = "eEiIsScCoOgGuU"
 
 # Latin letters without a Unicode decomposition, and typographic marks.
-_OTHER_LETTERS = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l"}
-_OTHER_LETTERS |= {"Ħ": "H", "ħ": "h", "Ŧ": "T", "ŧ": "t", "ĸ": "k", "ſ": "s"}
-_MARKS = {"\u00a0": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-"}
-_EXPANDED = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th"}
-_EXPANDED |= {"Ĳ": "IJ", "ĳ": "ij", "«": "<<", "»": ">>", "—": "--", "…": "..."}
+_OTHER_LETTERS = "ØøĐđÐðŁłĦħŦŧĸſ"
+_OTHER_ASCII = "OoDdDdLlHhTtks"
+_MARKS = "\u00a0‘’“”–"
+_MARKS_ASCII = " ''\"\"-"
+
+# Russian letters that become one ASCII character.
+_RUSSIAN = "АБВГДЕЗИЙКЛМНОПРСТУФЪЫЬЭабвгдезийклмнопрстуфъыьэ"
+_RUSSIAN_ASCII = "ABVGDEZIIKLMNOPRSTUF'Y'Eabvgdeziiklmnoprstuf'y'e"
+
+# Characters that become several.
+_EXPANDED = {
+    **{"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th"},
+    **{"Ĳ": "IJ", "ĳ": "ij", "«": "<<", "»": ">>", "—": "--", "…": "..."},
+    **{"Ё": "Io", "Ж": "Zh", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh", "Щ": "Shch"},
+    **{"ё": "io", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch"},
+    **{"Ю": "Iu", "Я": "Ia", "ю": "iu", "я": "ia"},
+}
 
 
 def _fold_table() -> tuple[str, str]:
@@ -38,7 +50,13 @@ def _fold_table() -> tuple[str, str]:
 
     Combining marks come last with no partner, so ``translate`` deletes them.
     """
-    table = dict(zip(AZ_LETTERS, AZ_ASCII, strict=True)) | _OTHER_LETTERS | _MARKS
+    table = dict(
+        zip(
+            AZ_LETTERS + _OTHER_LETTERS + _MARKS + _RUSSIAN,
+            AZ_ASCII + _OTHER_ASCII + _MARKS_ASCII + _RUSSIAN_ASCII,
+            strict=True,
+        )
+    )
     for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and parts[0].isascii():
@@ -85,10 +103,10 @@ def card_key(c: Column, salt: str) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    """Azerbaijani and other Latin letters to ASCII; other scripts pass through."""
+    """Azerbaijani, other Latin and Russian letters to ASCII; other scripts pass through."""
     folded = F.translate(c, _FOLD_FROM, _FOLD_TO)
-    for letter, ascii_form in _EXPANDED.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(ascii_form))
+    for text, ascii_form in _EXPANDED.items():
+        folded = F.replace(folded, F.lit(text), F.lit(ascii_form))
     # One byte per character means plain ASCII: nothing to fold.
     return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 

@@ -97,18 +97,27 @@ def settlement_records(
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _unreadable(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Paths that cannot be opened, with the reason; looked for one by one only if some exist."""
+    try:
+        spark.read.text(paths)
+        return {}
+    except AnalysisException as problem:
+        if len(paths) == 1:
+            return {paths[0]: str(problem)}
+    found: dict[str, str] = {}
+    for path in paths:
+        found |= _unreadable(spark, [path])
+    return found
+
+
 def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
     """One row per path: path, FILE_NAME, FILE_DATE, records, cuttable, error.
 
     The text of all readable files is scanned in one job, which returns one row for
     each path of the list.
     """
-    unreadable = {}
-    for path in paths:
-        try:
-            spark.read.text(path)
-        except AnalysisException as problem:
-            unreadable[path] = str(problem)
+    unreadable = _unreadable(spark, paths)
     readable = [path for path in paths if path not in unreadable]
     listing = spark.createDataFrame(
         [(path, base_name(path), unreadable.get(path)) for path in paths],

@@ -50,7 +50,9 @@ CASES = {
             "Łódź Ñandú": "Lodz Nandu",
             "é": "e",
             "“x” – y…": '"x" - y...',
-            "Ərəb Привет": "Ereb Привет",
+            "Юрий Щукин Əли": "Iurii Shchukin Eli",
+            "Ёж, подъезд, Царь": "Iozh, pod'ezd, Tsar'",
+            "Ərəb Ελλάς": "Ereb Ελλάς",
             "": "",
             None: None,
         },
