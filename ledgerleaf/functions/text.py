@@ -102,13 +102,26 @@ def card_key(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), c), 256)
 
 
-def ascii_fold(c: Column) -> Column:
-    """Azerbaijani, other Latin and Russian letters to ASCII; other scripts pass through."""
-    folded = F.translate(c, _FOLD_FROM, _FOLD_TO)
+def _is_ascii(c: Column) -> Column:
+    """One byte per character."""
+    return F.octet_length(c) == F.length(c)
+
+
+def _expand(c: Column) -> Column:
     for text, ascii_form in _EXPANDED.items():
-        folded = F.replace(folded, F.lit(text), F.lit(ascii_form))
-    # One byte per character means plain ASCII: nothing to fold.
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
+        c = F.replace(c, F.lit(text), F.lit(ascii_form))
+    return c
+
+
+def ascii_fold(c: Column) -> Column:
+    """Azerbaijani, other Latin and Russian letters to ASCII; other scripts pass through.
+
+    Most texts need no folding or only the 1:1 table. ``transform`` over one item names
+    the translated text, so that it is computed once and tested before it is expanded.
+    """
+    translated = F.array(F.translate(c, _FOLD_FROM, _FOLD_TO))
+    expanded = F.transform(translated, lambda t: F.when(_is_ascii(t), t).otherwise(_expand(t)))
+    return F.when(_is_ascii(c), c).otherwise(F.get(expanded, F.lit(0)))
 
 
 def name_part(c: Column, index: int) -> Column:
