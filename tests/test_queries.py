@@ -16,6 +16,15 @@ def test_query_matches_sql(spark, name):
     assert difference(spark, SF_DIR, name) is None
 
 
+@pytest.mark.parametrize("name", QUERIES)
+def test_plan_stays_in_the_engine(spark, name):
+    """No Python worker, no cross or nested-loop join, no single-partition shuffle of rows."""
+    df = QUERIES[name].run(spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("Python", "CartesianProduct", "NestedLoop", "Exchange SinglePartition"):
+        assert node not in plan
+
+
 def test_contract(spark):
     assert contract.queries().keys() == contract.oracle_sql().keys()
     assert contract.entry(spark).count() > 0

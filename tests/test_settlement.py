@@ -128,21 +128,31 @@ def test_failed_files_are_logged_and_the_others_loaded(spark, tmp_path, table):
     assert len(failed) == 3
 
 
-def test_repeated_load_changes_nothing_and_a_shorter_delivery_replaces(spark, tmp_path, table):
+def first_again(folder, name):
+    return deliver(folder, name, record(1), record(2, day="20240102"))
+
+
+@pytest.mark.parametrize("external", [False, True])
+def test_repeated_load_changes_nothing_and_a_shorter_delivery_replaces(
+    spark, tmp_path, table, external
+):
+    at = str(tmp_path / "table") if external else None
     other = deliver(tmp_path, "PERTRANS2024-01-05.xml", record(9, day="20240101"))
     name = "PERTRANS2024-01-01.xml"
     first = deliver(
         tmp_path, name, record(1), record(2, day="20240102"), record(3, day="20240230")
     )
     for _ in range(2):
-        load_settlement(spark, [first, other], table, NAMES, Logs(), RUN)
+        load_settlement(spark, [first, other], table, NAMES, Logs(), RUN, path=at)
         assert spark.table(table).count() == 4
     again = deliver(tmp_path, name, record(1, amount="7"))
-    load_settlement(spark, [again], table, NAMES, Logs(), RUN)
+    load_settlement(spark, [again], table, NAMES, Logs(), RUN, path=at)
     kept = spark.table(table).select("FILE_NAME", "APPROVAL_CODE", "AMOUNT").collect()
     assert Counter(map(tuple, kept)) == Counter(
         [(name, "1", Decimal(7)), ("PERTRANS2024-01-05.xml", "9", Decimal("12.5"))]
     )
+    load_settlement(spark, [first_again(tmp_path, name)], table, NAMES, Logs(), RUN, path=at)
+    assert spark.table(table).count() == 3
 
 
 UNCUTTABLE = {
