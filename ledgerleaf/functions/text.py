@@ -37,11 +37,37 @@ _RUSSIAN_ASCII = "ABVGDEZIIKLMNOPRSTUF'Y'Eabvgdeziiklmnoprstuf'y'e"
 
 # Characters that become several.
 _EXPANDED = {
-    **{"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th"},
-    **{"Ĳ": "IJ", "ĳ": "ij", "«": "<<", "»": ">>", "—": "--", "…": "..."},
-    **{"Ё": "Io", "Ж": "Zh", "Х": "Kh", "Ц": "Ts", "Ч": "Ch", "Ш": "Sh", "Щ": "Shch"},
-    **{"ё": "io", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch"},
-    **{"Ю": "Iu", "Я": "Ia", "ю": "iu", "я": "ia"},
+    "ß": "ss",
+    "Æ": "AE",
+    "æ": "ae",
+    "Œ": "OE",
+    "œ": "oe",
+    "Þ": "Th",
+    "þ": "th",
+    "Ĳ": "IJ",
+    "ĳ": "ij",
+    "«": "<<",
+    "»": ">>",
+    "—": "--",
+    "…": "...",
+    "Ё": "Io",
+    "Ж": "Zh",
+    "Х": "Kh",
+    "Ц": "Ts",
+    "Ч": "Ch",
+    "Ш": "Sh",
+    "Щ": "Shch",
+    "ё": "io",
+    "ж": "zh",
+    "х": "kh",
+    "ц": "ts",
+    "ч": "ch",
+    "ш": "sh",
+    "щ": "shch",
+    "Ю": "Iu",
+    "Я": "Ia",
+    "ю": "iu",
+    "я": "ia",
 }
 
 

@@ -33,6 +33,7 @@ from ledgerleaf.sources import (
     xml_chunks,
     xml_records,
 )
+from ledgerleaf.workdir import work_dir
 
 PARTITIONS = ["TRN_DATE", "FILE_NAME"]
 
@@ -154,9 +155,9 @@ def load_table(
 ) -> None:
     """Loads files into the table in place of what it holds of them.
 
-    Partitions hold one file each, so replacing them cannot touch other files. Those
-    of an earlier delivery of the same file go first, since the new one may cover
-    fewer dates.
+    Partitions hold one file each, so replacing them cannot touch other files. An
+    earlier delivery of the same file may cover more dates; partitions that only it has
+    are dropped once the new rows are in, so a load that fails loses nothing.
 
     Read tasks write their own rows, without a shuffle: a task sees one file and few
     dates. Where dates are scattered through the files, ``compact`` brings the rows of
@@ -165,18 +166,33 @@ def load_table(
     spark = rows.sparkSession
     if compact:
         rows = rows.hint("rebalance", *[F.col(name) for name in PARTITIONS])
-    if spark.catalog.tableExists(table):
-        earlier = F.col("FILE_NAME").isin(names)
-        if fmt == "delta":
+    if fmt == "delta":
+        if spark.catalog.tableExists(table):
             quoted = ", ".join("'" + name.replace("'", "\\'") + "'" for name in names)
             spark.sql(f"DELETE FROM {table} WHERE FILE_NAME IN ({quoted})")
-        else:
-            held = spark.table(table).filter(earlier).select(*PARTITIONS).distinct()
-            drop_partitions(spark, table, held.collect())
-    if fmt == "delta":
         append_table(rows, table, PARTITIONS, fmt, path)
-    else:
-        replace_table_partitions(rows, table, PARTITIONS, fmt, path)
+        return
+    earlier = _data_files(spark, table, names)
+    replace_table_partitions(rows, table, PARTITIONS, fmt, path)
+    if earlier is not None:
+        now = _table_files(spark, table, names)
+        stale = now.join(earlier, "data_file").select(*PARTITIONS).distinct()
+        drop_partitions(spark, table, stale.collect())
+
+
+def _table_files(spark: SparkSession, table: str, names: list[str]) -> DataFrame:
+    """The table's data files that hold the named deliveries, with their partitions."""
+    loaded = spark.table(table).filter(F.col("FILE_NAME").isin(names))
+    return loaded.select(*PARTITIONS, F.col("_metadata.file_path").alias("data_file")).distinct()
+
+
+def _data_files(spark: SparkSession, table: str, names: list[str]) -> DataFrame | None:
+    """Data files of the named deliveries before a load, kept in the shared folder."""
+    if not spark.catalog.tableExists(table):
+        return None
+    path = work_dir(spark, "data-files")
+    _table_files(spark, table, names).select("data_file").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def load_settlement(

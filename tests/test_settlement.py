@@ -155,6 +155,26 @@ def test_repeated_load_changes_nothing_and_a_shorter_delivery_replaces(
     assert spark.table(table).count() == 3
 
 
+def test_a_new_file_joins_those_in_the_table(spark, tmp_path, table):
+    for number in (1, 2):
+        path = deliver(tmp_path, f"PERTRANS2024-01-0{number}.xml", record(number))
+        load_settlement(spark, [path], table, NAMES, Logs(), RUN)
+        assert spark.table(table).count() == number
+
+
+def test_a_failed_load_keeps_the_earlier_rows(spark, tmp_path, table, monkeypatch):
+    path = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1))
+    load_settlement(spark, [path], table, NAMES, Logs(), RUN)
+
+    def fail(*_):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(settlement, "replace_table_partitions", fail)
+    with pytest.raises(LoadFailed):
+        load_settlement(spark, [path], table, NAMES, Logs(), RUN)
+    assert spark.table(table).count() == 1
+
+
 UNCUTTABLE = {
     "closes itself": ("<TRN/>\n", 3),
     "space in the closing tag": (record(7).replace("</TRN>", "</TRN >"), 3),
