@@ -16,8 +16,8 @@ from ledgerleaf.schemas import (
     UNKNOWN,
 )
 
-# Letters that have case; a title-case word is a run of these.
-_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+# Letters that have case, and the space: ``initcap`` is right within a run of these.
+_WORDS = r"\p{LC} "
 
 # The masks, and the Azerbaijani letters with their ASCII forms.
 CARD_MASK = "**** **** **** "
@@ -103,11 +103,11 @@ def title_case(c: Column) -> Column:
     """Capital after every character that is not a letter: ``e2e test`` gives ``E2E Test``.
 
     ``initcap`` alone starts words at spaces only; it answers directly where nothing
-    but letters and spaces occurs.
+    but letters and spaces occurs, and run by run elsewhere.
     """
-    runs = F.regexp_extract_all(c, F.lit(f"([{_CASED}]+|[^{_CASED}]+)"), F.lit(1))
+    runs = F.regexp_extract_all(c, F.lit(f"[{_WORDS}]+|[^{_WORDS}]+"), F.lit(0))
     by_run = F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")
-    return F.when(c.rlike(f"[^{_CASED} ]"), by_run).otherwise(F.initcap(c))
+    return F.when(c.rlike(f"[^{_WORDS}]"), by_run).otherwise(F.initcap(c))
 
 
 def mask_tail(c: Column, prefix: str, keep: int = 4) -> Column:

@@ -152,7 +152,7 @@ def test_expression(spark, name):
 
 
 @settings(
-    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.text("aBzÇşəıİ é1-' .\t中_", max_size=12), min_size=30, max_size=60))
 def test_title_case_equals_python(spark, texts):
