@@ -155,6 +155,16 @@ def xml_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(loaded)
 
 
+def settlement_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records found in the delivered text against rows in the loaded table."""
+    delivered = completeness(spark, sf_dir).select(
+        "FILE_NAME",
+        fn.file_date(F.col("FILE_NAME")).alias("FILE_DATE"),
+        F.col("records").alias("ROW_CNT"),
+    )
+    return reconcile(delivered, row_counts(xml_settlement(spark, sf_dir)))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "user_id", "value", F.col("event_type").alias("kind")
@@ -300,6 +310,14 @@ QUERIES: dict[str, Query] = {
         "TRUE AS cuttable FROM orders GROUP BY ALL",
     ),
     "xml_settlement": query(xml_settlement, _SETTLEMENT),
+    "settlement_reconcile": query(
+        settlement_reconcile,
+        "SELECT FILE_NAME, substr(FILE_NAME, 9, 10) AS FILE_DATE, n AS source_count, "
+        "CASE WHEN whole THEN n END AS target_count, "
+        "CASE WHEN whole THEN 'success' ELSE 'fail' END AS count_state "
+        f"FROM (SELECT {SOURCE} AS FILE_NAME, NOT ({IS_TRUNCATED}) AS whole, count(*) AS n "
+        "FROM orders GROUP BY ALL)",
+    ),
     "table_append": query(
         table_append,
         "SELECT event_type AS kind, count(*) * CASE WHEN event_type = 'click' THEN 2 ELSE 1 END "
