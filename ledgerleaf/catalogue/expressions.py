@@ -19,7 +19,7 @@ from ledgerleaf.catalogue.standins import (
     derive_sql,
     table,
 )
-from ledgerleaf.operators import preview
+from ledgerleaf.operators import preview, split_null_keys
 
 _CARD_ID = "transaction_id"
 _CUSTOMER_ID = "customer_fin"
@@ -165,8 +165,6 @@ def local_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerleaf.operators import split_null_keys
-
     _, rejected = split_null_keys(bronze_customers(spark, sf_dir), "customer_id")
     return rejected.select("customer_fin", "full_name", "phone")
 

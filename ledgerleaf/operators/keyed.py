@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.workdir import work_dir
@@ -16,9 +16,10 @@ from ledgerleaf.workdir import work_dir
 BROADCAST_ROWS = 10_000
 
 
-def split_null_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def split_null_keys(df: DataFrame, key: str | Column) -> tuple[DataFrame, DataFrame]:
     """Rows with a key, and the rejected rows without one."""
-    return df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
+    key = F.col(key) if isinstance(key, str) else key
+    return df.filter(key.isNotNull()), df.filter(key.isNull())
 
 
 def latest_per_key(df: DataFrame, key: str, latest: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerleaf.operators import split_null_keys
 from ledgerleaf.plans import gold, silver
@@ -16,9 +18,11 @@ from ledgerleaf.sources.files import MISSING
 
 
 def build_silver_customers(spark: SparkSession, source: str, target: str, rejects: str) -> None:
-    """Customers CSV to silver Parquet; rows without an id go to ``rejects`` as they came."""
-    known, unknown = split_null_keys(read_csv(spark, source, CUSTOMERS), "customer_id")
-    write_parquet(silver.customers(known), target)
+    """Customers CSV to silver Parquet; rows without a valid id go to ``rejects`` as text."""
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in CUSTOMERS.names])
+    customer_id = F.col("customer_id").try_cast(CUSTOMERS["customer_id"].dataType)
+    known, unknown = split_null_keys(read_csv(spark, source, as_text), customer_id)
+    write_parquet(silver.customers(known.withColumn("customer_id", customer_id)), target)
     write_parquet(unknown, rejects)
 
 

@@ -154,6 +154,15 @@ def write_text(path, text):
     return str(path)
 
 
+def test_rejected_customers_keep_their_text(spark, tmp_path):
+    lines = [",".join(CUSTOMERS.names), "12x,A B" + "," * 10, "7,C D" + "," * 10]
+    path = write_text(tmp_path / "c.csv", "\n".join(lines) + "\n")
+    jobs.build_silver_customers(spark, path, f"{tmp_path}/s", f"{tmp_path}/r")
+    assert [r.customer_id for r in spark.read.parquet(f"{tmp_path}/s").collect()] == [7]
+    (rejected,) = spark.read.parquet(f"{tmp_path}/r").collect()
+    assert (rejected.customer_id, rejected.full_name) == ("12x", "A B")
+
+
 def test_customer_header_must_match(spark, tmp_path):
     names = list(CUSTOMERS.names)
     names.insert(8, "city")
