@@ -279,7 +279,8 @@ def load_jdbc(rows: DataFrame, target: JdbcTarget, good: list[Row]) -> dict[str,
 
     def held() -> dict[str, int]:
         counts = read_jdbc_query(spark, target.url, count_sql, target.properties).collect()
-        return {row["FILE_NAME"]: int(row["ROW_CNT"]) for row in counts}
+        # By position: databases differ in the case of column names.
+        return {row[0]: int(row[-1]) for row in counts}
 
     before = held()
     new = [row.FILE_NAME for row in good if row.FILE_NAME not in before]
