@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerleaf.llm import mixing
 from ledgerleaf.llm import quality_rules as rules
 
 _RATIO = (1 + rules.ACCURACY) / (1 - rules.ACCURACY)
@@ -70,3 +71,41 @@ def _quality(docs: str) -> str:
 QUALITY_RULES = (
     f"WITH {_quality('documents')} SELECT doc_id, {', '.join(rules.COUNTS)}, base_failed, kept FROM verdicts"
 )
+
+
+def _mixing(docs: str) -> str:
+    """CTEs that end in ``taken``: the columns of ``docs`` with what the mix takes of each."""
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    copies = " + ".join(
+        f"greatest(0, least(size, floor(target + 0.5)::BIGINT - start - {e} * source_size))" for e in range(mixing.EPOCHS)
+    )
+    return rf"""
+    sized AS (
+      SELECT *, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size,
+        md5(concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')))) AS mark
+      FROM {docs}),
+    ranked AS (
+      SELECT source, source_size, source_no, [{weights}][source_no % {len(mixing.WEIGHTS)} + 1] AS weight
+      FROM (SELECT source, sum(size)::BIGINT AS source_size,
+          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM sized GROUP BY source)),
+    levels AS (
+      SELECT *, row_number() OVER o AS place,
+        (sum(source_size) OVER () - coalesce(sum({mixing.EPOCHS} * source_size)
+          OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM ranked WINDOW o AS (ORDER BY {mixing.EPOCHS} * source_size / weight, source_no)),
+    open_ AS (SELECT min(place) AS place, min_by(level, place) AS level FROM levels
+      WHERE level * weight <= {mixing.EPOCHS} * source_size),
+    targets AS (
+      SELECT source, source_size,
+        CASE WHEN l.place < o.place THEN ({mixing.EPOCHS} * source_size)::DOUBLE ELSE o.level * weight END AS target
+      FROM levels AS l, open_ AS o),
+    started AS (
+      SELECT sized.*, source_size, target, (sum(size) OVER (
+        PARTITION BY sized.source ORDER BY mark, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+      FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+    taken AS (
+      SELECT *, ({copies})::BIGINT AS taken, (start + size) / nullif(target, 0) AS finish FROM started)"""
+
+
+MIXING = f"WITH {_mixing('documents')} SELECT doc_id, size, source_size, target, taken, finish FROM taken"

@@ -84,7 +84,10 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        return span_hashes(_BYTE_CODES[self.data], self.starts, self.ends, _BYTE_BASE)
+        return self.hashes_of(self.starts, self.ends)
+
+    def hashes_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return span_hashes(_BYTE_CODES[self.data], starts, ends, _BYTE_BASE)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
