@@ -1,6 +1,7 @@
 """A training-data pipeline: stages from raw documents to packed sequences.
 
-Each stage's rows are written as Parquet and read again as the next one's documents.
+Each stage's rows are written as Parquet and read again as the next one's documents; all but
+the last keep the columns of documents.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerleaf.catalogue.registry import Query
-from ledgerleaf.llm import quality_rules, simhash
+from ledgerleaf.llm import mixing, packing, pii, quality_rules, simhash
 from ledgerleaf.llm.tables import stored
 
 
@@ -22,7 +23,29 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality rules", quality), ("near-duplicates", dedup)]
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to pseudonyms."""
+    return pii.protect(docs, pii.SAMPLE_KEY)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their target weights; a document may come up to three times."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", dedup),
+    ("personal data", private),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+# Fingerprints and token ids are beyond SQL; the tests check the rows by brute force.
 ORACLE_SQL = None
 
 

@@ -118,8 +118,8 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself in the order of virtual finish times, with the columns of ``docs``.
 
     A document comes once per copy that is taken; the copy at the end of its source's share
-    keeps its first words only, and n_chars, where there is such a column, follows the text.
-    Documents without words are not taken.
+    keeps its first words only; its other columns stay as they are. Documents without words
+    are not taken.
     """
     at = "_place_in_docs"
     rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "mix-rows")
@@ -141,12 +141,7 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     joined = rows.join(slim, rows[at] == slim["_at"])
     text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        cut = F.length(first_words(F.col("text"), F.col("_words")))
-        kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(cut.cast(kind))
-    return joined.withColumns(changed).orderBy("_time").select(*[f"`{name}`" for name in docs.columns])
+    return joined.withColumn("text", text).orderBy("_time").select(*[f"`{name}`" for name in docs.columns])
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:

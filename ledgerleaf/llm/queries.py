@@ -8,6 +8,7 @@ from ledgerleaf.catalogue.registry import Query
 from ledgerleaf.llm import oracles
 from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
+from ledgerleaf.llm.pii import op4_pii
 from ledgerleaf.llm.quality_rules import op10_quality_rules
 from ledgerleaf.llm.simhash import op2_simhash
 
@@ -21,6 +22,7 @@ def _over(table: str, operator, oracle: str | None = None) -> Query:
 
 QUERIES = {
     "op2_simhash": _over("documents", op2_simhash),
+    "op4_pii": _over("documents", op4_pii),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
