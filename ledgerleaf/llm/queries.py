@@ -11,6 +11,7 @@ from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
 from ledgerleaf.llm.quality_rules import op10_quality_rules
 from ledgerleaf.llm.simhash import op2_simhash
+from ledgerleaf.llm.suffix_dedup import op1_suffix_dedup
 
 
 def _over(table: str, operator, oracle: str | None = None) -> Query:
@@ -21,6 +22,7 @@ def _over(table: str, operator, oracle: str | None = None) -> Query:
 
 
 QUERIES = {
+    "op1_suffix_dedup": _over("documents", op1_suffix_dedup),
     "op2_simhash": _over("documents", op2_simhash),
     "op4_pii": _over("documents", op4_pii),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
