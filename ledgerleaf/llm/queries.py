@@ -12,6 +12,7 @@ from ledgerleaf.llm.pii import op4_pii
 from ledgerleaf.llm.quality_rules import op10_quality_rules
 from ledgerleaf.llm.simhash import op2_simhash
 from ledgerleaf.llm.suffix_dedup import op1_suffix_dedup
+from ledgerleaf.llm.token_counts import op7_token_counts
 
 
 def _over(table: str, operator, oracle: str | None = None) -> Query:
@@ -26,6 +27,7 @@ QUERIES = {
     "op2_simhash": _over("documents", op2_simhash),
     "op4_pii": _over("documents", op4_pii),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
+    "op7_token_counts": _over("documents", op7_token_counts),
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
 }
