@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerleaf.llm import mixing
+from ledgerleaf.llm import embedding_dedup, mixing
 from ledgerleaf.llm import quality_rules as rules
 
 _RATIO = (1 + rules.ACCURACY) / (1 - rules.ACCURACY)
@@ -109,3 +109,21 @@ def _mixing(docs: str) -> str:
 
 
 MIXING = f"WITH {_mixing('documents')} SELECT doc_id, size, source_size, target, taken, finish FROM taken"
+
+# All pairs of equal labels, and a component's smallest id by repeated steps along links.
+EMBEDDING_DEDUP = f"""
+    WITH RECURSIVE usable AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable AS a JOIN usable AS b
+        ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.v, b.v) >= {embedding_dedup.COSINE}),
+    reach(vec_id, other) AS (
+      SELECT vec_id, vec_id FROM embeddings
+      UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a)
+    SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links,
+      c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings AS e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) AS c USING (vec_id)"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerleaf.catalogue.registry import Query
 from ledgerleaf.llm import oracles
+from ledgerleaf.llm.embedding_dedup import op8_embedding_dedup
 from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
@@ -28,6 +29,7 @@ QUERIES = {
     "op4_pii": _over("documents", op4_pii),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
     "op7_token_counts": _over("documents", op7_token_counts),
+    "op8_embedding_dedup": _over("embeddings", op8_embedding_dedup, oracles.EMBEDDING_DEDUP),
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
 }
