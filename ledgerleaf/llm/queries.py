@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerleaf.catalogue.registry import Query
 from ledgerleaf.llm import oracles
 from ledgerleaf.llm.embedding_dedup import op8_embedding_dedup
+from ledgerleaf.llm.kneser_ney import op3_quality_classifier
 from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
@@ -23,9 +24,15 @@ def _over(table: str, operator, oracle: str | None = None) -> Query:
     return Query(run, oracle)
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels")]
+    return op3_quality_classifier(*tables)
+
+
 QUERIES = {
     "op1_suffix_dedup": _over("documents", op1_suffix_dedup),
     "op2_simhash": _over("documents", op2_simhash),
+    "op3_quality_classifier": Query(quality_classifier, None),
     "op4_pii": _over("documents", op4_pii),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
     "op7_token_counts": _over("documents", op7_token_counts),
