@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.tables import stored
+from ledgerleaf.llm.tables import row_marks, row_of, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -60,7 +60,8 @@ def targets(sized: DataFrame) -> DataFrame:
 def queue(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (any columns, text and source among them) in the mix.
 
-    Adds ``_queue``: size, source_size, target, start (words of its source before it in the
+    Gives mark1 and mark2 (hashes of the row), doc_id, mark (its place in the shuffled order) and
+    ``queue``: size, source_size, target, start (words of its source before it in the
     shuffled order), finish (virtual time) of its first copy, and taken, the words of each of
     its copies that the mix takes. The order follows a digest of doc_id and text, so another
     run gives the same; rows that are alike in both can stand for each other.
@@ -71,7 +72,8 @@ def queue(docs: DataFrame) -> DataFrame:
             "source",
             size_of(F.col("text")).alias("size"),
             mark.alias("mark"),
-            F.struct(*[F.col(f"`{name}`") for name in docs.columns if name != "text"]).alias("row"),
+            "doc_id",
+            *row_marks(docs),
         ),
         "sizes",
     )
@@ -95,8 +97,10 @@ def queue(docs: DataFrame) -> DataFrame:
     left = [budget - start - F.lit(e) * F.col("source_size") for e in range(EPOCHS)]
     taken = F.array(*[F.greatest(F.lit(0).cast("long"), F.least("size", n)) for n in left])
     return placed.select(
-        "row",
+        "doc_id",
         "mark",
+        "mark1",
+        "mark2",
         F.struct(
             "size",
             "source_size",
@@ -121,27 +125,21 @@ def mix(docs: DataFrame) -> DataFrame:
     keeps its first words only; its other columns stay as they are. Documents without words
     are not taken.
     """
-    at = "_place_in_docs"
-    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "mix-rows")
-    queued = queue(rows.select("doc_id", "text", "source", at))
-    copies = queued.select(
-        F.col(f"row.{at}").alias(at),
-        "mark",
-        F.col("queue").alias("_q"),
-        F.posexplode("queue.taken").alias("_copy", "_words"),
-    ).filter("_words > 0")
-    finish = (F.col("_q.start") + F.col("_words") + F.col("_copy") * F.col("_q.source_size")) / F.col("_q.target")
-    slim = stored(
-        copies.select(
-            F.col(at).alias("_at"),
-            F.struct(finish.alias("finish"), "mark", F.col("_copy").alias("copy")).alias("_time"),
-            F.when(F.col("_words") < F.col("_q.size"), F.col("_words")).alias("_words"),
-        ),
-        "copies",
+    queued = queue(docs)
+    copies = queued.select("mark1", "mark2", "mark", "queue", F.posexplode("queue.taken").alias("copy", "words")).filter("words > 0")
+    finish = (F.col("queue.start") + F.col("words") + F.col("copy") * F.col("queue.source_size")) / F.col("queue.target")
+    slim = copies.select(
+        "mark1",
+        "mark2",
+        F.struct(finish.alias("finish"), "mark", "copy").alias("_time"),
+        F.when(F.col("words") < F.col("queue.size"), F.col("words")).alias("_words"),
     )
-    joined = rows.join(slim, rows[at] == slim["_at"])
-    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))
-    return joined.withColumn("text", text).orderBy("_time").select(*[f"`{name}`" for name in docs.columns])
+    # Rows that are alike are one row here, and as many in the queue.
+    one = docs.select(*row_marks(docs), row_of(docs).alias("row")).groupBy("mark1", "mark2").agg(F.first("row").alias("row"))
+    joined = one.join(stored(slim, "copies"), ["mark1", "mark2"]).orderBy("_time")
+    text = F.col("row.text")
+    cut = F.when(F.col("_words").isNull(), text).otherwise(first_words(text, F.col("_words")))
+    return joined.select(*[cut.alias(n) if n == "text" else F.col(f"row.`{n}`") for n in docs.columns])
 
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
@@ -149,7 +147,7 @@ def op6_mixing(docs: DataFrame) -> DataFrame:
     queued = queue(docs.select("doc_id", "text", "source"))
     taken = F.aggregate("queue.taken", F.lit(0).cast("long"), lambda a, x: a + x)
     return queued.select(
-        "row.doc_id",
+        "doc_id",
         "queue.size",
         "queue.source_size",
         "queue.target",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.llm.tables import stored
+from ledgerleaf.llm.tables import row_of, stored
 from ledgerleaf.llm.words import Words, plain_texts, slices, span_hashes
 
 MIN_WORDS = 50
@@ -220,7 +220,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     twice, once for the sketches and once in place, so that they are not shuffled.
     """
     rows = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        row_of(docs).alias("row"),
         "lang",
         "source",
         measures(F.col("text")).alias("m"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerleaf.llm.components import components
-from ledgerleaf.llm.tables import stored
+from ledgerleaf.llm.tables import row_marks, row_of, stored
 from ledgerleaf.llm.words import Words, plain_texts, slices
 
 SHINGLE = 3
@@ -198,25 +198,20 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``.
 
-    It is a row of the smallest doc_id, nulls last; among rows of that id that of the
-    smallest hash of all columns, and among rows that are alike any one.
+    It is a row of the smallest doc_id, nulls last; among rows of that id that of the smallest
+    hash of all columns, and of rows that are alike one. Texts are shuffled once, after rows
+    that are alike have met on the map side.
     """
-    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
-    rows = stored(
-        docs.select(
-            F.col("doc_id"),
-            fingerprints(F.col("text")).alias("fp"),
-            F.xxhash64(row).alias("mark"),
-            F.monotonically_increasing_id().alias("at"),
-            row,
-        ),
-        "rows",
+    marked = docs.select(*row_marks(docs), row_of(docs).alias("row"))
+    slim = stored(
+        docs.select(F.col("doc_id").alias("id"), *row_marks(docs), fingerprints(F.col("text")).alias("fp")), "fingerprints"
     )
-    slim = rows.select("fp", F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "at").alias("best"))
-    nodes = stored(slim.groupBy("fp").agg(F.min("best").alias("best")), "nodes")
+    best = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark1", "mark2").alias("best")
+    nodes = stored(slim.select("fp", best).groupBy("fp").agg(F.min("best").alias("best")), "nodes")
     found = components(links(nodes.select("fp", F.col("fp").alias("node"))))
     named = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "best", F.coalesce("component", "fp").alias("component")
     )
-    winners = named.groupBy("component").agg(F.min("best").alias("best"))
-    return rows.join(stored(winners.select("best.at"), "winners"), "at", "left_semi").select("row.*")
+    winners = named.groupBy("component").agg(F.min("best").alias("best")).select("best.mark1", "best.mark2")
+    one = marked.groupBy("mark1", "mark2").agg(F.first("row").alias("row"))
+    return one.join(stored(winners, "winners"), ["mark1", "mark2"], "left_semi").select("row.*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ledgerleaf.workdir import work_dir
 
@@ -15,5 +16,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def row_of(df: DataFrame) -> Column:
+    """All columns of a row in one struct, safe from names that clash."""
+    return F.struct(*[F.col(f"`{name}`") for name in df.columns])
+
+
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two hashes, mark1 and mark2, that are equal for rows that are alike.
+
+    Columns of maps, which have no hash, are left out.
+    """
+    names = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    columns = [F.col(f"`{name}`") for name in names]
+    return [F.xxhash64(F.lit(1), *columns).alias("mark1"), F.xxhash64(F.lit(2), *columns).alias("mark2")]

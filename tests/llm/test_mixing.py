@@ -1,6 +1,7 @@
 """The mix against its SQL, plain arithmetic and its own copies."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerleaf.llm import mixing, oracles
 from tests.compare import oracle_rows, spark_rows
@@ -23,7 +24,7 @@ def plain_targets(sizes):
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, mark int")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, mark int").withColumn("_time", F.lit(1))
 
 
 def test_against_sql(spark):
@@ -56,7 +57,7 @@ def test_targets_and_copies(spark, words):
     # The mix itself holds the same words, in whole copies but for the last.
     texts = {r[0]: r[1] for r in rows}
     mixed = mixing.mix(docs_of(spark, rows))
-    assert mixed.columns == ["doc_id", "text", "source", "size", "mark"]
+    assert mixed.columns == ["doc_id", "text", "source", "size", "mark", "_time"]
     held = {}
     for r in mixed.collect():
         assert texts[r.doc_id].startswith(r.text)
