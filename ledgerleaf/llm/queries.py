@@ -8,6 +8,7 @@ from ledgerleaf.catalogue.registry import Query
 from ledgerleaf.llm import oracles
 from ledgerleaf.llm.embedding_dedup import op8_embedding_dedup
 from ledgerleaf.llm.kneser_ney import op3_quality_classifier
+from ledgerleaf.llm.lm_scoring import op5_lm_scoring
 from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
@@ -34,6 +35,7 @@ QUERIES = {
     "op2_simhash": _over("documents", op2_simhash),
     "op3_quality_classifier": Query(quality_classifier, None),
     "op4_pii": _over("documents", op4_pii),
+    "op5_lm_scoring": _over("documents", op5_lm_scoring),
     "op6_mixing": _over("documents", op6_mixing, oracles.MIXING),
     "op7_token_counts": _over("documents", op7_token_counts),
     "op8_embedding_dedup": _over("embeddings", op8_embedding_dedup, oracles.EMBEDDING_DEDUP),
