@@ -182,7 +182,7 @@ SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 5 = 0 THEN lower({SOURCE}
 
 
 def _decimal(field: str) -> str:
-    return f"CAST(try_cast({field} AS DECIMAL(38, 10)) AS DOUBLE) AS {field}"
+    return f"CAST(try_cast({field} AS DECIMAL(38, 10)) AS VARCHAR) AS {field}"
 
 
 QUERIES: dict[str, Query] = {

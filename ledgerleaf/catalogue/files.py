@@ -81,7 +81,7 @@ def csv_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "lineitem")
     write_parquet(table(spark, sf_dir, "lineitem"), path)
-    return read_parquet(spark, path).select("l_orderkey", "l_linenumber", "l_shipdate")
+    return read_parquet(spark, path)
 
 
 _LANDED: dict[tuple[str, str], list[str]] = {}
@@ -263,7 +263,7 @@ _MASKED = "'**** **** **** ' || right(FLD_008, 4)"
 _TEXTS = ", ".join(
     f"{_MASKED} AS {name}"
     if name == "CARD_NUMBER"
-    else f"CAST(try_cast(FLD_{n:03d} AS DECIMAL(38, 10)) AS DOUBLE) AS {name}"
+    else f"CAST(try_cast(FLD_{n:03d} AS DECIMAL(38, 10)) AS VARCHAR) AS {name}"
     if name in ("AMOUNT", "ACQ_FEE", "ISS_FEE")
     else f"FLD_{n:03d} AS {name}"
     for n, name in enumerate(SETTLEMENT_TEXT_COLUMNS, start=4)
@@ -291,7 +291,7 @@ _TO = "TIMESTAMP '2024-06-30 05:30:00'"
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": query(
         csv_roundtrip,
-        "SELECT * REPLACE (CAST(transaction_amount AS DOUBLE) AS transaction_amount) "
+        "SELECT * REPLACE (CAST(transaction_amount AS VARCHAR) AS transaction_amount) "
         f"FROM ({BRONZE_CARDS_SQL})",
     ),
     "csv_declared": query(
@@ -300,7 +300,7 @@ QUERIES: dict[str, Query] = {
         f"FROM ({BRONZE_CUSTOMERS_SQL})",
     ),
     "parquet_roundtrip": query(
-        parquet_roundtrip, "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem"
+        parquet_roundtrip, "SELECT * FROM lineitem"
     ),
     "xml_roundtrip": query(xml_roundtrip, _COMPLETE_SQL),
     "xml_cut_roundtrip": query(xml_cut_roundtrip, _COMPLETE_SQL),

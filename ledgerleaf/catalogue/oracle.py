@@ -76,7 +76,7 @@ FROM ({BRONZE_CARDS_SQL}) WHERE lower(transaction_status) = 'completed'
 """
 
 SILVER_CARDS = f"""
-SELECT * REPLACE (CAST(transaction_amount AS DOUBLE) AS transaction_amount)
+SELECT * REPLACE (CAST(transaction_amount AS VARCHAR) AS transaction_amount)
 FROM ({SILVER_CARDS_EXACT})
 """
 

@@ -19,13 +19,11 @@ class Query:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Dates as text and decimals as double, the forms that both engines hand over alike."""
+    """Dates and decimals as text, the decimals with all digits of their scale."""
 
     def shown(field: T.StructField):
-        if isinstance(field.dataType, T.DateType):
+        if isinstance(field.dataType, T.DateType | T.DecimalType):
             return F.col(field.name).cast("string").alias(field.name)
-        if isinstance(field.dataType, T.DecimalType):
-            return F.col(field.name).cast("double").alias(field.name)
         return F.col(field.name)
 
     return df.select(*[shown(field) for field in df.schema.fields])

@@ -24,7 +24,8 @@ CARDS = {
     "transaction_amount": "cast(o_totalprice as decimal(18, 2))",
     "currency": "case when o_orderkey % 23 = 0 then null when o_orderkey % 4 = 0 then 'azn' "
     "when o_orderkey % 4 = 1 then 'Usd' when o_orderkey % 4 = 2 then 'EUR' else 'gbp' end",
-    "card_type": "lower(o_orderpriority)",
+    "card_type": "case when o_orderkey % 37 = 0 then concat(' ', chr(34), 'gold', chr(34), ', ', chr(92), 'x ') "
+    "else lower(o_orderpriority) end",
     "transaction_type": "case when o_orderkey % 3 = 0 then 'point-of-sale' "
     "when o_orderkey % 3 = 1 then concat('atm', chr(39), 's fee') else 'e2e test' end",
     "merchant_category": "case when o_custkey % 5 = 0 then 'BUILDING' "
@@ -65,7 +66,10 @@ CUSTOMERS = {
     "when c_custkey % 8 = 3 then concat('00994', lpad(cast(c_custkey as string), 9, '5')) "
     "when c_custkey % 8 = 4 then 'abc' when c_custkey % 8 = 5 then '' "
     "when c_custkey % 8 = 6 then null else concat('(0', cast(c_custkey as string), ')') end",
-    "address": "concat('Nizami ', cast(c_nationkey as string))",
+    "address": "case when c_custkey % 5 = 0 then concat(' He said ', chr(34), 'hi', chr(34), ', ok ', "
+    "chr(92)) when c_custkey % 5 = 1 then concat(chr(34), 'a', chr(34), chr(34), ',', chr(92), chr(34)) "
+    "when c_custkey % 5 = 2 then concat(chr(92), 'n, ', chr(34)) "
+    "else concat('Nizami ', cast(c_nationkey as string)) end",
     "registration_date": "case when c_custkey % 10 = 9 then 'unknown' else concat('20', "
     "cast(10 + c_custkey % 13 as string), '-0', cast(1 + c_custkey % 9 as string), '-15') end",
     "marital_status": "case when c_custkey % 5 = 0 then 'Single' when c_custkey % 5 = 1 "

@@ -10,9 +10,6 @@ from ledgerleaf.catalogue.registry import Query, query
 from ledgerleaf.catalogue.standins import BRONZE_CARDS_SQL, bronze_cards, bronze_customers
 from ledgerleaf.plans import gold, silver
 from ledgerleaf.schemas import CARD_KEYS, MERCHANT_KEYS
-from ledgerleaf.sinks import write_parquet
-from ledgerleaf.sources import read_parquet
-from ledgerleaf.workdir import work_dir
 
 
 def silver_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,41 +46,37 @@ def dim_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.dim_customer(silver_customer(spark, sf_dir))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder, as the joins meet it in the gold job."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    write_parquet(df, path)
-    return read_parquet(spark, path)
-
-
 def join_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = _stored(dim_customer(spark, sf_dir), "dim_customer")
+    """The whole customer dimension beside each transaction."""
     facts = silver_card(spark, sf_dir).select("transaction_id", "customer_id")
-    joined = gold.with_customer(_stored(facts, "facts"), customer)
-    return joined.select("customer_id", "transaction_id", "first_name", "customer_segment")
+    return gold.with_customer(facts, dim_customer(spark, sf_dir))
 
 
 def join_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The card dimension by its three keys; ``in_dimension`` is null where none matches."""
-    cards = silver_card(spark, sf_dir).select("transaction_id", *CARD_KEYS)
-    facts = _stored(cards, "facts")
-    dimension = _stored(gold.dim_card(facts), "dim_card")
-    return gold.with_card(facts, dimension.withColumn("in_dimension", F.lit(True)))
+    facts = silver_card(spark, sf_dir).select("transaction_id", *CARD_KEYS)
+    return gold.with_card(facts, gold.dim_card(facts).withColumn("in_dimension", F.lit(True)))
 
 
 def join_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merchant dimension by its four keys, some of which are null."""
-    cards = silver_card(spark, sf_dir).select("transaction_id", *MERCHANT_KEYS)
-    facts = _stored(cards, "facts")
-    dimension = _stored(gold.dim_merchant(facts), "dim_merchant")
-    return gold.with_merchant(facts, dimension.withColumn("in_dimension", F.lit(True)))
+    facts = silver_card(spark, sf_dir).select("transaction_id", *MERCHANT_KEYS)
+    dimension = gold.dim_merchant(facts).withColumn("in_dimension", F.lit(True))
+    return gold.with_merchant(facts, dimension)
 
 
 def join_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = silver_card(spark, sf_dir).select("transaction_id", "transaction_datetime")
-    facts = _stored(cards, "facts")
-    return gold.with_date(facts, _stored(gold.dim_date(facts), "dim_date")).drop("date")
+    facts = silver_card(spark, sf_dir).select("transaction_id", "transaction_datetime")
+    return gold.with_date(facts, gold.dim_date(facts)).drop("date")
+
+
+def fact_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with a day key, and the day's row of the date dimension."""
+    cards = silver_card(spark, sf_dir)
+    fact = gold.fact_card_transaction(cards, silver_customer(spark, sf_dir), grain="day")
+    days = gold.dim_date(cards, "day").withColumnRenamed("date", "transaction_date")
+    chosen = fact.select("transaction_id", "transaction_datetime", "transaction_date")
+    return chosen.join(days, "transaction_date", "left")
 
 
 def join_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +93,8 @@ def fact_card_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FACT = f"""
 SELECT t.transaction_id, t.transaction_datetime, t.customer_id, t.card_number, t.card_type,
   t.iban, t.merchant_category, t.city, t.channel, t.is_international,
-  t.currency AS currency_code, CAST(t.transaction_amount AS DOUBLE) AS transaction_amount,
-  CAST(t.transaction_amount * CAST(r.rate AS DECIMAL(9, 4)) AS DOUBLE) AS azn_ekv,
+  t.currency AS currency_code, CAST(t.transaction_amount AS VARCHAR) AS transaction_amount,
+  CAST(t.transaction_amount * CAST(r.rate AS DECIMAL(9, 4)) AS VARCHAR) AS azn_ekv,
   t.transaction_type, t.transaction_status
 FROM ({sql.SILVER_CARDS_EXACT}) t
 LEFT JOIN ({sql.DIM_CUSTOMER}) c ON t.customer_id = c.customer_id
@@ -118,7 +111,7 @@ QUERIES: dict[str, Query] = {
     "silver_card": query(silver_card, sql.SILVER_CARDS),
     "dim_currency": query(
         dim_currency,
-        "SELECT s.currency, r.currency_code, CAST(r.rate AS DOUBLE) AS conversion_rate FROM "
+        "SELECT s.currency, r.currency_code, CAST(CAST(r.rate AS DECIMAL(9, 4)) AS VARCHAR) AS conversion_rate FROM "
         f"(SELECT DISTINCT upper(currency) AS currency FROM ({BRONZE_CARDS_SQL})) s "
         f"LEFT JOIN {sql.RATES} ON s.currency = r.currency_code",
     ),
@@ -133,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "dim_customer": query(dim_customer, sql.DIM_CUSTOMER),
     "join_customer": query(
         join_customer,
-        "SELECT t.customer_id, t.transaction_id, c.first_name, c.customer_segment "
+        "SELECT t.customer_id, t.transaction_id, c.* EXCLUDE (customer_id) "
         f"FROM ({sql.SILVER_CARDS_EXACT}) t LEFT JOIN ({sql.DIM_CUSTOMER}) c "
         "ON t.customer_id = c.customer_id",
     ),
@@ -160,9 +153,17 @@ QUERIES: dict[str, Query] = {
     ),
     "join_rate": query(
         join_rate,
-        "SELECT t.transaction_id, t.currency, r.currency_code, CAST(r.rate AS DOUBLE) AS "
+        "SELECT t.transaction_id, t.currency, r.currency_code, CAST(CAST(r.rate AS DECIMAL(9, 4)) AS VARCHAR) AS "
         f"conversion_rate FROM ({sql.SILVER_CARDS_EXACT}) t LEFT JOIN {sql.RATES} "
         "ON t.currency = r.currency_code",
     ),
     "fact_card_transaction": query(fact_card_transaction, _FACT),
+    "fact_by_day": query(
+        fact_by_day,
+        "SELECT t.transaction_id, t.transaction_datetime, CAST(d.date AS VARCHAR) AS "
+        "transaction_date, d.year, d.month, d.day, d.weekday, d.is_weekend "
+        f"FROM ({sql.SILVER_CARDS_EXACT}) t LEFT JOIN "
+        f"({sql.dim_date('CAST(transaction_datetime AS DATE)')}) d "
+        "ON CAST(t.transaction_datetime AS DATE) = d.date",
+    ),
 }

@@ -1,7 +1,7 @@
 """DataFrame to DataFrame operators."""
 
 from ledgerleaf.operators.audit import daily_audit, load_log, table_log
-from ledgerleaf.operators.keyed import latest_per_key, lookup_join, split_null_keys
+from ledgerleaf.operators.keyed import latest_per_key, require_unique, split_null_keys
 from ledgerleaf.operators.quality import file_status, is_complete, preview, reconcile, row_counts
 
 __all__ = [
@@ -10,9 +10,9 @@ __all__ = [
     "is_complete",
     "latest_per_key",
     "load_log",
-    "lookup_join",
     "preview",
     "reconcile",
+    "require_unique",
     "row_counts",
     "split_null_keys",
     "table_log",

@@ -1,20 +1,12 @@
-"""Operators on keys: one row per key, null keys apart, left join to a dimension."""
+"""Operators on keys: one row per key, null keys apart, dimensions without repeated keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.workdir import work_dir
-
-# Most dimension rows that are broadcast. A key is hot if it holds more than one part in
-# this many of the rows, so there are fewer hot keys than this.
-BROADCAST_ROWS = 10_000
-
 
 def split_null_keys(df: DataFrame, key: str | Column) -> tuple[DataFrame, DataFrame]:
     """Rows with a key, and the rejected rows without one."""
@@ -34,50 +26,12 @@ def latest_per_key(df: DataFrame, key: str, latest: str) -> DataFrame:
     return best.select(*values)
 
 
-def lookup_join(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join to a dimension that has one row per key; null keys match nothing.
-
-    A dimension that repeats a key is refused, since it would multiply facts. One of at
-    most ``BROADCAST_ROWS`` rows is broadcast. For a larger one no key may collect in
-    one task: rows of hot keys meet a broadcast of the hot keys' dimension rows, rows
-    with a null key pass through the same join unmatched, and all others take Spark's
-    choice of join.
+def require_unique(dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The dimension, refused if it has more than one row for some key; null keys match nothing.
 
-    Sizes and hot keys are counted when this function is called, so both sides should
-    be stored tables or cheap to read. The hot keys are kept as a table in the shared
-    folder.
+    One aggregate over the keys, meant for a stored dimension.
     """
-    spark, keys = facts.sparkSession, list(keys)
-    repeated = dimension.dropna(subset=keys).groupBy(*keys).count().filter("count > 1")
-    if not repeated.isEmpty():
+    keyed = dimension.dropna(subset=list(keys))
+    if not keyed.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError(f"the dimension has more than one row for some {', '.join(keys)}")
-    if dimension.count() <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(dimension), keys, "left")
-
-    unkeyed = reduce(or_, [F.col(name).isNull() for name in keys])
-    keyed = facts.filter(~unkeyed)
-    total, empty = facts.agg(F.count(F.lit(1)), F.count_if(unkeyed)).first()
-    frequent = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > F.lit(total / BROADCAST_ROWS))
-    )
-    path = work_dir(spark, "hot-keys")
-    frequent.write.parquet(path)
-    counted = spark.read.parquet(path)
-    hot, hot_rows = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
-    if not hot and not empty:
-        return facts.join(dimension, keys, "left")
-
-    hot_keys = counted.select(*keys)
-    found = dimension.join(F.broadcast(hot_keys), keys, "left_semi")
-    lookup = hot_keys.join(F.broadcast(found), keys, "left").withColumn("_hot", F.lit(True))
-    answered = facts.join(F.broadcast(lookup), keys, "left")
-    if total == empty + hot_rows:
-        return answered.drop("_hot")
-    others = keyed.join(F.broadcast(hot_keys), keys, "left_anti")
-    return (
-        answered.filter(F.col("_hot") | unkeyed)
-        .drop("_hot")
-        .unionByName(others.join(dimension, keys, "left"))
-    )
+    return dimension

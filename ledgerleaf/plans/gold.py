@@ -8,17 +8,20 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import latest_per_key, lookup_join
+from ledgerleaf.operators import latest_per_key
 from ledgerleaf.schemas import CARD_KEYS, FACT_COLUMNS, MERCHANT_KEYS, RATE_SCHEMA, RATES
 
-# A rate list up to this length is sent to every task; a longer one is joined as Spark
-# chooses.
-BROADCAST_RATES = 1_000
-
 
 def dim_currency(spark: SparkSession, rates: Mapping[str, Decimal] = RATES) -> DataFrame:
-    table = spark.createDataFrame(list(rates.items()), RATE_SCHEMA)
-    return F.broadcast(table) if len(rates) <= BROADCAST_RATES else table
+    """The rates as literals of the plan, so that their size is known to the optimizer."""
+    code, rate = RATE_SCHEMA.fields
+    rows = [
+        F.struct(
+            F.lit(name).alias(code.name), F.lit(value).cast(rate.dataType).alias(rate.name)
+        )
+        for name, value in rates.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], RATE_SCHEMA)
 
 
 def date_key(moment: Column, grain: str = "timestamp") -> Column:
@@ -55,42 +58,49 @@ def dim_customer(customers: DataFrame) -> DataFrame:
 
 
 def fact_card_transaction(
-    transactions: DataFrame, customers: DataFrame, rates: Mapping[str, Decimal] = RATES
+    transactions: DataFrame,
+    customers: DataFrame,
+    rates: Mapping[str, Decimal] = RATES,
+    grain: str = "timestamp",
 ) -> DataFrame:
     """The fact: five left joins, of which only the rate reaches a column.
 
     The other four right sides are aggregates on their join keys, so the optimizer
     knows that they neither add nor drop rows and removes them: the fact is one scan
-    with a broadcast lookup, without a shuffle.
+    with a join to the rates, without a shuffle. With ``grain="day"`` a last column,
+    ``transaction_date``, is the key of a date dimension of days.
     """
-    moments = dim_date(transactions).withColumnRenamed("date", "transaction_datetime")
+    fact = with_rate(transactions, dim_currency(transactions.sparkSession, rates))
+    fact = with_date(fact, dim_date(transactions, grain), grain)
+    fact = with_merchant(fact, dim_merchant(transactions))
+    fact = with_card(fact, dim_card(transactions))
+    fact = with_customer(fact, dim_customer(customers))
     in_manat = F.col("transaction_amount") * F.col("conversion_rate")
-    return (
-        with_rate(transactions, dim_currency(transactions.sparkSession, rates))
-        .join(moments, "transaction_datetime", "left")
-        .join(dim_merchant(transactions), MERCHANT_KEYS, "left")
-        .join(dim_card(transactions), CARD_KEYS, "left")
-        .join(dim_customer(customers), "customer_id", "left")
-        .withColumns({"azn_ekv": in_manat, "currency_code": F.col("currency")})
-        .select(*FACT_COLUMNS)
+    day = [F.col("date").alias("transaction_date")] if grain == "day" else []
+    return fact.withColumns({"azn_ekv": in_manat, "currency_code": F.col("currency")}).select(
+        *FACT_COLUMNS, *day
     )
 
 
+# Left joins to dimensions of one row per key. Null keys match nothing; adaptive execution
+# splits keys with many rows.
+
+
 def with_customer(fact: DataFrame, customer: DataFrame) -> DataFrame:
-    return lookup_join(fact, customer, ["customer_id"])
+    return fact.join(customer, "customer_id", "left")
 
 
 def with_card(fact: DataFrame, card: DataFrame) -> DataFrame:
-    return lookup_join(fact, card, CARD_KEYS)
+    return fact.join(card, CARD_KEYS, "left")
 
 
 def with_merchant(fact: DataFrame, merchant: DataFrame) -> DataFrame:
-    return lookup_join(fact, merchant, MERCHANT_KEYS)
+    return fact.join(merchant, MERCHANT_KEYS, "left")
 
 
 def with_date(fact: DataFrame, dates: DataFrame, grain: str = "timestamp") -> DataFrame:
     keyed = fact.withColumn("date", date_key(F.col("transaction_datetime"), grain))
-    return lookup_join(keyed, dates, ["date"])
+    return keyed.join(dates, "date", "left")
 
 
 def with_rate(fact: DataFrame, rate: DataFrame) -> DataFrame:

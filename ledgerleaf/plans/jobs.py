@@ -9,26 +9,36 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.operators import split_null_keys
+from ledgerleaf.operators import require_unique, split_null_keys
 from ledgerleaf.plans import gold, silver
-from ledgerleaf.schemas import CARD_TRANSACTIONS, CUSTOMERS, RATES
+from ledgerleaf.schemas import CARD_KEYS, CARD_TRANSACTIONS, CUSTOMERS, MERCHANT_KEYS, RATES
 from ledgerleaf.sinks import write_csv, write_parquet
 from ledgerleaf.sources import read_csv, read_csv_by_name, read_jdbc_table, read_parquet
 from ledgerleaf.sources.files import MISSING
 
 
-def build_silver_customers(spark: SparkSession, source: str, target: str, rejects: str) -> None:
-    """Customers CSV to silver Parquet; rows without a valid id go to ``rejects`` as text."""
+def build_silver_customers(
+    spark: SparkSession, source: str, target: str, rejects: str, as_csv: bool = False
+) -> None:
+    """Customers CSV to silver; rows without a valid id go to ``rejects`` as text, in Parquet.
+
+    The rejects are a second scan of the source: the two outputs differ in columns, and a
+    staged copy of the source would cost more than reading it again.
+    """
+    write = write_csv if as_csv else write_parquet
     as_text = T.StructType([T.StructField(name, T.StringType()) for name in CUSTOMERS.names])
     customer_id = F.col("customer_id").try_cast(CUSTOMERS["customer_id"].dataType)
     known, unknown = split_null_keys(read_csv(spark, source, as_text), customer_id)
-    write_parquet(silver.customers(known.withColumn("customer_id", customer_id)), target)
+    write(silver.customers(known.withColumn("customer_id", customer_id)), target)
     write_parquet(unknown, rejects)
 
 
-def build_silver_cards(spark: SparkSession, source: str, target: str) -> None:
+def build_silver_cards(
+    spark: SparkSession, source: str, target: str, as_csv: bool = False
+) -> None:
     bronze = read_csv_by_name(spark, source, CARD_TRANSACTIONS, MISSING)
-    write_parquet(silver.card_transactions(bronze), target)
+    write = write_csv if as_csv else write_parquet
+    write(silver.card_transactions(bronze), target)
 
 
 def build_gold(
@@ -42,19 +52,25 @@ def build_gold(
 ) -> None:
     """The star schema under ``target``, one folder per table.
 
-    Each dimension reads only its own columns of the silver Parquet.
+    Each dimension reads only its own columns of the silver Parquet, and is refused if it
+    repeats a key. With ``grain="day"`` the fact's ``transaction_date`` is the date key.
     """
     write = write_csv if as_csv else write_parquet
     customer = read_parquet(spark, customers)
     cards = read_parquet(spark, transactions)
-    write(gold.dim_currency(spark, rates), f"{target}/dim_currency")
-    write(gold.dim_date(cards, grain), f"{target}/dim_date")
-    write(gold.dim_card(cards), f"{target}/dim_card")
-    write(gold.dim_merchant(cards), f"{target}/dim_merchant")
-    write(gold.dim_customer(customer), f"{target}/dim_customer")
-    write(
-        gold.fact_card_transaction(cards, customer, rates), f"{target}/fact_card_transaction"
-    )
+    dimensions = {
+        "dim_currency": (gold.dim_currency(spark, rates), ["currency_code"]),
+        "dim_date": (gold.dim_date(cards, grain), ["date"]),
+        "dim_card": (gold.dim_card(cards), CARD_KEYS),
+        "dim_merchant": (gold.dim_merchant(cards), MERCHANT_KEYS),
+        "dim_customer": (gold.dim_customer(customer), ["customer_id"]),
+    }
+    for name, (rows, keys) in dimensions.items():
+        write(rows, f"{target}/{name}")
+        if not as_csv:
+            require_unique(read_parquet(spark, f"{target}/{name}"), keys)
+    fact = gold.fact_card_transaction(cards, customer, rates, grain)
+    write(fact, f"{target}/fact_card_transaction")
 
 
 def snapshot_jdbc(
@@ -66,7 +82,14 @@ def snapshot_jdbc(
     split_column: str | None = None,
     partitions: int = 32,
     conditions: list[str] | None = None,
+    single_task: bool = False,
 ) -> None:
-    """A database table to Parquet, read in parallel parts."""
+    """A database table to Parquet, read in parallel parts.
+
+    ``split_column`` or ``conditions`` divide it; a table that is to go through one task
+    has to be named as such by ``single_task``.
+    """
+    if split_column is None and not conditions and not single_task:
+        raise ValueError("give split_column or conditions, or choose single_task")
     rows = read_jdbc_table(spark, url, table, properties, split_column, partitions, conditions)
     write_parquet(rows, target)

@@ -15,9 +15,10 @@ def _text(*names: str) -> list[T.StructField]:
 CUSTOMERS = T.StructType(
     [
         T.StructField("customer_id", T.IntegerType()),
-        *_text("full_name", "gender", "birth_date", "customer_fin", "email", "phone"),
-        *_text("address", "registration_date", "marital_status", "education_level"),
-        *_text("customer_segment"),
+        *_text(
+            "full_name", "gender", "birth_date", "customer_fin", "email", "phone", "address",
+            "registration_date", "marital_status", "education_level", "customer_segment",
+        ),
     ]
 )
 
@@ -30,8 +31,10 @@ CARD_TRANSACTIONS = T.StructType(
         T.StructField("customer_id", T.IntegerType()),
         *_text("card_number", "iban", "transaction_datetime"),
         T.StructField("transaction_amount", T.DecimalType(18, 2)),
-        *_text("currency", "card_type", "transaction_type", "merchant_category"),
-        *_text("transaction_status", "channel", "city", "is_international"),
+        *_text(
+            "currency", "card_type", "transaction_type", "merchant_category",
+            "transaction_status", "channel", "city", "is_international",
+        ),
     ]
 )
 

@@ -35,11 +35,11 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
     """CSV with a header that must equal the schema's names in number and order.
 
     Without ``enforceSchema=False`` the header is ignored and an added column would
-    shift all that follow.
+    shift all that follow. Quotes inside a quoted value are doubled; a backslash is a
+    character like any other.
     """
-    return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    )
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("escape", '"').csv(path)
 
 
 def read_csv_by_name(
@@ -51,7 +51,9 @@ def read_csv_by_name(
 ) -> DataFrame:
     """CSV whose columns are found by header name, in any order.
 
-    Declared columns come first with their types, further ones follow as text.
+    Declared columns come first with their types, further ones follow as text. One call
+    takes files of one header; for several, read each and use ``unionByName`` with
+    ``allowMissingColumns``.
     Texts listed in ``missing`` become null. Quotes inside a quoted value are doubled.
     Values with line breaks need ``multi_line``, which makes each file one task.
     """
@@ -62,7 +64,8 @@ def read_csv_by_name(
         raise ValueError(f"columns missing from {path}: {', '.join(absent)}")
 
     def value(name: str):
-        return F.when(~F.col(name).isin(*missing), F.col(name)) if missing else F.col(name)
+        column = F.col("`" + name.replace("`", "``") + "`")
+        return F.when(~column.isin(*missing), column) if missing else column
 
     declared = [value(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
     others = [value(name).alias(name) for name in raw.columns if name not in schema.names]

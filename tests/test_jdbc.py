@@ -58,7 +58,9 @@ def test_table_is_read_by_conditions():
 def test_snapshot_writes_what_was_read(spark, monkeypatch, tmp_path):
     rows = spark.range(10)
     monkeypatch.setattr(jobs, "read_jdbc_table", lambda *_: rows)
-    jobs.snapshot_jdbc(spark, URL, "t", PROPERTIES, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="single_task"):
+        jobs.snapshot_jdbc(spark, URL, "t", PROPERTIES, str(tmp_path / "out"))
+    jobs.snapshot_jdbc(spark, URL, "t", PROPERTIES, str(tmp_path / "out"), single_task=True)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 

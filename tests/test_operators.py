@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerleaf import operators as op
-from ledgerleaf.operators import keyed
+from ledgerleaf.plans import gold
 
 
 def rows(df):
@@ -20,49 +20,48 @@ relaxed = settings(
 key = st.one_of(st.none(), st.integers(0, 8), st.just(3))
 
 
-@relaxed
-@given(st.lists(st.tuples(key, st.sampled_from(["a", "b", None])), max_size=60))
-def test_lookup_join_equals_a_plain_left_join(spark, facts):
-    numbered = [(i, k, t) for i, (k, t) in enumerate(facts)]
-    df = spark.createDataFrame(numbered, "i int, k int, t string")
-    dim = spark.createDataFrame(
-        [(k, t, k * 10) for k in range(6) for t in "ab"], "k int, t string, v int"
+def test_hot_and_null_keys_are_split_by_adaptive_execution(spark):
+    """Half of the rows on one card, some without a key: the joins of the star need no help."""
+    facts = spark.range(200_000, numPartitions=8).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot"))
+        .when(F.col("id") % 50 == 1, F.lit(None).cast("string"))
+        .otherwise(F.col("id").cast("string"))
+        .alias("card_number"),
+        F.lit("Visa").alias("card_type"),
+        F.lit("AZ").alias("iban"),
+        F.sha2(F.col("id").cast("string"), 256).alias("wide"),
     )
-    for rows_allowed in (10_000, 11, 5, 1):
-        keyed.BROADCAST_ROWS = rows_allowed
-        try:
-            joined = op.lookup_join(df, dim, ["k", "t"])
-        finally:
-            keyed.BROADCAST_ROWS = 10_000
-        assert rows(joined.select("i", "k", "t", "v")) == rows(
-            df.join(dim, ["k", "t"], "left").select("i", "k", "t", "v")
-        )
-
-
-def test_lookup_join_keeps_hot_and_null_keys_out_of_the_shuffle(spark):
-    """A third of the rows on one key, a third without a key."""
-    df = spark.range(30_000).select(
-        "id",
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"),
-    )
-    dim = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    dimension = gold.dim_card(facts).withColumn("in_dimension", F.lit(True))
+    stored = dimension.repartition(4)
+    settings_ = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings_}
     try:
-        joined = op.lookup_join(df, dim, ["k"])
-        assert joined.count() == 30_000
-        assert joined.filter("v IS NOT NULL").count() == 20_000
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        for name, value in settings_.items():
+            spark.conf.set(name, value)
+        joined = gold.with_card(facts, stored)
+        found = joined.groupBy().agg(
+            F.count(F.lit(1)), F.count("in_dimension"), F.count_distinct("wide")
+        )
+        assert tuple(found.collect()[0]) == (200_000, 196_000, 200_000)
+        plan = found._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "BroadcastHashJoin" in plan
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "skew=true" in plan
 
 
-def test_lookup_join_refuses_a_dimension_with_repeated_keys(spark):
-    facts = spark.createDataFrame([(1,), (1,)], "k int")
-    dim = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+def test_dimension_with_repeated_keys_is_refused(spark):
+    dimension = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d")], "k int, v string")
     with pytest.raises(ValueError, match="more than one row"):
-        op.lookup_join(facts, dim, ["k"])
+        op.require_unique(dimension, ["k"])
+    once = dimension.filter("v <> 'b'")
+    assert op.require_unique(once, ["k"]) is once
 
 
 def test_latest_per_key_has_a_stated_rule(spark):
