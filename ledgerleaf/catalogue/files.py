@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,10 @@ from ledgerleaf.catalogue.standins import (
     BRONZE_CARDS_SQL,
     BRONZE_CUSTOMERS_SQL,
     FIELDS,
+    IS_BROKEN,
+    IS_REMARKED,
     IS_TRUNCATED,
+    SECOND_DELIVERY,
     SOURCE,
     bronze_cards,
     bronze_customers,
@@ -25,12 +29,13 @@ from ledgerleaf.catalogue.standins import (
 from ledgerleaf.operators import (
     daily_audit,
     file_status,
+    is_complete,
     load_log,
     reconcile,
     row_counts,
     table_log,
 )
-from ledgerleaf.plans.settlement import load_table, settlement_rows, with_decimals
+from ledgerleaf.plans.settlement import LoadFailed, LogNames, load_settlement
 from ledgerleaf.schemas import (
     CARD_TRANSACTIONS,
     CUSTOMERS,
@@ -84,85 +89,149 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, path)
 
 
-_LANDED: dict[tuple[str, str], list[str]] = {}
-
-
 def landing(spark: SparkSession, sf_dir: str) -> list[str]:
     """Folders of settlement deliveries made from orders: complete ones, and cut ones.
 
-    Written once per session and table folder. Those of December are cut: they have
-    their records but no closing root tag. ``rebalance`` splits a source that holds
-    many rows over several part files.
+    Those of December are cut: they have their records but no closing root tag. Those of
+    January hold a comment, so they may not be cut at row tags. ``rebalance`` splits a
+    source that holds many rows over several part files.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
-        orders = table(spark, sf_dir, "orders")
-        whole, cut = work_dir(spark, "complete"), work_dir(spark, "truncated")
-        complete = derive(orders.filter(f"NOT ({IS_TRUNCATED})"), _RECORD)
-        (
-            complete.hint("rebalance", F.col("source"))
-            .write.format("xml")
-            .option("rowTag", ROW_TAG)
-            .option("rootTag", ROOT_TAG)
-            .option("declaration", "")
-            .partitionBy("source")
-            .save(whole)
-        )
-        truncated = derive(orders.filter(IS_TRUNCATED), _RECORD)
-        record = F.to_xml(F.struct(*FIELDS), {"rowTag": ROW_TAG})
-        (
-            truncated.select("source", record.alias("value"))
-            .hint("rebalance", F.col("source"))
-            .write.partitionBy("source")
-            .text(cut)
-        )
-        _LANDED[key] = [whole, cut]
-    return _LANDED[key]
+    orders = table(spark, sf_dir, "orders")
+    whole, cut = work_dir(spark, "complete"), work_dir(spark, "truncated")
+    complete = derive(orders.filter(f"NOT ({IS_TRUNCATED})"), _RECORD)
+    (
+        complete.hint("rebalance", F.col("source"))
+        .write.format("xml")
+        .option("rowTag", ROW_TAG)
+        .option("rootTag", ROOT_TAG)
+        .option("declaration", "")
+        .partitionBy("source")
+        .save(whole)
+    )
+    remark = F.lit(f"<{ROOT_TAG}><!-- remark --></{ROOT_TAG}>").alias("value")
+    remarked = derive(orders.filter(IS_REMARKED), {"source": SOURCE}).distinct()
+    remarked.select("source", remark).write.mode("append").partitionBy("source").text(whole)
+    truncated = derive(orders.filter(IS_TRUNCATED), _RECORD)
+    _write_records(truncated.select("source", _record_text().alias("value")), cut)
+    return [whole, cut]
+
+
+def _record_text() -> Column:
+    return F.to_xml(F.struct(*FIELDS), {"rowTag": ROW_TAG})
+
+
+def _write_records(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", F.col("source")).write.partitionBy("source").text(path)
 
 
 def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole-file reader on the complete deliveries."""
-    whole, _ = landing(spark, sf_dir)
-    return read_xml(spark, whole, SETTLEMENT_RECORD, name=_name())
+    """The whole-file reader on the complete deliveries; the cut ones have no root to read."""
+    whole, cut = landing(spark, sf_dir)
+    complete = read_xml(spark, whole, SETTLEMENT_RECORD, name=_name())
+    truncated = xml_records(xml_chunks(spark, cut, name=_name()), SETTLEMENT_RECORD)
+    return complete.unionByName(truncated).drop("REJECTED", "REJECT_TEXT")
 
 
 def xml_cut_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The splittable form on the same deliveries."""
-    whole, _ = landing(spark, sf_dir)
-    return xml_records(xml_chunks(spark, whole, name=_name()), SETTLEMENT_RECORD)
+    parts = [
+        xml_records(xml_chunks(spark, folder, name=_name()), SETTLEMENT_RECORD)
+        for folder in landing(spark, sf_dir)
+    ]
+    return parts[0].unionByName(parts[1]).drop("REJECTED", "REJECT_TEXT")
 
 
-def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = [
-        file_status(xml_chunks(spark, folder, name=_name())) for folder in landing(spark, sf_dir)
-    ]
+def _completeness(spark: SparkSession, folders: list[str]) -> DataFrame:
+    status = [file_status(xml_chunks(spark, folder, name=_name())) for folder in folders]
     return status[0].unionByName(status[1])
 
 
-def xml_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness, records, projection, decimals, partitioned table.
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _completeness(spark, landing(spark, sf_dir))
+
+
+def closing_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any text of a folder closes the root; stops at the first that does."""
+    closes = [is_complete(spark.read.text(f), "value") for f in landing(spark, sf_dir)]
+    kinds = spark.createDataFrame([("complete", closes[0]), ("cut", closes[1])], "kind string, closes boolean")
+    return kinds
+
+
+def _delivered_name(path: str) -> str:
+    return path.rsplit("source=", 1)[-1]
+
+
+def _load(
+    spark: SparkSession,
+    sf_dir: str,
+    folders: list[str],
+    loaded: str,
+    path: str,
+    write_log: Callable[[str, DataFrame], None] = lambda *_: None,
+) -> DataFrame:
+    """The settlement job on all deliveries in the folders; files that fail are left to its logs."""
+    names = derive(table(spark, sf_dir, "orders"), {"source": SOURCE, "late": IS_TRUNCATED}).distinct()
+    # One entry per delivery, the list that the job is given.
+    paths = [f"{folders[row.late if len(folders) > 1 else 0]}/source={row.source}" for row in names.collect()]
+    name = F.regexp_extract(F.col("_metadata.file_path"), "source=([^/]+)/[^/]*$", 1)
+    log_names = LogNames("CARD", "daily", "load")
+    try:
+        load_settlement(
+            spark, paths, loaded, log_names, write_log, RUN_DATE, path=path, name=name, name_of=_delivered_name
+        )
+    except LoadFailed:
+        pass
+    return spark.table(loaded)
 
-    The name list has one entry per delivery.
-    """
-    status = completeness(spark, sf_dir)
-    names = [row.FILE_NAME for row in status.filter("complete").collect()]
-    parts = [xml_chunks(spark, folder, name=_name()) for folder in landing(spark, sf_dir)]
-    chunks = parts[0].unionByName(parts[1]).filter(F.col("FILE_NAME").isin(names))
-    rows = settlement_rows(xml_records(chunks, SETTLEMENT_RECORD), F.lit(RUN_DATE))
+
+def _new_table(spark: SparkSession) -> tuple[str, str]:
     path = work_dir(spark, "settlement")
-    loaded = "settlement_" + path.rsplit("-", 1)[-1]
-    load_table(with_decimals(rows), loaded, names, path=path)
-    return spark.table(loaded)
+    return "settlement_" + path.rsplit("-", 1)[-1], path
+
+
+def xml_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settlement job on all deliveries; those that are not complete fail."""
+    return _load(spark, sf_dir, landing(spark, sf_dir), *_new_table(spark))
+
+
+def settlement_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job twice into one table: the second delivery of March files has even orders only."""
+    loaded, path = _new_table(spark)
+    folders = landing(spark, sf_dir)
+    _load(spark, sf_dir, folders, loaded, path)
+    again = work_dir(spark, "again")
+    chosen = table(spark, sf_dir, "orders").filter(f"NOT ({IS_TRUNCATED}) AND ({SECOND_DELIVERY})")
+    rows = derive(chosen, _RECORD).select("source", _record_text().alias("value"))
+    end = rows.select("source", F.lit(f"</{ROOT_TAG}>").alias("value")).distinct()
+    _write_records(rows.unionByName(end), again)
+    return _load(spark, sf_dir, [again, folders[1]], loaded, path)
+
+
+def xml_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a closing field tag among the deliveries: what the job rejects."""
+    folder = work_dir(spark, "broken")
+    records = derive(table(spark, sf_dir, "orders"), {**_RECORD, "bad": IS_BROKEN})
+    text = F.when(F.col("bad"), F.replace(_record_text(), F.lit("</FLD_004>"))).otherwise(_record_text())
+    rows = records.select("source", text.alias("value"))
+    end = rows.select("source", F.lit(f"</{ROOT_TAG}>").alias("value")).distinct()
+    _write_records(rows.unionByName(end), folder)
+    logs: dict[str, DataFrame] = {}
+    held = _load(spark, sf_dir, [folder], *_new_table(spark), logs.__setitem__)
+    order = F.regexp_extract("REJECT_TEXT", "<FLD_004>([0-9]+)", 1)
+    rejected = logs["rejects"].select("FILE_NAME", order.alias("order_id"), F.lit(True).alias("rejected"))
+    kept = held.select("FILE_NAME", F.col(SETTLEMENT_TEXT_COLUMNS[0]).alias("order_id"), F.lit(False).alias("rejected"))
+    return rejected.unionByName(kept)
 
 
 def settlement_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records found in the delivered text against rows in the loaded table."""
-    delivered = completeness(spark, sf_dir).select(
+    folders = landing(spark, sf_dir)
+    delivered = _completeness(spark, folders).select(
         "FILE_NAME",
         fn.file_date(F.col("FILE_NAME")).alias("FILE_DATE"),
         F.col("records").alias("ROW_CNT"),
     )
-    return reconcile(delivered, row_counts(xml_settlement(spark, sf_dir)))
+    return reconcile(delivered, row_counts(_load(spark, sf_dir, folders, *_new_table(spark))))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,6 +344,9 @@ SELECT CAST(CAST(try_strptime(FLD_001, '%Y%m%d') AS DATE) AS VARCHAR) AS STTL_DA
   '{RUN_DATE}' AS INSERT_DATE, substr(FILE_NAME, 9, 10) AS FILE_DATE
 FROM ({_COMPLETE_SQL})
 """
+_SECOND_SQL = derive_sql(
+    {"FILE_NAME": SOURCE, **FIELDS}, f"orders WHERE NOT ({IS_TRUNCATED}) AND ({SECOND_DELIVERY})"
+)
 
 _DELIVERED = f"SELECT {SOURCE} AS FILE_NAME, o_orderstatus AS status FROM orders"
 _OUTCOME = f"""
@@ -302,14 +374,24 @@ QUERIES: dict[str, Query] = {
     "parquet_roundtrip": query(
         parquet_roundtrip, "SELECT * FROM lineitem"
     ),
-    "xml_roundtrip": query(xml_roundtrip, _COMPLETE_SQL),
-    "xml_cut_roundtrip": query(xml_cut_roundtrip, _COMPLETE_SQL),
+    "xml_roundtrip": query(xml_roundtrip, _RECORD_SQL),
+    "xml_cut_roundtrip": query(xml_cut_roundtrip, _RECORD_SQL),
     "completeness": query(
         completeness,
         f"SELECT {SOURCE} AS FILE_NAME, NOT ({IS_TRUNCATED}) AS complete, count(*) AS records, "
-        "TRUE AS cuttable FROM orders GROUP BY ALL",
+        f"NOT ({IS_REMARKED}) AS cuttable FROM orders GROUP BY ALL",
+    ),
+    "closing_tag": query(
+        closing_tag,
+        f"SELECT 'complete' AS kind, count(*) FILTER (NOT ({IS_TRUNCATED})) > 0 AS closes FROM orders "
+        "UNION ALL SELECT 'cut', FALSE",
     ),
     "xml_settlement": query(xml_settlement, _SETTLEMENT),
+    "settlement_reload": query(settlement_reload, _SETTLEMENT.replace(_COMPLETE_SQL, _SECOND_SQL)),
+    "xml_rejects": query(
+        xml_rejects,
+        f"SELECT {SOURCE} AS FILE_NAME, cast(o_orderkey AS VARCHAR) AS order_id, {IS_BROKEN} AS rejected FROM orders",
+    ),
     "settlement_reconcile": query(
         settlement_reconcile,
         "SELECT FILE_NAME, substr(FILE_NAME, 9, 10) AS FILE_DATE, n AS source_count, "

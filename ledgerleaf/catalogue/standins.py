@@ -82,6 +82,9 @@ CUSTOMERS = {
 # Settlement records from orders: the file a record comes in, and its fields.
 SOURCE = "concat('PERTRANS', substr(cast(o_orderdate as string), 1, 7), '-01.xml')"
 IS_TRUNCATED = "substr(cast(o_orderdate as string), 6, 2) = '12'"
+IS_REMARKED = "substr(cast(o_orderdate as string), 6, 2) = '01'"
+SECOND_DELIVERY = "substr(cast(o_orderdate as string), 6, 2) <> '03' OR o_orderkey % 2 = 0"
+IS_BROKEN = "o_orderkey % 53 = 0"
 _MONTH = "concat(replace(substr(cast(o_orderdate as string), 1, 7), '-', ''), '01')"
 _AMOUNT = "cast(cast(o_totalprice as decimal(18, 2)) as string)"
 _FIELDS = {

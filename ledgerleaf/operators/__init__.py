@@ -1,15 +1,24 @@
 """DataFrame to DataFrame operators."""
 
-from ledgerleaf.operators.audit import daily_audit, load_log, table_log
+from ledgerleaf.operators.audit import daily_audit, load_log, local_moment, table_log
 from ledgerleaf.operators.keyed import latest_per_key, require_unique, split_null_keys
-from ledgerleaf.operators.quality import file_status, is_complete, preview, reconcile, row_counts
+from ledgerleaf.operators.quality import (
+    agreement,
+    file_status,
+    is_complete,
+    preview,
+    reconcile,
+    row_counts,
+)
 
 __all__ = [
+    "agreement",
     "daily_audit",
     "file_status",
     "is_complete",
     "latest_per_key",
     "load_log",
+    "local_moment",
     "preview",
     "reconcile",
     "require_unique",

@@ -14,7 +14,7 @@ from ledgerleaf.functions import clip_error, local_time
 from ledgerleaf.schemas import DAILY_AUDIT_COLUMNS, LOAD_LOG_COLUMNS, TABLE_LOG_COLUMNS
 
 
-def _local(moment: datetime) -> Column:
+def local_moment(moment: datetime) -> Column:
     """As text first: a datetime literal would pass through the session's zone."""
     if moment.tzinfo is not None:
         moment = moment.astimezone(UTC).replace(tzinfo=None)
@@ -26,19 +26,24 @@ def load_log(
 ) -> DataFrame:
     """Load log of ``outcome`` (FILE_NAME, FILE_DATE, source_count, target_count, error).
 
-    A file with an error is ``Fail`` with counts of 0.
+    A file with an error is ``Fail`` with counts of 0. Where ``outcome`` has a
+    rejected_count, a loaded file's error text tells how many records were rejected.
     """
     failed = F.col("error").isNotNull()
+    error = F.col("error")
+    if "rejected_count" in outcome.columns:
+        rejected = F.concat(F.lit("Rejected records: "), F.col("rejected_count"))
+        error = F.when(failed, error).when(F.col("rejected_count") > 0, rejected)
     return outcome.select(
         "FILE_NAME",
         F.when(failed, "Fail").otherwise("Success").alias("PARSE_STATUS"),
         F.when(failed, 0).otherwise(F.col("source_count")).cast("long").alias("FILE_ROW_CNT"),
         F.when(failed, 0).otherwise(F.col("target_count")).cast("long").alias("PARSE_ROW_CNT"),
-        clip_error(F.col("error")).alias("ERROR_DESC"),
-        _local(inserted).alias("INSERT_DATE"),
-        F.year(_local(inserted)).alias("INSERT_YEAR"),
-        _local(started).alias("START_DT"),
-        _local(ended).alias("END_DT"),
+        clip_error(error).alias("ERROR_DESC"),
+        local_moment(inserted).alias("INSERT_DATE"),
+        F.year(local_moment(inserted)).alias("INSERT_YEAR"),
+        local_moment(started).alias("START_DT"),
+        local_moment(ended).alias("END_DT"),
         F.lit(job_name).alias("JOB_NAME"),
         "FILE_DATE",
     ).select(*LOAD_LOG_COLUMNS)
@@ -59,8 +64,8 @@ def table_log(
         (F.current_date() if report_date is None else report_date).alias("report_date"),
         F.col("FILE_NAME").alias("source_table_name"),
         F.lit(table).alias("hms_table_name"),
-        _local(started).alias("start_time"),
-        _local(ended).alias("end_time"),
+        local_moment(started).alias("start_time"),
+        local_moment(ended).alias("end_time"),
         F.col("target_count").cast("long").alias("hms_count"),
         F.lit(dag_id).alias("dag_id"),
         F.lit(task_id).alias("task_id"),

@@ -43,6 +43,11 @@ def row_counts(df: DataFrame, alias: str = "ROW_CNT") -> DataFrame:
     return df.groupBy("FILE_NAME", "FILE_DATE").agg(F.count(F.lit(1)).alias(alias))
 
 
+def agreement(delivered: Column, held: Column) -> Column:
+    """The state of two counts: ``success`` where they are equal, else ``fail``."""
+    return F.when(delivered == held, "success").otherwise("fail")
+
+
 def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source and target counts by file, ``success`` where they agree, else ``fail``.
 
@@ -54,13 +59,12 @@ def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
     same_file = F.col("s.FILE_NAME").eqNullSafe(F.col("t.FILE_NAME")) & F.col(
         "s.FILE_DATE"
     ).eqNullSafe(F.col("t.FILE_DATE"))
-    agree = F.col("source_count") == F.col("target_count")
     return left.join(right, same_file, "full").select(
         F.coalesce("s.FILE_NAME", "t.FILE_NAME").alias("FILE_NAME"),
         F.coalesce("s.FILE_DATE", "t.FILE_DATE").alias("FILE_DATE"),
         "source_count",
         "target_count",
-        F.when(agree, "success").otherwise("fail").alias("count_state"),
+        agreement(F.col("source_count"), F.col("target_count")).alias("count_state"),
     )
 
 

@@ -12,12 +12,18 @@ from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import functions as fn
-from ledgerleaf.operators import daily_audit, file_status, load_log, table_log
+from ledgerleaf.operators import (
+    agreement,
+    daily_audit,
+    file_status,
+    load_log,
+    local_moment,
+    table_log,
+)
 from ledgerleaf.schemas import (
     SETTLEMENT_DECIMALS,
     SETTLEMENT_RECORD,
@@ -39,7 +45,7 @@ PARTITIONS = ["TRN_DATE", "FILE_NAME"]
 
 OUTCOME = (
     "FILE_NAME string, FILE_DATE date, source_count bigint, target_count bigint, "
-    "count_state string, error string"
+    "rejected_count bigint, error string"
 )
 
 
@@ -87,48 +93,54 @@ def with_decimals(rows: DataFrame) -> DataFrame:
 
 
 def settlement_records(
-    spark: SparkSession, cut: list[str], whole: list[str] = ()
+    spark: SparkSession, cut: list[str], whole: list[str] = (), name: Column | None = None
 ) -> DataFrame:
     """Records of files read in cut form and of files that need the whole-file reader."""
     parts = []
     if cut:
-        parts.append(xml_records(xml_chunks(spark, list(cut)), SETTLEMENT_RECORD))
+        parts.append(xml_records(xml_chunks(spark, list(cut), name=name), SETTLEMENT_RECORD))
     if whole:
-        parts.append(read_xml(spark, list(whole), SETTLEMENT_RECORD))
+        parts.append(read_xml(spark, list(whole), SETTLEMENT_RECORD, name=name))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _unreadable(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Paths that cannot be opened, with the reason; looked for one by one only if some exist."""
+def _halved(items: list, work: Callable[[list], None], failed: Callable) -> None:
+    """Works on all items at once; on failure on each half, until what fails stands alone."""
     try:
-        spark.read.text(paths)
-        return {}
-    except AnalysisException as problem:
-        if len(paths) == 1:
-            return {paths[0]: str(problem)}
-    found: dict[str, str] = {}
-    for path in paths:
-        found |= _unreadable(spark, [path])
-    return found
-
-
-def inspect_files(spark: SparkSession, paths: list[str]) -> list[Row]:
+        work(items)
+    except Exception as problem:  # noqa: BLE001 - the item gets its log row
+        if len(items) == 1:
+            failed(items[0], str(problem))
+            return
+        middle = len(items) // 2
+        _halved(items[:middle], work, failed)
+        _halved(items[middle:], work, failed)
+
+
+def inspect_files(
+    spark: SparkSession,
+    paths: list[str],
+    name: Column | None = None,
+    name_of: Callable[[str], str] = base_name,
+) -> list[Row]:
     """One row per path: path, FILE_NAME, FILE_DATE, records, cuttable, error.
 
-    The text of all readable files is scanned in one job, which returns one row for
-    each path of the list.
+    The text of all files is scanned in one job, which returns one row for each path of
+    the list. A file that cannot be opened or scanned is left out by halving the list.
     """
-    unreadable = _unreadable(spark, paths)
-    readable = [path for path in paths if path not in unreadable]
+    found: list[Row] = []
+    problems: dict[str, str] = {}
+
+    def scan(part: list[str]) -> None:
+        found.extend(file_status(xml_chunks(spark, part, name=name)).collect())
+
+    _halved(list(paths), scan, problems.__setitem__)
     listing = spark.createDataFrame(
-        [(path, base_name(path), unreadable.get(path)) for path in paths],
+        [(path, name_of(path), problems.get(path)) for path in paths],
         "path string, FILE_NAME string, problem string",
     )
-    blank = "FILE_NAME string, complete boolean, records bigint, cuttable boolean"
-    status = (
-        file_status(xml_chunks(spark, readable))
-        if readable
-        else spark.createDataFrame([], blank)
+    status = spark.createDataFrame(
+        found, "FILE_NAME string, complete boolean, records bigint, cuttable boolean"
     )
     day = fn.file_date(F.col("FILE_NAME"))
     error = (
@@ -166,11 +178,11 @@ def load_table(
     spark = rows.sparkSession
     if compact:
         rows = rows.hint("rebalance", *[F.col(name) for name in PARTITIONS])
-    if fmt == "delta":
-        if spark.catalog.tableExists(table):
-            quoted = ", ".join("'" + name.replace("'", "\\'") + "'" for name in names)
-            spark.sql(f"DELETE FROM {table} WHERE FILE_NAME IN ({quoted})")
-        append_table(rows, table, PARTITIONS, fmt, path)
+    if fmt == "delta" and spark.catalog.tableExists(table):
+        # One commit, so that a load that fails loses nothing.
+        quoted = ", ".join("'" + name.replace("'", "\\'") + "'" for name in names)
+        writer = rows.write.format(fmt).mode("overwrite")
+        writer.option("replaceWhere", f"FILE_NAME IN ({quoted})").saveAsTable(table)
         return
     earlier = _data_files(spark, table, names)
     replace_table_partitions(rows, table, PARTITIONS, fmt, path)
@@ -206,64 +218,92 @@ def load_settlement(
     mask_cards: bool = True,
     fmt: str = "parquet",
     path: str | None = None,
+    compact: bool = False,
+    name: Column | None = None,
+    name_of: Callable[[str], str] = base_name,
 ) -> DataFrame:
     """Loads settlement files and returns the outcome per file.
 
-    ``write_log`` receives ``load_log``, ``table_log`` and ``daily_audit`` frames and
-    stores them where the caller wants. Raises ``LoadFailed`` at the end if any file
-    failed.
+    ``write_log`` receives ``load_log``, ``table_log`` and ``daily_audit`` frames, and
+    ``rejects`` if a record did not parse, and stores them where the caller wants. A file
+    that breaks a scan or the write is left out by halving the list. Raises
+    ``LoadFailed`` at the end if any file failed.
+
+    Where a delivery is a folder of parts, ``name_of`` gives the file's name for a path
+    of the list and ``name`` the same name for a row that is read.
     """
     started = datetime.now(UTC)
-    files = select_settlement_files(paths)
-    file_names = [base_name(p) for p in files]
+    files = select_settlement_files(paths, name_of)
+    file_names = [name_of(p) for p in files]
     if len(set(file_names)) < len(file_names):
         raise ValueError("two paths have the same file name")
     if not files:
-        return spark.createDataFrame([], OUTCOME)
-    run = F.current_date() if run_date is None else F.lit(run_date)
-    checked = inspect_files(spark, files)
+        return _outcome(spark, [], {}, {}, {}, {})
+    today = F.to_date(local_moment(started))
+    run = today if run_date is None else F.lit(run_date)
+    checked = inspect_files(spark, files, name, name_of)
     good = [row for row in checked if row.error is None]
     table_errors = {row.FILE_NAME: row.error for row in checked if row.error is not None}
-    jdbc_errors = dict(table_errors)
     source_counts = {row.FILE_NAME: row.records for row in good}
     table_counts: dict[str, int] = {}
-    jdbc_counts: dict[str, int] = {}
+
+    def records(part: list[Row]) -> DataFrame:
+        cut, whole = ([r.path for r in part if r.cuttable is is_cut] for is_cut in (True, False))
+        return settlement_records(spark, cut, whole, name)
+
+    def rows(part: list[Row]) -> DataFrame:
+        return settlement_rows(records(part).filter(~F.col("REJECTED")), run, mask_cards)
+
+    def load(part: list[Row]) -> None:
+        part_names = [row.FILE_NAME for row in part]
+        whole = [row.path for row in part if not row.cuttable]
+        if whole:
+            counted = _counts(read_xml(spark, whole, SETTLEMENT_RECORD, name=name))
+            source_counts.update({r.FILE_NAME: 0 for r in part if not r.cuttable} | counted)
+        load_table(with_decimals(rows(part)), table, part_names, fmt, path, compact)
+        loaded = spark.table(table).filter(F.col("FILE_NAME").isin(part_names))
+        table_counts.update(_counts(loaded))
 
     if good:
-        good_names = [row.FILE_NAME for row in good]
-        whole = [row.path for row in good if not row.cuttable]
-        rows = settlement_rows(
-            settlement_records(spark, [row.path for row in good if row.cuttable], whole),
-            run,
-            mask_cards,
-        )
-        if jdbc is not None:
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        step = table_errors
+        _halved(good, load, lambda row, problem: table_errors.update({row.FILE_NAME: problem}))
+    loaded_files = [row for row in good if row.FILE_NAME not in table_errors]
+
+    # Only files that lack rows in the table are read again for what was rejected.
+    lacking = [
+        row
+        for row in loaded_files
+        if source_counts[row.FILE_NAME] != table_counts.get(row.FILE_NAME, 0)
+    ]
+    rejected_counts: dict[str, int] = {}
+    if lacking:
+        rejects = records(lacking).filter("REJECTED").select("FILE_NAME", "REJECT_TEXT")
+        rejected_counts = _counts(rejects)
+        if rejected_counts:
+            write_log("rejects", rejects.withColumn("INSERT_DATE", run))
+
+    jdbc_errors: dict[str, str] = {}
+    jdbc_counts: dict[str, int] = {}
+    if jdbc is not None and loaded_files:
+        copy = rows(loaded_files).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if whole:
-                source_counts |= _counts(read_xml(spark, whole, SETTLEMENT_RECORD))
-            load_table(with_decimals(rows), table, good_names, fmt, path)
-            loaded = spark.table(table).filter(F.col("FILE_NAME").isin(good_names))
-            table_counts = _counts(loaded)
-            step = jdbc_errors
-            if jdbc is not None:
-                jdbc_counts = load_jdbc(rows, jdbc, good)
+            jdbc_counts = load_jdbc(copy, jdbc, loaded_files)
         except Exception as problem:  # noqa: BLE001 - every file of the batch gets its log row
-            step.update(dict.fromkeys(good_names, str(problem)))
+            jdbc_errors = {row.FILE_NAME: str(problem) for row in loaded_files}
         finally:
-            rows.unpersist()
+            copy.unpersist()
 
     ended = datetime.now(UTC)
     errors = jdbc_errors | table_errors
-    tabled = _outcome(spark, checked, source_counts, table_counts, table_errors)
-    total = _outcome(spark, checked, source_counts, table_counts, errors)
+    tabled = _outcome(spark, checked, source_counts, table_counts, rejected_counts, table_errors)
+    total = _outcome(spark, checked, source_counts, table_counts, rejected_counts, errors)
     write_log("load_log", load_log(total, started, ended, ended, names.job_name))
-    write_log("table_log", table_log(tabled, table, started, ended, names.dag_id, names.task_id))
-    write_log("daily_audit", daily_audit(tabled, table, names.task_id))
+    write_log(
+        "table_log", table_log(tabled, table, started, ended, names.dag_id, names.task_id, today)
+    )
+    write_log("daily_audit", daily_audit(tabled, table, names.task_id, today))
     if jdbc is not None:
-        copied = _outcome(spark, checked, source_counts, jdbc_counts, errors)
-        write_log("daily_audit", daily_audit(copied, jdbc.table, names.task_id))
+        copied = _outcome(spark, checked, source_counts, jdbc_counts, rejected_counts, errors)
+        write_log("daily_audit", daily_audit(copied, jdbc.table, names.task_id, today))
     if errors:
         raise LoadFailed(
             f"{len(errors)} of {len(files)} files failed: {', '.join(sorted(errors))}"
@@ -303,15 +343,26 @@ def _outcome(
     checked: list[Row],
     source_counts: dict[str, int],
     target_counts: dict[str, int],
+    rejected_counts: dict[str, int],
     errors: dict[str, str],
 ) -> DataFrame:
-    """Source count against target count for each checked file, and its error if it has one.
+    """Counts of each checked file and their state, and its error if it has one.
 
-    A file without records is in agreement with a target that holds none of it.
+    What was delivered should be what the target holds and what was rejected. A file
+    without records is in agreement with a target that holds none of it.
     """
-    rows = []
-    for name, day in ((row.FILE_NAME, row.FILE_DATE) for row in checked):
-        source, target = source_counts.get(name, 0), target_counts.get(name, 0)
-        state = "success" if source == target else "fail"
-        rows.append((name, day, source, target, state, errors.get(name)))
-    return spark.createDataFrame(rows, OUTCOME)
+    rows = [
+        (
+            row.FILE_NAME,
+            row.FILE_DATE,
+            source_counts.get(row.FILE_NAME, 0),
+            target_counts.get(row.FILE_NAME, 0),
+            rejected_counts.get(row.FILE_NAME, 0),
+            errors.get(row.FILE_NAME),
+        )
+        for row in checked
+    ]
+    held = F.col("target_count") + F.col("rejected_count")
+    return spark.createDataFrame(rows, OUTCOME).withColumn(
+        "count_state", agreement(F.col("source_count"), held)
+    )

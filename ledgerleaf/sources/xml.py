@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ledgerleaf.schemas import ROW_TAG
 
+_BROKEN = "_broken_record"
+
 
 def _file_name() -> Column:
     """The file's own name: ``_metadata`` holds it with URL escapes (but a bare ``+``)."""
@@ -43,16 +45,34 @@ def has_record(chunk: Column, row_tag: str = ROW_TAG) -> Column:
     return chunk.rlike(rf"<{row_tag}[\s>]")
 
 
+def _with_broken(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+
+
 def xml_records(
     chunks: DataFrame, schema: T.StructType, row_tag: str = ROW_TAG
 ) -> DataFrame:
-    """FILE_NAME and the record's fields; a field that a record lacks is null."""
+    """FILE_NAME, the record's fields, REJECTED and REJECT_TEXT.
+
+    A field that a record lacks is null. A record that does not parse is REJECTED and
+    comes with its text.
+    """
     body = F.regexp_extract("chunk", rf"(?s)<{row_tag}[\s>].*", 0)
-    record = F.from_xml(F.concat(body, F.lit(f"</{row_tag}>")), schema.simpleString())
+    record = F.from_xml(
+        F.concat(body, F.lit(f"</{row_tag}>")),
+        _with_broken(schema).simpleString(),
+        {"columnNameOfCorruptRecord": _BROKEN},
+    )
+    broken = F.col(f"record.{_BROKEN}")
     return (
         chunks.filter(has_record(F.col("chunk"), row_tag))
         .select("FILE_NAME", record.alias("record"))
-        .select("FILE_NAME", "record.*")
+        .select(
+            "FILE_NAME",
+            *[f"record.{field}" for field in schema.names],
+            broken.isNotNull().alias("REJECTED"),
+            broken.alias("REJECT_TEXT"),
+        )
     )
 
 
@@ -63,7 +83,18 @@ def read_xml(
     row_tag: str = ROW_TAG,
     name: Column | None = None,
 ) -> DataFrame:
-    """The same rows by the XML reader, one task per file."""
+    """The same rows by the XML reader, one task per file.
+
+    Here a rejected record has no text: the reader would give that of the whole file.
+    """
     name = _file_name() if name is None else name
-    rows = spark.read.schema(schema).option("rowTag", row_tag).xml(paths)
-    return rows.select(name.alias("FILE_NAME"), *schema.names)
+    reader = spark.read.schema(_with_broken(schema)).option("rowTag", row_tag)
+    rows = reader.option("columnNameOfCorruptRecord", _BROKEN).xml(paths)
+    # Spark refuses a read of the column of broken records alone.
+    any_text = F.length(F.coalesce(F.col(schema.names[0]).cast("string"), F.lit(""))) >= 0
+    return rows.select(
+        name.alias("FILE_NAME"),
+        *schema.names,
+        (F.col(_BROKEN).isNotNull() & any_text).alias("REJECTED"),
+        F.lit(None).cast("string").alias("REJECT_TEXT"),
+    )

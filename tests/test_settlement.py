@@ -128,6 +128,56 @@ def test_failed_files_are_logged_and_the_others_loaded(spark, tmp_path, table):
     assert len(failed) == 3
 
 
+def test_broken_records_are_rejected_and_counted(spark, tmp_path, table):
+    broken = record(7).replace("A &amp; B", "A & B") + record(8).replace("</FLD_004>", "")
+    cut = deliver(tmp_path, "PERTRANS2024-01-01.xml", record(1), broken, record(2))
+    whole = deliver(tmp_path, "PERTRANS2024-01-02.xml", record(3), "<!-- x -->", record(4))
+    logs = Logs()
+    outcome = load_settlement(spark, [cut, whole], table, NAMES, logs, RUN)
+    counts = {r.FILE_DATE.day: (r.source_count, r.target_count, r.rejected_count, r.count_state) for r in outcome.collect()}
+    assert counts == {1: (4, 2, 2, "success"), 2: (2, 2, 0, "success")}
+    assert sorted(r.APPROVAL_CODE for r in spark.table(table).collect()) == ["1", "2", "3", "4"]
+    assert sorted(r.REJECT_TEXT.count("<FLD_004>7<") for r in logs.rows["rejects"]) == [0, 1]
+    text = {r.FILE_NAME: r.ERROR_DESC for r in logs.rows["load_log"]}
+    assert text == {"PERTRANS2024-01-01.xml": "Rejected records: 2", "PERTRANS2024-01-02.xml": None}
+
+
+def test_broken_record_in_a_file_read_whole(spark, tmp_path, table):
+    broken = "<!-- x -->" + record(8).replace("A &amp; B", "A & B")
+    path = deliver(tmp_path, "PERTRANS2024-01-02.xml", record(3), broken)
+    logs = Logs()
+    outcome = load_settlement(spark, [path], table, NAMES, logs, RUN).first()
+    assert outcome.source_count == outcome.target_count + outcome.rejected_count
+    assert spark.table(table).count() == outcome.target_count >= 1
+    assert {r.REJECT_TEXT for r in logs.rows["rejects"]} <= {None}
+
+
+def test_a_file_that_breaks_a_scan_or_the_write_stands_alone(spark, tmp_path, table, monkeypatch):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in range(1, 7)]
+    scan, write = settlement.file_status, settlement.load_table
+
+    def breaks(names, bad, what):
+        if any(bad in name for name in names):
+            raise RuntimeError(what)
+
+    def status(chunks):
+        breaks([r.FILE_NAME for r in chunks.select("FILE_NAME").distinct().collect()], "01-02", "scan broke")
+        return scan(chunks)
+
+    def load(rows, name, names, *rest):
+        breaks(names, "01-05", "write broke")
+        write(rows, name, names, *rest)
+
+    monkeypatch.setattr(settlement, "file_status", status)
+    monkeypatch.setattr(settlement, "load_table", load)
+    logs = Logs()
+    with pytest.raises(LoadFailed, match="2 of 6 files failed"):
+        load_settlement(spark, paths, table, NAMES, logs, RUN)
+    assert sorted(r.APPROVAL_CODE for r in spark.table(table).collect()) == ["1", "3", "4", "6"]
+    errors = {r.FILE_NAME[-6:-4]: r.ERROR_DESC for r in logs.rows["load_log"]}
+    assert errors == {"01": None, "02": "scan broke", "03": None, "04": None, "05": "write broke", "06": None}
+
+
 def first_again(folder, name):
     return deliver(folder, name, record(1), record(2, day="20240102"))
 
