@@ -163,6 +163,42 @@ def test_rejected_customers_keep_their_text(spark, tmp_path):
     assert (rejected.customer_id, rejected.full_name) == ("12x", "A B")
 
 
+def test_quotes_in_customers_reach_silver(spark, tmp_path):
+    """Quotes, commas, backslashes and outer spaces, as a standard writer puts them."""
+    names = ['He said "hi", ok', ' "', "a\\", 'b\\"c', " x , y "]
+    rows = [[str(i), n, "m", "", "", "", "", n, "", "", "", n] for i, n in enumerate(names)]
+    lines = [",".join(CUSTOMERS.names)]
+    lines += [",".join('"' + v.replace('"', '""') + '"' for v in row) for row in rows]
+    path = write_text(tmp_path / "c.csv", "\n".join(lines) + "\n")
+    jobs.build_silver_customers(spark, path, f"{tmp_path}/s", f"{tmp_path}/r")
+    found = spark.read.parquet(f"{tmp_path}/s").orderBy("customer_id").collect()
+    assert [(r.full_name, r.address, r.customer_segment) for r in found] == [(n, n, n) for n in names]
+    jobs.build_silver_customers(spark, path, f"{tmp_path}/csv", f"{tmp_path}/r2", as_csv=True)
+    again = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv")
+    assert [r.address for r in again.orderBy("customer_id").collect()] == names
+
+
+def test_day_grain_of_the_whole_star(spark, tmp_path):
+    base = str(tmp_path)
+    write_csv(spark.createDataFrame(CUSTOMER_ROWS, CUSTOMERS), f"{base}/customers")
+    write_csv(spark.createDataFrame(CARD_ROWS, CARD_TRANSACTIONS), f"{base}/cards")
+    jobs.build_silver_customers(spark, f"{base}/customers", f"{base}/sc", f"{base}/rejects")
+    jobs.build_silver_cards(spark, f"{base}/cards", f"{base}/st")
+    jobs.build_gold(spark, f"{base}/sc", f"{base}/st", f"{base}/gold", grain="day")
+    fact = spark.read.parquet(f"{base}/gold/fact_card_transaction")
+    days = spark.read.parquet(f"{base}/gold/dim_date")
+    assert fact.columns[-1] == "transaction_date"
+    dated = fact.filter("transaction_datetime IS NOT NULL")
+    assert dated.join(days, dated["transaction_date"] == days["date"]).count() == dated.count() > 0
+
+
+def test_dotted_column_names(spark, tmp_path):
+    names = [*CARD_TRANSACTIONS.names, "amount.usd", "a`b"]
+    path = write_text(tmp_path / "t.csv", ",".join(names) + "\n" + ",".join("1" * len(names)) + "\n")
+    df = read_csv_by_name(spark, path, CARD_TRANSACTIONS, MISSING)
+    assert df.columns == names and df.first()["amount.usd"] == "1"
+
+
 def test_customer_header_must_match(spark, tmp_path):
     names = list(CUSTOMERS.names)
     names.insert(8, "city")
