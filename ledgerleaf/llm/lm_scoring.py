@@ -194,6 +194,7 @@ def _score_maker(shared, path: str):
         parameters, state, keys, logs = shared.value
         vocabulary = attention.restored(state)
         tokenizer = WordTokenizer(path, special=False)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             text = plain_texts(batch.column("text"))
             for a, b in slices(text):
@@ -216,20 +217,22 @@ def _score_maker(shared, path: str):
                 offsets = pa.array(np.searchsorted(owner[order][first], np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(name).slice(a, b - a) for name in ("doc_id", "digest", "held_out")],
+                        pa.array(np.arange(row, row + b - a)),
+                        *[batch.column(name).slice(a, b - a) for name in ("doc_id", "held_out")],
                         pa.array(words.counts + 1), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)),
                         pa.array((sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)),
                         pa.ListArray.from_arrays(offsets, _texts_of(words, order[first])),
                         pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
                     ],
-                    names=["doc_id", "digest", "held_out", "n_tokens", "n_frequent", "base_frequent", "score", "words", "numbers"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base_frequent", "score", "words", "numbers"],
                 )
+                row += b - a
 
     return score
 
 
 _SCORED = (
-    "doc_id long, digest long, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double, "
+    "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double, "
     "words array<string>, numbers array<int>"
 )
 
@@ -239,7 +242,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Scores are log10 probabilities of the whole text and its end; null texts are empty, null ids
     count as the empty text. Where no document is for training, the model is untrained and no
-    token known. Rows alike in doc_id and text get equal scores.
+    token known.
     """
     path = path or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -258,23 +261,18 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     logs = np.log10((np.asarray(known.column("n")).astype(float) + 0.1) / divisor)
     shared = docs.sparkSession.sparkContext.broadcast((parameters, vars(vocabulary), keys[order], logs[order]))
 
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("digest"), (remainder() % 10 == 0).alias("held_out"), "text")
-    scored = stored(keyed.mapInArrow(_score_maker(shared, path), _SCORED), "scored")
-    # Rows alike in id and text have one list of words.
-    texts = scored.filter("size(words) > 0").groupBy("doc_id", "digest").agg(
-        F.first("words").alias("words"), F.first("numbers").alias("numbers")
-    )
-    pairs = texts.select("doc_id", "digest", F.explode(F.arrays_zip("words", "numbers")).alias("w"))
-    rare = pairs.select("doc_id", "digest", F.col("w.words").alias("word"), F.col("w.numbers").alias("k"))
+    marked = rows.select("doc_id", (remainder() % 10 == 0).alias("held_out"), "text")
+    # Once stored, a row has its number for good.
+    scored = stored(marked.mapInArrow(_score_maker(shared, path), _SCORED), "scored")
+    pairs = scored.select("row", F.explode(F.arrays_zip("words", "numbers")).alias("w"))
+    rare = pairs.select("row", F.col("w.words").alias("word"), F.col("w.numbers").alias("k"))
     found = rare.join(counts, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(divisor))
-    per_text = found.groupBy("doc_id", "digest").agg(
-        F.sum(F.col("k") * log).alias("base_rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare"),
-    )
-    alike = stored(per_text, "rare-words").withColumnsRenamed({"doc_id": "_doc_id", "digest": "_digest"})
-    joined = scored.drop("words", "numbers").join(
-        alike, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("digest") == F.col("_digest")), "left"
+    per_text = found.groupBy("row").agg(
+        F.sum(F.col("k") * log).alias("base_rare"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare"),
     )
+    joined = scored.drop("words", "numbers").join(stored(per_text, "rare-words"), "row", "left")
     ends = counts.filter(F.col("word") == _END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     end_log = float(np.log10((ends + 0.1) / divisor))
     zero = F.lit(0)
