@@ -63,7 +63,8 @@ def queue(docs: DataFrame) -> DataFrame:
     Gives mark1 and mark2 (hashes of the row), doc_id, mark (its place in the shuffled order) and
     ``queue``: size, source_size, target, start (words of its source before it in the
     shuffled order), finish (virtual time) of its first copy, and taken, the words of each of
-    its copies that the mix takes. The order follows a digest of doc_id and text, so another
+    its copies that the mix takes. Null and empty texts have size 0, null sources are one
+    source. The order follows a digest of doc_id and text, so another
     run gives the same; rows that are alike in both can stand for each other.
     """
     mark = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
