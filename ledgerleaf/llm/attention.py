@@ -19,6 +19,9 @@ CLASSES = 32
 MEMBERS = 32
 BATCH = 64
 RATE = 0.008
+# Windows, and rows of logits, that are worked on at once.
+_WINDOWS = 256
+_ROWS = 8_192
 _HIDDEN = np.float32(-1e9)
 
 
@@ -152,35 +155,36 @@ def _attend(m: dict[str, np.ndarray], inputs: np.ndarray, there: np.ndarray):
 
 def log_probabilities(m: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log probability of each id after those before it in its text."""
-    found = np.zeros(len(ids))
     if not len(ids):
-        return found
+        return np.zeros(0)
     places = vocabulary.place[ids]
     inputs, there, first = windows(places, bounds)
-    for a in range(0, len(inputs), 2_048):
-        part = slice(a, a + 2_048)
-        h = _attend(m, inputs[part], there[part])[-1]
-        ahead = there[part, CONTEXT:]
-        at = (first[part, None] + np.arange(STRIDE))[ahead]
-        h, last = h[ahead], inputs[part, CONTEXT:][ahead]
-        target = places[at]
-        group, member = target // MEMBERS, target % MEMBERS
-        logits = h @ m["class"] + m["class_bias"] + vocabulary.class_after[last]
+    # Few windows at once, so that what they need stays near the processor.
+    parts = [slice(a, a + _WINDOWS) for a in range(0, len(inputs), _WINDOWS)]
+    ahead = there[:, CONTEXT:]
+    h = np.concatenate([_attend(m, inputs[p], there[p])[-1][ahead[p]] for p in parts])
+    # Windows follow each other as the texts do, so the rows are in the order of the ids.
+    last = inputs[:, CONTEXT:][ahead]
+    group, member = places // MEMBERS, places % MEMBERS
+    found = np.empty(len(ids), h.dtype)
+    for a in range(0, len(ids), _ROWS):
+        rows = slice(a, a + _ROWS)
+        logits = h[rows] @ m["class"] + m["class_bias"] + vocabulary.class_after[last[rows]]
         logits -= logits.max(axis=1, keepdims=True)
-        value = np.take_along_axis(logits, group[:, None], 1)[:, 0] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                inner = h[rows] @ m["member"][c] + m["member_bias"][c] + vocabulary.member_after[last[rows], c]
-                inner -= inner.max(axis=1, keepdims=True)
-                own = np.take_along_axis(inner, member[rows][:, None], 1)[:, 0]
-                value[rows] += own - np.log(np.exp(inner).sum(axis=1))
-        rows = order[edges[CLASSES] :]
-        value[rows] += vocabulary.tail[ids[at[rows]]]
-        found[at] = value
-    return found
+        own = np.take_along_axis(logits, group[rows, None], 1)[:, 0]
+        found[rows] = own - np.log(np.exp(logits).sum(axis=1))
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        for a in range(edges[c], edges[c + 1], _ROWS):
+            rows = order[a : min(a + _ROWS, edges[c + 1])]
+            inner = h[rows] @ m["member"][c] + m["member_bias"][c] + vocabulary.member_after[last[rows], c]
+            inner -= inner.max(axis=1, keepdims=True)
+            own = np.take_along_axis(inner, member[rows, None], 1)[:, 0]
+            found[rows] += own - np.log(np.exp(inner).sum(axis=1))
+    rows = order[edges[CLASSES] :]
+    found[rows] += vocabulary.tail[ids[rows]]
+    return found.astype(np.float64)
 
 
 def gradients(m: dict[str, np.ndarray], vocabulary: Vocabulary, inputs, there, targets) -> dict[str, np.ndarray]:

@@ -27,10 +27,10 @@ from ledgerleaf.llm.words import Words, plain_texts, ragged, slices
 
 END = 49_407
 ROUNDS = 2
-SHARE = 12
+SHARE = 32
 TOGETHER = 64
 # A task with fewer batches goes over its texts again, so that small corpora train too.
-LEAST_STEPS = 400
+LEAST_STEPS = 150
 FREQUENT = 1 << 20
 # The word that stands for the end of a text; no other word is empty.
 _END_WORD = ""
