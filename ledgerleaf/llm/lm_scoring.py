@@ -26,16 +26,16 @@ from ledgerleaf.llm.tokens import WordTokenizer, tokenizer_path
 from ledgerleaf.llm.words import Words, plain_texts, ragged, slices
 
 END = 49_407
-ROUNDS = 2
-SHARE = 32
+ROUNDS = 1
+SHARE = 24
 TOGETHER = 64
 # A task with fewer batches goes over its texts again, so that small corpora train too.
-LEAST_STEPS = 150
+LEAST_STEPS = 300
 FREQUENT = 1 << 20
 # The word that stands for the end of a text; no other word is empty.
 _END_WORD = ""
 # Rows of one hand-over while words are counted.
-_COUNTED_BYTES = 8 << 20
+_COUNTED_BYTES = 2 << 20
 
 
 def remainder() -> Column:
