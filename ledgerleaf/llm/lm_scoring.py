@@ -2,10 +2,9 @@
 
 The corpus gives three things, all from the documents that are not held out: the count of every
 word, from which the base score and the subword counts follow (each different word is split
-once); the model's vocabulary; and the model itself. Training goes in ``ROUNDS``: in each, every
-task takes its share of the documents, one in ``SHARE``, goes on from the last round's model, and
-the tasks' models are averaged, weighted by their tokens, in groups of ``TOGETHER`` until few are
-left. The model has a fixed size, so tasks get it whole. Words are looked up in two ways: those
+once); the model's vocabulary; and the model itself. Every task trains on all the texts it has,
+once, and the tasks' models are averaged, weighted by their tokens, in groups of ``TOGETHER``
+until few are left. The model has a fixed size, so tasks get it whole. Words are looked up in two ways: those
 that make up more than one in ``FREQUENT`` tokens, so fewer than that many, go to every task; the
 others of a document are joined to the counts.
 """
@@ -26,11 +25,9 @@ from ledgerleaf.llm.tokens import WordTokenizer, tokenizer_path
 from ledgerleaf.llm.words import Words, plain_texts, ragged, slices
 
 END = 49_407
-ROUNDS = 1
-SHARE = 24
 TOGETHER = 64
 # A task with fewer batches goes over its texts again, so that small corpora train too.
-LEAST_STEPS = 300
+LEAST_STEPS = 800
 FREQUENT = 1 << 20
 # The word that stands for the end of a text; no other word is empty.
 _END_WORD = ""
@@ -169,23 +166,21 @@ _MODELS = "part long, tokens double, model array<float>"
 
 
 def fit(train: DataFrame, counts: DataFrame, path: str) -> tuple[dict[str, np.ndarray], attention.Vocabulary]:
-    """Trains on shares of ``train`` (doc_id, text); as it starts, the model knows the counts."""
+    """Trains on every row of ``train`` (text); as it starts, the model knows the counts."""
     spark = train.sparkSession
     vocabulary = attention.Vocabulary(subword_counts(counts, path), END)
     vocabulary.follow(pair_counts(counts, vocabulary, path))
     parameters = attention.new_parameters()
-    for turn in range(ROUNDS):
-        share = train.filter(F.floor(remainder() / 10) % SHARE == turn)
-        shared = spark.sparkContext.broadcast((parameters, vars(vocabulary)))
-        models = stored(share.select("text").mapInArrow(_train_maker(shared, path), _MODELS), "models")
-        while models.count() > TOGETHER:
-            together = models.groupBy(F.floor(F.col("part") / TOGETHER).alias("together"))
-            models = stored(together.applyInArrow(_average, _MODELS), "models")
-        # At most TOGETHER models of a fixed size.
-        found = models.orderBy("part").toArrow()
-        if found.num_rows:
-            mean = np.asarray(_average(found).column("model")[0].values)
-            parameters = attention.unflat(mean, parameters)
+    shared = spark.sparkContext.broadcast((parameters, vars(vocabulary)))
+    models = stored(train.select("text").mapInArrow(_train_maker(shared, path), _MODELS), "models")
+    while models.count() > TOGETHER:
+        together = models.groupBy(F.floor(F.col("part") / TOGETHER).alias("together"))
+        models = stored(together.applyInArrow(_average, _MODELS), "models")
+    # At most TOGETHER models of a fixed size.
+    found = models.orderBy("part").toArrow()
+    if found.num_rows:
+        mean = np.asarray(_average(found).column("model")[0].values)
+        parameters = attention.unflat(mean, parameters)
     return parameters, vocabulary
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,29 @@ def test_whole_table(spark, monkeypatch, size, frequent):
         assert sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
 
 
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    """The tasks' tokens add up to those of all training texts, each gone over once."""
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
+    path = lm_scoring.tokenizer_path()
+    texts = [f"plain words {i} of text" for i in range(40)]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = lm_scoring.word_counts(train).localCheckpoint()
+    seen, kept = [], lm_scoring._average
+    monkeypatch.setattr(lm_scoring, "_average", lambda table: (seen.append(table.column("tokens")), kept(table))[1])
+    parameters, _ = lm_scoring.fit(train, counts, path)
+    ids, _ = lm_scoring.WordTokenizer(path, special=False).encode(pa.array(texts), lm_scoring.END)
+    assert sum(t.as_py() for column in seen for t in column) == len(ids)
+    start = attention.new_parameters()
+    assert any((parameters[k] != start[k]).any() for k in start)
+
+
+def test_most_held_out_texts_beat_the_base(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    held = [r for r in lm_scoring.op5_lm_scoring(docs).collect() if r.held_out]
+    # Some texts are near copies of training texts, whose rare words the base has counted.
+    assert sum(r.score > r.base_score for r in held) > 0.6 * len(held)
+
+
 def test_odd_rows(spark):
     rows = [(i, f"some words Here {i % 3}") for i in range(12)]
     rows += [(None, None), (None, "x"), (20, ""), (21, " \n"), (22, "long text " * 30_000), (3, "some words Here 0"), (3, "other"), (23, "é日本 \x00")]
