@@ -3,7 +3,9 @@
 Two codebooks, one for each half of the vectors, span a grid of cells; a vector lies in the cell
 of its nearest centroids. A vector's search visits the cells in the order of the sum of both
 halves' distances (the order of a multi-sequence traversal) and ends after as many cells as
-``RECALL`` of a sample of queries need to find all links that brute force finds for them. What shares a cell is
+``RECALL`` of a sample of queries need to find all links that brute force finds for them. Where fewer
+than ``LEAST_LINKED`` of the sample have links, the cells also have to reach ``PLANTED_RECALL`` of
+neighbours planted at the cosine limit beside each query. What shares a cell is
 verified by exact cosines in blocks; a link that either end finds counts for both.
 
 The codebooks are fitted on at most ``FIT_ROWS`` vectors and the trial takes at most
@@ -31,6 +33,11 @@ COSINE = 0.93
 RECALL = 0.999
 FIT_ROWS = 20_000
 TRIAL_ROWS = 1_024
+# With fewer linked queries in the trial, planted neighbours set the visits too.
+LEAST_LINKED = 200
+PLANTED_RECALL = 0.97
+# Neighbours planted beside each query.
+PLANTED = 4
 # Vectors per cell that the codebooks' size aims at.
 PER_CELL = 8
 MOST_CENTROIDS = 512
@@ -79,7 +86,7 @@ class Index:
         """How many cells a search visits up to the given ones."""
         a, b = self.distances(unit[None])
         sums = (a[0][:, None] + b[0][None, :]).ravel()
-        return np.searchsorted(np.sort(sums), sums[cells], "right")
+        return np.array([np.count_nonzero(sums <= x) for x in sums[cells]]) if len(cells) < 8 else np.searchsorted(np.sort(sums), sums[cells], "right")
 
 
 def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -149,11 +156,26 @@ def _trial_maker(index: Index, queries: pa.Table) -> Callable:
     return trial
 
 
+def _planted_ranks(index: Index, units: np.ndarray) -> np.ndarray:
+    """Sorted numbers of cells to visit until one end finds the other, for neighbours at the limit."""
+    rng = np.random.default_rng(_SEED)
+    ranks = []
+    for unit in units:
+        away = rng.normal(size=(PLANTED, len(unit)))
+        away -= (away @ unit)[:, None] * unit
+        away /= np.sqrt((away**2).sum(axis=1, keepdims=True))
+        planted = COSINE * unit + math.sqrt(1 - COSINE**2) * away
+        own, cells = index.cells(unit[None]), index.cells(planted)
+        there = index.rank(unit, cells)
+        ranks.extend(min(n, index.rank(v, own)[0]) for n, v in zip(there, planted, strict=True))
+    return np.sort(ranks)
+
+
 def visits_for(nodes: DataFrame, index: Index) -> int:
     """Cells to visit so that ``RECALL`` of a sample of queries find all their links.
 
-    The links of the sample are those of a comparison with all vectors. A third more cells than
-    the sample needs are visited, and two at least.
+    The links of the sample are those of a comparison with all vectors; if they are few, planted
+    ones count beside them. A third more cells than the sample needs are visited, and two at least.
     """
     queries = nodes.orderBy("hash2", "hash1").limit(TRIAL_ROWS).select("node", "group", "embedding").toArrow()
     tried = nodes.select("node", "group", "embedding").mapInArrow(
@@ -161,9 +183,11 @@ def visits_for(nodes: DataFrame, index: Index) -> int:
     )
     # At most one row for each query of the trial.
     deepest = sorted(r.visits for r in tried.groupBy("query").agg(F.max("visits").alias("visits")).collect())
-    if not deepest:
-        return 2
-    return max(2, math.ceil(deepest[math.ceil(RECALL * len(deepest)) - 1] * 4 / 3))
+    needed = deepest[math.ceil(RECALL * len(deepest)) - 1] if deepest else 1
+    if len(deepest) < LEAST_LINKED:
+        ranks = _planted_ranks(index, _units(queries.column("embedding").combine_chunks(), index.dim))
+        needed = max(needed, int(ranks[math.ceil(PLANTED_RECALL * len(ranks)) - 1]))
+    return max(2, math.ceil(needed * 4 / 3))
 
 
 def _indexer(index: Index) -> Callable:

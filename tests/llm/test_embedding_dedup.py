@@ -104,3 +104,23 @@ def test_traversal_is_the_order_of_all_cells():
     sums = (a[:, :, None] + b[:, None, :]).reshape(30, -1)
     assert (index.nearest(units) == sums.argsort(axis=1, kind="stable")[:, :20]).all()
     assert (index.cells(units) == index.nearest(units)[:, 0]).all()
+
+
+def test_visits_without_links(spark):
+    """Where no vector has a link, the visits still find neighbours at the limit and nearer."""
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(8_000, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    rows = [(k, k, k, 0, v.tolist()) for k, v in enumerate(units)]
+    nodes = spark.createDataFrame(rows, "hash1 long, hash2 long, node long, group long, embedding array<double>").repartition(4).localCheckpoint()
+    index = embedding_dedup.fit(nodes)
+    index.visits = embedding_dedup.visits_for(nodes, index)
+    found = 0
+    for k in range(400):
+        away = rng.normal(size=64)
+        away -= away @ units[k] * units[k]
+        cosine = rng.uniform(0.93, 1)
+        near = cosine * units[k] + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+        a, b = index.nearest(units[k : k + 1])[0], index.nearest(near[None])[0]
+        found += bool(np.isin(index.cells(near[None]), a)[0] or np.isin(index.cells(units[k : k + 1]), b)[0])
+    assert found >= 0.95 * 400
