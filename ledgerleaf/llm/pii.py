@@ -6,7 +6,8 @@ in two halves, and each round adds digits drawn from a keyed digest of one half
 half, position by position. The permutation depends on the key and the kind only, so a value
 has the same pseudonym in every document, different values have different ones, and with the
 key every step can be undone. Separators, letter case and the Luhn digit's validity stay; only
-octets change their number of digits.
+octets change their number of digits. In a number without separators the country code cannot be
+told from the rest, so all digits after the plus change. Other signs of a secret stay in place.
 
 Kinds: e-mail addresses (all but the last label), telephone numbers (but for the country code),
 IPv4 addresses, payment card numbers, US social security numbers, dates from 1900-01-01 on for
@@ -27,16 +28,24 @@ DRAWN = 16
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _SECRET_NAME = r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22\x27]?"
+# Up to the closing quote or white space; signs at the end that close a sentence stay outside.
+_SECRET = (
+    r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?"
+    r"(?:\x22[^\x22\s]{6,}+|\x27[^\x27\s]{6,}+|(?![\x22\x27])(?=[^\s\x22\x27]{6})[^\s\x22\x27]*[A-Za-z0-9_+/=-])"
+)
 # Kinds that begin with a letter at the begin of a word, or anywhere with a digit or sign.
 WORDS = {
     "email": "[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": f"{_SECRET_NAME}[A-Za-z0-9_+/-]{{6,256}}",
+    "secret": _SECRET,
     "key": "AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
 }
 NUMBERS = {
     "phone": "(?<![0-9+])(?:[+][0-9]{1,3}[ .-]?)?[(][0-9]{2,4}[)][ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
     "|(?<![0-9+])[+][0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"
-    "|(?<![0-9+.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "|(?<![0-9+.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
+    "|(?<![0-9+])[+][1-9][0-9]{7,14}(?![0-9])"
+    "|(?<![0-9+.,-])[0-9]{3}[.][0-9]{3}[.][0-9]{4}(?![0-9]|[.,-][0-9])"
+    "|(?<![0-9+.,-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9]|[.,-][0-9])",
     "ip": f"(?<![0-9.])(?:{_OCTET}[.]){{3}}{_OCTET}(?![0-9]|[.][0-9])",
     "date": "(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
     "|(?<![0-9./])[0-9]{2}[.][0-9]{2}[.][0-9]{4}(?![0-9]|[.][0-9])"
@@ -115,11 +124,12 @@ def _parts(v: str) -> str:
     stays = split("''", v, "''")
     payload = f"substr({v}, 1, length({v}) - 1)"
     return f"""CASE
-      WHEN contains({v}, '@') THEN {top}
       WHEN rlike({v}, {_quoted('^' + _SECRET_NAME)}) THEN {after('secret', _SECRET_NAME, True)}
+      WHEN contains({v}, '@') THEN {top}
       WHEN startswith({v}, 'AKIA') THEN {after('key', 'AKIA')}
+      WHEN rlike({v}, '^[+][0-9]{{8,15}}$') THEN {after('phone', '[+]')}
       WHEN rlike({v}, '^[+(]') THEN {after('phone', '[+][0-9]{1,3}')}
-      WHEN rlike({v}, '^[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}$') THEN {split("'phone'", "''", v)}
+      WHEN rlike({v}, '^[0-9]{{3}}([-. ])[0-9]{{3}}[-. ][0-9]{{4}}$') THEN {split("'phone'", "''", v)}
       WHEN rlike({v}, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') THEN {split("'ssn'", "''", v)}
       WHEN rlike({v}, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN {split("'ip'", "''", v)}
       WHEN rlike({v}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}([./])[0-9]{{2}}[./][0-9]{{4}})$') THEN

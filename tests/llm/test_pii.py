@@ -121,3 +121,27 @@ def test_no_original_left(spark):
         # Numbers that fail the check are no card numbers.
         assert all(re.fullmatch(r"\d{16}", x) and luhn(x[:-1]) != x[-1] for x in same)
         assert re.sub(found, "", old) == re.sub(found, "", r.text) or "password=" in old
+
+
+def test_whole_secrets(spark):
+    """No part of a secret stays, however long it is and whatever signs it has."""
+    rest = "aB3" * 134
+    jwt = "eyJhbGci.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    pairs = [
+        (f"token={rest} next", "token=" + slow_chars(rest, "secret") + " next"),
+        (f"token: {jwt}. Then", "token: " + slow_chars(jwt, "secret") + ". Then"),
+        ("password=p@ssw0rd!2024 x", "password=" + slow_chars("p@ssw0rd!2024", "secret") + " x"),
+        ("secret='a.b!c@d#e9' x", "secret='" + slow_chars("a.b!c@d#e9", "secret") + "' x"),
+    ]
+    assert run(spark, [t for t, _ in pairs]) == [e for _, e in pairs]
+
+
+def test_more_telephone_numbers(spark):
+    pairs = [
+        ("call +14155550123 now", "call +" + slow_chars("14155550123", "phone") + " now"),
+        ("415.555.0123, then", slow_chars("415.555.0123", "phone") + ", then"),
+        ("at 415 555 0123.", "at " + slow_chars("415 555 0123", "phone") + "."),
+    ]
+    assert run(spark, [t for t, _ in pairs]) == [e for _, e in pairs]
+    left = ["+1234567", "1.415.555.0123.4", "415 555 01234"]
+    assert run(spark, left) == left
