@@ -127,3 +127,69 @@ EMBEDDING_DEDUP = f"""
     SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links,
       c.component_id, e.vec_id = c.component_id AS kept
     FROM embeddings AS e JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) AS c USING (vec_id)"""
+
+
+# A checksum of text of one-byte characters: 0xEDB88320 is the polynomial of crc32.
+def _crc32(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    steps = f"flatten(list_transform({codes}, lambda c: [c, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = (
+        "CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    )
+    return f"xor(list_reduce({steps}, lambda a, x: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    parts = [
+        f"coalesce(octet_length(encode({name}::VARCHAR)) || ':' || {name}::VARCHAR, '-')" for name in fields
+    ]
+    return f"sha256({' || '.join(parts)})"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 7 = 0
+      THEN {_leaf('(n_chars::HUGEINT + 1)')} ELSE {_leaf('n_chars')} END AS start
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS row FROM leaves),
+trees AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS n
+  FROM (SELECT DISTINCT lang FROM documents)),
+low AS (
+  SELECT tree, 0 AS level, pos, placed.n, leaf AS hash
+  FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY tree, level, pos // 2),
+high AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM trees) AS n, hash FROM low WHERE low.n = 1
+  UNION ALL
+  SELECT level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY level, pos // 2),
+climb AS (
+  SELECT row, tree, 0 AS level, pos, placed.n, start AS folded, '' AS proof
+  FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang
+  UNION ALL
+  SELECT c.row, c.tree, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(s.hash, '') ELSE s.hash || folded END),
+    proof || coalesce(s.hash, '')
+  FROM climb AS c LEFT JOIN low AS s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1),
+ascent AS (
+  SELECT row, 0 AS level, tree AS pos, (SELECT count(*) FROM trees) AS n, folded, proof FROM climb WHERE climb.n = 1
+  UNION ALL
+  SELECT c.row, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(s.hash, '') ELSE s.hash || folded END),
+    proof || coalesce(s.hash, '')
+  FROM ascent AS c LEFT JOIN high AS s ON s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1)
+SELECT doc_id, leaf, sub.hash AS subroot, top.hash AS root, sha256(proof) AS proof_sha256,
+  folded AS folded_root, folded = top.hash AS verified
+FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang
+  JOIN low AS sub ON sub.tree = trees.tree AND sub.n = 1
+  JOIN high AS top ON top.n = 1 JOIN ascent ON ascent.row = placed.row AND ascent.n = 1
+"""

@@ -9,6 +9,7 @@ from ledgerleaf.llm import oracles
 from ledgerleaf.llm.embedding_dedup import op8_embedding_dedup
 from ledgerleaf.llm.kneser_ney import op3_quality_classifier
 from ledgerleaf.llm.lm_scoring import op5_lm_scoring
+from ledgerleaf.llm.merkle import op13_merkle_manifest
 from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
@@ -41,4 +42,5 @@ QUERIES = {
     "op8_embedding_dedup": _over("embeddings", op8_embedding_dedup, oracles.EMBEDDING_DEDUP),
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
+    "op13_merkle_manifest": _over("documents", op13_merkle_manifest, oracles.MERKLE),
 }
