@@ -193,3 +193,16 @@ FROM placed JOIN trees ON placed.lang IS NOT DISTINCT FROM trees.lang
   JOIN low AS sub ON sub.tree = trees.tree AND sub.n = 1
   JOIN high AS top ON top.n = 1 JOIN ascent ON ascent.row = placed.row AND ascent.n = 1
 """
+
+EXACT_DEDUP = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(length(text), 0) AS points,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS squeezed, row_number() OVER () AS row
+  FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER best AS place, count(*) OVER (PARTITION BY squeezed) AS group_size,
+    first_value(doc_id) OVER best AS keep_id
+  FROM texts
+  WINDOW best AS (PARTITION BY squeezed ORDER BY points DESC, doc_id NULLS LAST, row))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(squeezed) AS text_sha256 FROM ranked
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerleaf.catalogue.registry import Query
 from ledgerleaf.llm import oracles
 from ledgerleaf.llm.embedding_dedup import op8_embedding_dedup
+from ledgerleaf.llm.exact_dedup import op11_exact_dedup
 from ledgerleaf.llm.kneser_ney import op3_quality_classifier
 from ledgerleaf.llm.lm_scoring import op5_lm_scoring
 from ledgerleaf.llm.merkle import op13_merkle_manifest
@@ -42,5 +43,6 @@ QUERIES = {
     "op8_embedding_dedup": _over("embeddings", op8_embedding_dedup, oracles.EMBEDDING_DEDUP),
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
+    "op11_exact_dedup": _over("documents", op11_exact_dedup, oracles.EXACT_DEDUP),
     "op13_merkle_manifest": _over("documents", op13_merkle_manifest, oracles.MERKLE),
 }
