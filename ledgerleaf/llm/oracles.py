@@ -206,3 +206,29 @@ ranked AS (
   WINDOW best AS (PARTITION BY squeezed ORDER BY points DESC, doc_id NULLS LAST, row))
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(squeezed) AS text_sha256 FROM ranked
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    f"'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')"
+)
+RANKED_SEARCH = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS place, {_TERMS} AS terms FROM documents),
+whole AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM texts WHERE len(terms) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counts AS (
+  SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY place, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, whole GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, place, any_value(doc_id) AS doc_id, sum(
+    w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), whole GROUP BY item_id, place)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, place)::INTEGER AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""

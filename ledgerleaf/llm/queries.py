@@ -15,6 +15,7 @@ from ledgerleaf.llm.mixing import op6_mixing
 from ledgerleaf.llm.packing import op9_packing
 from ledgerleaf.llm.pii import op4_pii
 from ledgerleaf.llm.quality_rules import op10_quality_rules
+from ledgerleaf.llm.ranked_search import op12_ranked_search
 from ledgerleaf.llm.simhash import op2_simhash
 from ledgerleaf.llm.suffix_dedup import op1_suffix_dedup
 from ledgerleaf.llm.token_counts import op7_token_counts
@@ -32,6 +33,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality_classifier(*tables)
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark")]
+    return op12_ranked_search(*tables)
+
+
 QUERIES = {
     "op1_suffix_dedup": _over("documents", op1_suffix_dedup),
     "op2_simhash": _over("documents", op2_simhash),
@@ -44,5 +50,6 @@ QUERIES = {
     "op9_packing": _over("documents", op9_packing),
     "op10_quality_rules": _over("documents", op10_quality_rules, oracles.QUALITY_RULES),
     "op11_exact_dedup": _over("documents", op11_exact_dedup, oracles.EXACT_DEDUP),
+    "op12_ranked_search": Query(ranked_search, oracles.RANKED_SEARCH),
     "op13_merkle_manifest": _over("documents", op13_merkle_manifest, oracles.MERKLE),
 }

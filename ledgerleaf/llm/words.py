@@ -1,6 +1,7 @@
 """Words of whole Arrow text columns, found and hashed as arrays instead of one by one.
 
-A word is a run of bytes other than space and 9 to 13; null texts have no words. Texts
+A word is a run of bytes other than space and 9 to 13, or than the bytes given as gaps;
+null texts have no words. Texts
 are worked on in slices of rows, so memory follows the slice, or the longest text.
 """
 
@@ -53,7 +54,7 @@ class Words:
     those from ``first[i]`` up to ``first[i + 1]``, its bytes those from ``bounds[i]`` on.
     """
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    def __init__(self, text: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         text = plain_texts(text)
         bounds = np.frombuffer(text.buffers()[1], _offset_type(text))
         bounds = bounds[text.offset :][: len(text) + 1].astype(np.int64)
@@ -63,7 +64,7 @@ class Words:
             data = np.frombuffer(text.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
         self.bounds = bounds - bounds[0]
         self.data = _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
+        inside = ~gaps[data]
         begins, closes = inside.copy(), inside.copy()
         if len(data):
             # A word also begins and closes where its text does.
