@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.tables import stored
 
 # Levels between a node row and its parent; nodes are built in blocks of 2**STRIDE.
-STRIDE = 6
+STRIDE = 10
 # Leaves that climb through one copy of a node row. A node above more has more copies, so
 # that no key of the climb's join has more rows than this.
 SALTED = 4096
@@ -106,22 +106,20 @@ def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
     height = f"CASE WHEN n > {_BLOCK} THEN {STRIDE} WHEN n = 1 THEN 0 ELSE length(bin(n - 1)) END"
     pair = _joint("get(element_at(acc, -1), 2 * i)", "get(element_at(acc, -1), 2 * i + 1)")
     upper = f"transform(sequence(0, (size(element_at(acc, -1)) + 1) div 2 - 1), i -> {pair})"
-    levels = (
-        f"aggregate(slice(array({steps}), 1, height), array(members.hash), "
-        f"(acc, l) -> concat(acc, array({upper})))"
-    )
     siblings = (
-        "transform(slice(levels, 1, height), (level, l) -> "
+        f"transform(slice(levels, 1, {height}), (level, l) -> "
         "get(level, cast(shiftright(i, l) ^ 1 AS INT)))"
     )
+    # One expression, so that the levels are made once for all members.
+    linked = (
+        f"aggregate(slice(array({steps}), 1, {height}), array(members.hash), "
+        f"(acc, l) -> concat(acc, array({upper})), levels -> transform(members, (m, i) -> "
+        f"struct(m.pos, m.leaves, get(element_at(levels, -1), 0) AS up_hash, {siblings} AS siblings)))"
+    )
     done = F.col("n") <= _BLOCK
     up_leaves = F.col("up_leaves")
     return (
-        blocks.withColumn("height", F.expr(height))
-        .withColumn("levels", F.expr(levels))
-        .withColumn("up_hash", F.expr("get(element_at(levels, -1), 0)"))
-        .select("*", F.posexplode("members").alias("i", "member"))
-        .withColumn("siblings", F.expr(siblings))
+        blocks.select("tree", "block", "n", "up_leaves", F.explode(F.expr(linked)).alias("member"))
         .withColumn("salts", _salts(F.col("member.leaves")))
         .select(
             "tree",
@@ -129,8 +127,8 @@ def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
             F.col("member.pos").alias("pos"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
             "n",
-            "siblings",
-            "up_hash",
+            "member.siblings",
+            "member.up_hash",
             "up_leaves",
             F.when(~done, F.col("tree")).when(F.lit(not top), F.lit(TOP)).cast("long").alias("up_tree"),
             F.when(done, 0).otherwise(step + 1).alias("up_step"),

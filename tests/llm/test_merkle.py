@@ -67,7 +67,7 @@ def test_whole_table_equals_the_plain_trees_and_the_sql(spark):
     assert oracle_difference(spark, "/root/testdata/sf0.001", "op13_merkle_manifest") is None
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 63, 64, 65, 129, 4097])
+@pytest.mark.parametrize("size", [1, 2, 3, 129, 1023, 1024, 1025, 4097])
 def test_tree_sizes_about_the_blocks(spark, size):
     docs = spark.range(size).select(
         F.col("id").alias("doc_id"),
