@@ -143,7 +143,7 @@ def xml_cut_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _completeness(spark: SparkSession, folders: list[str]) -> DataFrame:
     status = [file_status(xml_chunks(spark, folder, name=_name())) for folder in folders]
-    return status[0].unionByName(status[1])
+    return status[0].unionByName(status[1]).drop("form")
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:

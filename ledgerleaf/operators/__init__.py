@@ -3,15 +3,22 @@
 from ledgerleaf.operators.audit import daily_audit, load_log, local_moment, table_log
 from ledgerleaf.operators.keyed import latest_per_key, require_unique, split_null_keys
 from ledgerleaf.operators.quality import (
+    CUT,
+    JOINED,
+    WHOLE,
     agreement,
     file_status,
     is_complete,
     preview,
+    read_in_full,
     reconcile,
     row_counts,
 )
 
 __all__ = [
+    "CUT",
+    "JOINED",
+    "WHOLE",
     "agreement",
     "daily_audit",
     "file_status",
@@ -20,6 +27,7 @@ __all__ = [
     "load_log",
     "local_moment",
     "preview",
+    "read_in_full",
     "reconcile",
     "require_unique",
     "row_counts",

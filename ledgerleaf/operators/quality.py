@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.schemas import ROOT_TAG, ROW_TAG
+from ledgerleaf.sources.markup import OUTSIDE, ends_in, visible
 from ledgerleaf.sources.xml import has_record
 
+# How a file of XML records is read.
+CUT, JOINED, WHOLE = "cut", "joined", "whole"
+
 
 def closes_root(chunk: Column, root_tag: str = ROOT_TAG) -> Column:
     return chunk.contains(f"</{root_tag}>")
@@ -21,23 +25,39 @@ def is_complete(lines: DataFrame, column: str, root_tag: str = ROOT_TAG) -> bool
 def file_status(
     chunks: DataFrame, root_tag: str = ROOT_TAG, row_tag: str = ROW_TAG
 ) -> DataFrame:
-    """Per file: does its text close the root, records found, may it be cut at row tags.
+    """Per file: does its text close the root, records found, and the form to read it in.
 
-    One pass over the text for all files; each task sends one row per file. A file must
-    not be cut where opening tags and records differ in number, or where a comment or a
-    CDATA section could hold a tag as text.
+    One pass over the text for all files; each task sends one row per file. ``cuttable``:
+    the plain text can be cut at row tags; a comment or a CDATA section could hold a tag.
+    ``form``: CUT, also if every section ends in the chunk in which it begins; JOINED if
+    one does not, in which case the other columns hold for joined chunks only; WHOLE where
+    opening tags and records differ in number.
     """
     chunk = F.col("chunk")
-    records = F.count_if(has_record(chunk, row_tag))
-    openings = F.sum(F.regexp_count(chunk, F.lit(rf"<{row_tag}[\s/>]")))
+    text = visible(chunk)
+    records = F.count_if(has_record(text, row_tag))
+    openings = F.sum(F.regexp_count(text, F.lit(rf"<{row_tag}[\s/>]")))
     hidden = F.bool_or(chunk.contains("<!--") | chunk.contains("<![CDATA["))
+    torn = F.bool_or(ends_in(chunk) != OUTSIDE)
     return chunks.groupBy("FILE_NAME").agg(
-        F.bool_or(closes_root(chunk, root_tag)).alias("complete"),
+        F.bool_or(closes_root(text, root_tag)).alias("complete"),
         records.alias("records"),
         ((records == openings) & ~hidden).alias("cuttable"),
+        F.when(torn, JOINED).when(records == openings, CUT).otherwise(WHOLE).alias("form"),
     )
 
 
+def read_in_full(chunks: DataFrame, row_tag: str = ROW_TAG) -> DataFrame:
+    """Per file of a read that skips what is unreadable: FILE_NAME and whether nothing is lacking.
+
+    Every byte of a file is in a chunk or in the tag after it.
+    """
+    tag = len(f"</{row_tag}>".encode())
+    seen = F.sum(F.octet_length("chunk") + F.lit(tag))
+    files = chunks.groupBy("FILE_NAME", "file").agg((seen >= F.max("file_size")).alias("readable"))
+    return files.groupBy("FILE_NAME").agg(F.bool_and("readable").alias("readable"))
+
+
 def row_counts(df: DataFrame, alias: str = "ROW_CNT") -> DataFrame:
     """Rows per file; combines before the shuffle, so a huge file is no hot group."""
     return df.groupBy("FILE_NAME", "FILE_DATE").agg(F.count(F.lit(1)).alias(alias))

@@ -1,27 +1,35 @@
 """Settlement files to a partitioned table, with audit: many files in one job.
 
-Order of work: names and completeness, then the table, then the database copy, then
-the logs. The two targets share no transaction, so the one whose load can be
-repeated without effect (the table) goes first.
+Order of work: names and completeness, then all records parsed once into a staged table,
+and from there the table, the rejects, the database copy and the logs. The two targets share
+no transaction, so the one whose load can be repeated without effect (the table) goes first.
+
+A file's text is scanned twice: to inspect it and to parse it. Files in which a comment or a
+CDATA section hides a row tag are staged as text in between. A file that cannot be read fails
+alone; any other failure is none of the files' and is not tried again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import functions as fn
 from ledgerleaf.operators import (
+    CUT,
+    JOINED,
+    WHOLE,
     agreement,
     daily_audit,
     file_status,
     load_log,
     local_moment,
+    read_in_full,
     table_log,
 )
 from ledgerleaf.schemas import (
@@ -31,11 +39,19 @@ from ledgerleaf.schemas import (
 )
 from ledgerleaf.sinks import append_jdbc, append_table, drop_partitions, replace_table_partitions
 from ledgerleaf.sources import (
+    absent_paths,
     base_name,
     count_by_file_sql,
+    hidden_spans,
+    is_file_fault,
+    joined_chunks,
+    message,
+    placed_chunks,
     read_jdbc_query,
     read_xml,
     select_settlement_files,
+    visible,
+    without_faulty,
     xml_chunks,
     xml_records,
 )
@@ -93,54 +109,94 @@ def with_decimals(rows: DataFrame) -> DataFrame:
 
 
 def settlement_records(
-    spark: SparkSession, cut: list[str], whole: list[str] = (), name: Column | None = None
+    spark: SparkSession,
+    cut: Sequence[str],
+    whole: Sequence[str] = (),
+    name: Column | None = None,
+    joined: DataFrame | None = None,
 ) -> DataFrame:
-    """Records of files read in cut form and of files that need the whole-file reader."""
+    """Records of files read in cut form, of joined chunks, and of files that need the whole-file reader."""
     parts = []
     if cut:
-        parts.append(xml_records(xml_chunks(spark, list(cut), name=name), SETTLEMENT_RECORD))
+        chunks = xml_chunks(spark, list(cut), name=name)
+        parts.append(xml_records(chunks.withColumn("chunk", visible(F.col("chunk"))), SETTLEMENT_RECORD))
+    if joined is not None:
+        parts.append(xml_records(joined, SETTLEMENT_RECORD))
     if whole:
         parts.append(read_xml(spark, list(whole), SETTLEMENT_RECORD, name=name))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _halved(items: list, work: Callable[[list], None], failed: Callable) -> None:
-    """Works on all items at once; on failure on each half, until what fails stands alone."""
-    try:
-        work(items)
-    except Exception as problem:  # noqa: BLE001 - the item gets its log row
-        if len(items) == 1:
-            failed(items[0], str(problem))
-            return
-        middle = len(items) // 2
-        _halved(items[:middle], work, failed)
-        _halved(items[middle:], work, failed)
+def _staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again."""
+    spark, path = rows.sparkSession, work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def inspect_files(
-    spark: SparkSession,
-    paths: list[str],
-    name: Column | None = None,
-    name_of: Callable[[str], str] = base_name,
-) -> list[Row]:
-    """One row per path: path, FILE_NAME, FILE_DATE, records, cuttable, error.
+def joined_text(spark: SparkSession, paths: list[str], name: Column | None = None) -> DataFrame:
+    """FILE_NAME and chunk of files in which sections hide row tags."""
+    placed = _staged(placed_chunks(spark, paths, name=name), "settlement-text")
+    return joined_chunks(placed, _staged(hidden_spans(placed), "settlement-spans"))
 
-    The text of all files is scanned in one job, which returns one row for each path of
-    the list. A file that cannot be opened or scanned is left out by halving the list.
+
+@dataclass
+class Inspection:
+    """``files``: one row per path: path, FILE_NAME, FILE_DATE, records, cuttable, form, error.
+    ``joined``: the text of the files of that form, None if there are none.
     """
-    found: list[Row] = []
-    problems: dict[str, str] = {}
 
-    def scan(part: list[str]) -> None:
-        found.extend(file_status(xml_chunks(spark, part, name=name)).collect())
+    files: list[Row]
+    joined: DataFrame | None
+
 
-    _halved(list(paths), scan, problems.__setitem__)
+def _scan(spark: SparkSession, paths: list[str], name: Column | None) -> tuple[list[Row], dict[str, str]]:
+    """Status rows of the files, and the error of each path that cannot be read.
+
+    If one file breaks the scan, a second scan goes over the broken ones and tells, for all of
+    them at once, which files it could not read to their end.
+    """
+    try:
+        return file_status(xml_chunks(spark, paths, name=name)).collect(), {}
+    except Exception as problem:
+        if not is_file_fault(problem):
+            raise
+    faults = absent_paths(spark, paths)
+    left = [path for path in paths if path not in faults]
+    if not left:
+        return [], faults
+    chunks = xml_chunks(spark, left, name=name, skip_unreadable=True)
+    status = file_status(chunks).join(read_in_full(chunks), "FILE_NAME").collect()
+    return status, faults
+
+
+def inspect(
+    spark: SparkSession,
+    paths: list[str],
+    name: Column | None = None,
+    name_of: Callable[[str], str] = base_name,
+) -> Inspection:
+    """What the text of all files tells, in one scan, and one row for each path of the list."""
+    found, faults = _scan(spark, list(paths), name)
+    by_name = {row.FILE_NAME: row.asDict() for row in found}
+    torn = [path for path in paths if by_name.get(name_of(path), {}).get("form") == JOINED]
+    joined = None
+    if torn:
+        joined = joined_text(spark, torn, name)
+        for row in file_status(joined).collect():
+            kept = {key: by_name[row.FILE_NAME][key] for key in ("cuttable", "readable") if key in by_name[row.FILE_NAME]}
+            form = JOINED if row.form == CUT else WHOLE
+            by_name[row.FILE_NAME] = row.asDict() | kept | {"form": form}
+    rows = []
+    for path in paths:
+        status = by_name.get(name_of(path), {})
+        unread = not status.get("readable", True) or not status
+        problem = faults.get(path) or (f"File cannot be read to its end: {path}" if unread else None)
+        rows.append((path, name_of(path), problem, *[status.get(key) for key in ("complete", "records", "cuttable", "form")]))
     listing = spark.createDataFrame(
-        [(path, name_of(path), problems.get(path)) for path in paths],
-        "path string, FILE_NAME string, problem string",
-    )
-    status = spark.createDataFrame(
-        found, "FILE_NAME string, complete boolean, records bigint, cuttable boolean"
+        rows,
+        "path string, FILE_NAME string, problem string, complete boolean, records bigint, "
+        "cuttable boolean, form string",
     )
     day = fn.file_date(F.col("FILE_NAME"))
     error = (
@@ -151,10 +207,19 @@ def inspect_files(
             F.concat(F.lit("File is not complete: "), "FILE_NAME"),
         )
     )
-    checked = listing.join(status, "FILE_NAME", "left").select(
-        "path", "FILE_NAME", day.alias("FILE_DATE"), "records", "cuttable", error.alias("error")
+    checked = listing.select(
+        "path", "FILE_NAME", day.alias("FILE_DATE"), "records", "cuttable", "form", error.alias("error")
     )
-    return checked.collect()
+    return Inspection(checked.collect(), joined)
+
+
+def inspect_files(
+    spark: SparkSession,
+    paths: list[str],
+    name: Column | None = None,
+    name_of: Callable[[str], str] = base_name,
+) -> list[Row]:
+    return inspect(spark, paths, name, name_of).files
 
 
 def load_table(
@@ -184,27 +249,46 @@ def load_table(
         writer = rows.write.format(fmt).mode("overwrite")
         writer.option("replaceWhere", f"FILE_NAME IN ({quoted})").saveAsTable(table)
         return
-    earlier = _data_files(spark, table, names)
+    chosen = _name_list(spark, names)
+    earlier = _data_files(spark, table, chosen)
     replace_table_partitions(rows, table, PARTITIONS, fmt, path)
     if earlier is not None:
-        now = _table_files(spark, table, names)
+        now = _table_files(spark, table, chosen)
         stale = now.join(earlier, "data_file").select(*PARTITIONS).distinct()
         drop_partitions(spark, table, stale.collect())
 
 
-def _table_files(spark: SparkSession, table: str, names: list[str]) -> DataFrame:
+def _name_list(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """File names as a small table; a join with it prunes partitions, however long the list."""
+    listed = spark.createDataFrame([(name,) for name in names], "FILE_NAME string")
+    return _staged(listed.coalesce(1), "file-names")
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of the named files. A table's partitions of other files are not read.
+
+    Only a filtered side prunes the other one, hence the filter that keeps every name.
+    """
+    chosen = F.broadcast(names.filter(F.col("FILE_NAME") >= ""))
+    return rows.join(chosen, "FILE_NAME", "left_semi").select(*rows.columns)
+
+
+def rows_of_files(spark: SparkSession, table: str, names: Sequence[str]) -> DataFrame:
+    """The table's rows of the named files."""
+    return _named(spark.table(table), _name_list(spark, names))
+
+
+def _table_files(spark: SparkSession, table: str, names: DataFrame) -> DataFrame:
     """The table's data files that hold the named deliveries, with their partitions."""
-    loaded = spark.table(table).filter(F.col("FILE_NAME").isin(names))
-    return loaded.select(*PARTITIONS, F.col("_metadata.file_path").alias("data_file")).distinct()
+    held = spark.table(table).select(*PARTITIONS, F.col("_metadata.file_path").alias("data_file"))
+    return _named(held, names).distinct()
 
 
-def _data_files(spark: SparkSession, table: str, names: list[str]) -> DataFrame | None:
+def _data_files(spark: SparkSession, table: str, names: DataFrame) -> DataFrame | None:
     """Data files of the named deliveries before a load, kept in the shared folder."""
     if not spark.catalog.tableExists(table):
         return None
-    path = work_dir(spark, "data-files")
-    _table_files(spark, table, names).select("data_file").write.parquet(path)
-    return spark.read.parquet(path)
+    return _staged(_table_files(spark, table, names).select("data_file"), "data-files")
 
 
 def load_settlement(
@@ -226,7 +310,7 @@ def load_settlement(
 
     ``write_log`` receives ``load_log``, ``table_log`` and ``daily_audit`` frames, and
     ``rejects`` if a record did not parse, and stores them where the caller wants. A file
-    that breaks a scan or the write is left out by halving the list. Raises
+    that cannot be read fails alone; if the table cannot be written, all files fail. Raises
     ``LoadFailed`` at the end if any file failed.
 
     Where a delivery is a folder of parts, ``name_of`` gives the file's name for a path
@@ -241,56 +325,56 @@ def load_settlement(
         return _outcome(spark, [], {}, {}, {}, {})
     today = F.to_date(local_moment(started))
     run = today if run_date is None else F.lit(run_date)
-    checked = inspect_files(spark, files, name, name_of)
+    inspected = inspect(spark, files, name, name_of)
+    checked = inspected.files
     good = [row for row in checked if row.error is None]
     table_errors = {row.FILE_NAME: row.error for row in checked if row.error is not None}
     source_counts = {row.FILE_NAME: row.records for row in good}
     table_counts: dict[str, int] = {}
-
-    def records(part: list[Row]) -> DataFrame:
-        cut, whole = ([r.path for r in part if r.cuttable is is_cut] for is_cut in (True, False))
-        return settlement_records(spark, cut, whole, name)
-
-    def rows(part: list[Row]) -> DataFrame:
-        return settlement_rows(records(part).filter(~F.col("REJECTED")), run, mask_cards)
-
-    def load(part: list[Row]) -> None:
-        part_names = [row.FILE_NAME for row in part]
-        whole = [row.path for row in part if not row.cuttable]
-        if whole:
-            counted = _counts(read_xml(spark, whole, SETTLEMENT_RECORD, name=name))
-            source_counts.update({r.FILE_NAME: 0 for r in part if not r.cuttable} | counted)
-        load_table(with_decimals(rows(part)), table, part_names, fmt, path, compact)
-        loaded = spark.table(table).filter(F.col("FILE_NAME").isin(part_names))
-        table_counts.update(_counts(loaded))
-
-    if good:
-        _halved(good, load, lambda row, problem: table_errors.update({row.FILE_NAME: problem}))
-    loaded_files = [row for row in good if row.FILE_NAME not in table_errors]
-
-    # Only files that lack rows in the table are read again for what was rejected.
-    lacking = [
-        row
-        for row in loaded_files
-        if source_counts[row.FILE_NAME] != table_counts.get(row.FILE_NAME, 0)
-    ]
     rejected_counts: dict[str, int] = {}
-    if lacking:
-        rejects = records(lacking).filter("REJECTED").select("FILE_NAME", "REJECT_TEXT")
-        rejected_counts = _counts(rejects)
-        if rejected_counts:
-            write_log("rejects", rejects.withColumn("INSERT_DATE", run))
+
+    def parse(part: list[str]) -> DataFrame:
+        forms = {form: [r.path for r in good if r.form == form and r.path in part] for form in (CUT, WHOLE)}
+        torn = [r.FILE_NAME for r in good if r.form == JOINED and r.path in part]
+        joined = inspected.joined
+        if joined is not None:
+            # Of the staged text only files that passed go on.
+            joined = _named(joined, _name_list(spark, torn)) if torn else None
+        return _staged(
+            settlement_records(spark, forms[CUT], forms[WHOLE], name, joined), "settlement-records"
+        )
+
+    staged, faults = without_faulty([row.path for row in good], parse)
+    table_errors |= {name_of(path): problem for path, problem in faults.items()}
+    loaded_files = [row for row in good if row.path not in faults]
+
+    def rows() -> DataFrame:
+        return settlement_rows(staged.filter(~F.col("REJECTED")), run, mask_cards)
+
+    if loaded_files:
+        parsed, rejected_counts = _parsed_counts(staged)
+        # Only the whole-file reader knows what such a file's records are.
+        whole = [row.FILE_NAME for row in loaded_files if row.form == WHOLE]
+        source_counts |= {file: parsed.get(file, 0) for file in whole}
+        part_names = [row.FILE_NAME for row in loaded_files]
+        try:
+            load_table(with_decimals(rows()), table, part_names, fmt, path, compact)
+            table_counts = _counts(rows_of_files(spark, table, part_names))
+        except Exception as problem:  # noqa: BLE001 - every file of the batch gets its log row
+            table_errors |= dict.fromkeys(part_names, message(problem))
+            loaded_files = []
+
+    if loaded_files and rejected_counts:
+        rejects = staged.filter("REJECTED").select("FILE_NAME", "REJECT_TEXT")
+        write_log("rejects", rejects.withColumn("INSERT_DATE", run))
 
     jdbc_errors: dict[str, str] = {}
     jdbc_counts: dict[str, int] = {}
     if jdbc is not None and loaded_files:
-        copy = rows(loaded_files).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            jdbc_counts = load_jdbc(copy, jdbc, loaded_files)
+            jdbc_counts = load_jdbc(rows(), jdbc, loaded_files)
         except Exception as problem:  # noqa: BLE001 - every file of the batch gets its log row
-            jdbc_errors = {row.FILE_NAME: str(problem) for row in loaded_files}
-        finally:
-            copy.unpersist()
+            jdbc_errors = {row.FILE_NAME: message(problem) for row in loaded_files}
 
     ended = datetime.now(UTC)
     errors = jdbc_errors | table_errors
@@ -326,12 +410,19 @@ def load_jdbc(rows: DataFrame, target: JdbcTarget, good: list[Row]) -> dict[str,
     new = [row.FILE_NAME for row in good if row.FILE_NAME not in before]
     if not new:
         return before
-    append_jdbc(
-        rows.filter(F.col("FILE_NAME").isin(new)), target.url, target.table, target.properties
-    )
+    append_jdbc(_named(rows, _name_list(spark, new)), target.url, target.table, target.properties)
     return held()
 
 
+def _parsed_counts(staged: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Records and rejected records by file, one entry per file with any."""
+    counted = staged.groupBy("FILE_NAME").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("REJECTED").alias("rejected")
+    )
+    found = counted.collect()
+    return {r.FILE_NAME: r.n for r in found}, {r.FILE_NAME: r.rejected for r in found if r.rejected}
+
+
 def _counts(rows: DataFrame) -> dict[str, int]:
     """Rows by file; one entry per file of the list that is being loaded."""
     counted = rows.groupBy("FILE_NAME").agg(F.count(F.lit(1)).alias("n"))

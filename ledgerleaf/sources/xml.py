@@ -2,10 +2,10 @@
 
 ``xml_chunks`` reads files as text cut after each closing row tag. Spark splits such
 a read at any size, so one huge file is many tasks; ``read_xml`` needs one task per
-file. The cut form assumes that row tags do not nest, do not close themselves, have no
-space in the closing tag and do not occur in comments or CDATA sections.
-``operators.quality.file_status`` tells per file whether that holds; a file where it
-does not goes through ``read_xml``.
+file. The cut form assumes that row tags do not nest, do not close themselves and have no
+space in the closing tag. Comments and CDATA sections go through ``markup``, which also
+joins what a section with a row tag in it cuts apart. ``operators.quality.file_status``
+tells per file which form holds; a file where none does goes through ``read_xml``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ledgerleaf.schemas import ROW_TAG
 _BROKEN = "_broken_record"
 
 
-def _file_name() -> Column:
+def file_name() -> Column:
     """The file's own name: ``_metadata`` holds it with URL escapes (but a bare ``+``)."""
     escaped = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     return F.url_decode(escaped)
@@ -30,15 +30,19 @@ def xml_chunks(
     paths: str | list[str],
     row_tag: str = ROW_TAG,
     name: Column | None = None,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
-    """Columns FILE_NAME and chunk.
+    """Columns FILE_NAME and chunk; with ``skip_unreadable`` file and file_size too.
 
     ``name`` gives the file's name where a delivery is a folder of parts and not one
-    file: a partition column of the read, or an expression on ``_metadata``.
+    file: a partition column of the read, or an expression on ``_metadata``. With
+    ``skip_unreadable`` a file that breaks a read ends where it does so, without an error.
     """
-    name = _file_name() if name is None else name
-    lines = spark.read.option("lineSep", f"</{row_tag}>").text(paths)
-    return lines.select(name.alias("FILE_NAME"), F.col("value").alias("chunk"))
+    name = file_name() if name is None else name
+    lines = spark.read.option("lineSep", f"</{row_tag}>").option("ignoreCorruptFiles", skip_unreadable)
+    source = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size")]
+    columns = [name.alias("FILE_NAME"), F.col("value").alias("chunk"), *(source if skip_unreadable else [])]
+    return lines.text(paths).select(*columns)
 
 
 def has_record(chunk: Column, row_tag: str = ROW_TAG) -> Column:
@@ -87,7 +91,7 @@ def read_xml(
 
     Here a rejected record has no text: the reader would give that of the whole file.
     """
-    name = _file_name() if name is None else name
+    name = file_name() if name is None else name
     reader = spark.read.schema(_with_broken(schema)).option("rowTag", row_tag)
     rows = reader.option("columnNameOfCorruptRecord", _BROKEN).xml(paths)
     # Spark refuses a read of the column of broken records alone.

@@ -143,7 +143,7 @@ def test_broken_records_are_rejected_and_counted(spark, tmp_path, table):
 
 
 def test_broken_record_in_a_file_read_whole(spark, tmp_path, table):
-    broken = "<!-- x -->" + record(8).replace("A &amp; B", "A & B")
+    broken = "<TRN/>\n" + record(8).replace("A &amp; B", "A & B")
     path = deliver(tmp_path, "PERTRANS2024-01-02.xml", record(3), broken)
     logs = Logs()
     outcome = load_settlement(spark, [path], table, NAMES, logs, RUN).first()
@@ -152,30 +152,162 @@ def test_broken_record_in_a_file_read_whole(spark, tmp_path, table):
     assert {r.REJECT_TEXT for r in logs.rows["rejects"]} <= {None}
 
 
-def test_a_file_that_breaks_a_scan_or_the_write_stands_alone(spark, tmp_path, table, monkeypatch):
-    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in range(1, 7)]
-    scan, write = settlement.file_status, settlement.load_table
+def spoil(path):
+    """A wrong checksum beside the file makes every read of it fail."""
+    folder, name = path.rsplit("/", 1)
+    with open(f"{folder}/.{name}.crc", "wb") as out:
+        out.write(b"crc\0\0\0\2\0" + b"\1\2\3\4" * 99)
 
-    def breaks(names, bad, what):
-        if any(bad in name for name in names):
-            raise RuntimeError(what)
 
-    def status(chunks):
-        breaks([r.FILE_NAME for r in chunks.select("FILE_NAME").distinct().collect()], "01-02", "scan broke")
-        return scan(chunks)
+def counting(monkeypatch, *names):
+    """Counts the calls of functions of the job, which go on as they are."""
+    calls = Counter()
 
-    def load(rows, name, names, *rest):
-        breaks(names, "01-05", "write broke")
-        write(rows, name, names, *rest)
+    def wrapped(name, function):
+        def call(*args, **kwargs):
+            calls[name] += 1
+            return function(*args, **kwargs)
 
-    monkeypatch.setattr(settlement, "file_status", status)
-    monkeypatch.setattr(settlement, "load_table", load)
-    logs = Logs()
-    with pytest.raises(LoadFailed, match="2 of 6 files failed"):
+        return call
+
+    for name in names:
+        monkeypatch.setattr(settlement, name, wrapped(name, getattr(settlement, name)))
+    return calls
+
+
+def errors_by_day(logs):
+    return {r.FILE_NAME[-6:-4]: r.ERROR_DESC for r in logs.rows["load_log"]}
+
+
+def test_unreadable_files_are_found_together_and_the_others_loaded(spark, tmp_path, table, monkeypatch):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", *[record(j) for j in range(99)]) for i in range(1, 8)]
+    for path in (paths[1], paths[4]):
+        spoil(path)
+    absent = [str(tmp_path / f"PERTRANS2024-01-1{i}.xml") for i in range(3)]
+    calls, logs = counting(monkeypatch, "xml_chunks"), Logs()
+    with pytest.raises(LoadFailed, match="5 of 10 files failed"):
+        load_settlement(spark, paths + absent, table, NAMES, logs, RUN)
+    # The scan that broke, one for all faults, and the parse.
+    assert calls["xml_chunks"] == 3
+    errors = errors_by_day(logs)
+    assert {day for day, text in errors.items() if text is None} == {"01", "03", "04", "06", "07"}
+    assert "cannot be read" in errors["02"] and "does not exist" in errors["11"]
+    assert spark.table(table).count() == 5 * 99
+
+
+def test_a_file_that_breaks_the_parse_is_left_out(spark, tmp_path, table, monkeypatch):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in range(1, 5)]
+    look = settlement.inspect
+
+    def then_spoil(*args):
+        found = look(*args)
+        spoil(paths[2])
+        return found
+
+    monkeypatch.setattr(settlement, "inspect", then_spoil)
+    calls, logs = counting(monkeypatch, "settlement_records"), Logs()
+    with pytest.raises(LoadFailed, match="1 of 4 files failed"):
         load_settlement(spark, paths, table, NAMES, logs, RUN)
-    assert sorted(r.APPROVAL_CODE for r in spark.table(table).collect()) == ["1", "3", "4", "6"]
-    errors = {r.FILE_NAME[-6:-4]: r.ERROR_DESC for r in logs.rows["load_log"]}
-    assert errors == {"01": None, "02": "scan broke", "03": None, "04": None, "05": "write broke", "06": None}
+    assert calls["settlement_records"] == 2
+    assert "FAILED_READ_FILE" in errors_by_day(logs)["03"]
+    assert sorted(r.APPROVAL_CODE for r in spark.table(table).collect()) == ["1", "2", "4"]
+
+
+def test_a_target_that_cannot_be_written_is_tried_once(spark, tmp_path, table):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-{i:02}.xml", record(i)) for i in range(1, 31)]
+    taken = tmp_path / "taken"
+    taken.write_text("a file, where the table's folder should be")
+    logs = Logs()
+    with pytest.MonkeyPatch.context() as patch:
+        calls = counting(patch, "load_table", "settlement_records", "file_status")
+        with pytest.raises(LoadFailed, match="30 of 30 files failed"):
+            load_settlement(spark, paths, table, NAMES, logs, RUN, path=str(taken / "table"))
+    assert calls == Counter(load_table=1, settlement_records=1, file_status=1)
+    assert len(set(errors_by_day(logs).values())) == 1 and None not in errors_by_day(logs).values()
+
+
+def test_a_failure_of_the_code_is_no_file_s(spark, tmp_path, table, monkeypatch):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in range(1, 5)]
+    calls = []
+
+    def broken(*_):
+        calls.append(1)
+        raise RuntimeError("scan broke")
+
+    monkeypatch.setattr(settlement, "file_status", broken)
+    with pytest.raises(RuntimeError, match="scan broke"):
+        load_settlement(spark, paths, table, NAMES, Logs(), RUN)
+    assert calls == [1]
+
+
+def test_text_is_read_twice_whatever_is_rejected_or_copied(spark, tmp_path, table, database, monkeypatch):
+    broken = record(8).replace("</FLD_004>", "")
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i), broken) for i in (1, 2)]
+    paths.append(deliver(tmp_path, "PERTRANS2024-01-03.xml", record(3), "<TRN/>"))
+    calls, logs = counting(monkeypatch, "xml_chunks", "read_xml"), Logs()
+    outcome = load_settlement(spark, paths, table, NAMES, logs, RUN, jdbc=JdbcTarget("jdbc:x", "copy", {}))
+    assert calls == Counter(xml_chunks=2, read_xml=1)
+    assert {r.rejected_count for r in outcome.collect()} == {0, 1} and len(logs.rows["rejects"]) == 2
+    assert len(database) == 4
+
+
+def hidden_records(kind):
+    """Records and remarks, with the numbers of those that count."""
+    text, counted = [], []
+    for i in range(600):
+        if i % 10 == 3:
+            text.append(f"<!-- off: {record(i)} {record(i)} -->")
+        elif i % 10 == 5:
+            shop = "<FLD_020><![CDATA[a <TRN> b </TRN> & <!-- c]]></FLD_020>"
+            text.append(record(i).replace("<FLD_020>A &amp; B</FLD_020>", shop))
+            counted.append(i)
+        else:
+            text.append(record(i).replace("<FLD_004>", "<!-- note --><FLD_004>"))
+            counted.append(i)
+        if kind == "long" and i == 300:
+            text.append("<!--" + "".join(record(j) for j in range(700, 1000)) + "-->")
+    return text, counted
+
+
+@pytest.mark.parametrize("kind", ["short", "long"])
+def test_sections_that_hide_row_tags_leave_a_file_cuttable(spark, tmp_path, table, monkeypatch, kind):
+    text, counted = hidden_records(kind)
+    large = deliver(tmp_path, "PERTRANS2024-01-01.xml", *text)
+    small = deliver(tmp_path, "PERTRANS2024-01-02.xml", record(2000))
+    expected = Counter(map(tuple, read_xml(spark, large, SETTLEMENT_RECORD).drop("REJECT_TEXT").collect()))
+    assert expected.total() == len(counted)
+
+    def never(*_, **__):
+        raise AssertionError("read as a whole")
+
+    monkeypatch.setattr(settlement, "read_xml", never)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20011")
+    try:
+        (row, other) = settlement.inspect_files(spark, [large, small])
+        assert (row.form, row.cuttable, row.records) == ("joined", False, len(counted))
+        assert (other.form, other.cuttable, row.error, other.error) == ("cut", True, None, None)
+        joined = settlement.joined_text(spark, [large])
+        assert joined.rdd.getNumPartitions() > 5
+        records = xml_records(joined, SETTLEMENT_RECORD).drop("REJECT_TEXT")
+        assert Counter(map(tuple, records.collect())) == expected
+        outcome = load_settlement(spark, [large, small], table, NAMES, Logs(), RUN)
+        assert {r.target_count for r in outcome.collect()} == {len(counted), 1}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    shops = spark.table(table).filter("APPROVAL_CODE = '5'").select("MERCHANT_NAME").first()
+    assert shops.MERCHANT_NAME == "a <TRN> b </TRN> & <!-- c"
+    assert sorted(int(r.APPROVAL_CODE) for r in spark.table(table).collect()) == [*counted, 2000]
+
+
+def test_a_long_list_of_files_prunes_partitions(spark, tmp_path, table):
+    paths = [deliver(tmp_path, f"PERTRANS2024-01-0{i}.xml", record(i)) for i in (1, 2, 3)]
+    load_settlement(spark, paths, table, NAMES, Logs(), RUN)
+    names = ["PERTRANS2024-01-02.xml", *[f"PERTRANS{i}.xml" for i in range(5000)]]
+    df = settlement.rows_of_files(spark, table, names)
+    assert df.count() == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(FILE_NAME" in plan and "PERTRANS4999" not in plan
 
 
 def first_again(folder, name):
