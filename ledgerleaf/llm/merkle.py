@@ -4,7 +4,8 @@ Rows are the leaves of one tree per group; the trees' roots, in the order of the
 are the leaves of the top tree. Every two consecutive nodes of a level become one of the
 next, a last single one too. Built levels are stored as parent-linked node rows: a node row
 leads ``STRIDE`` levels up and holds the siblings on the way, so that a tree of n leaves is
-climbed in log(n) / STRIDE steps. A recursive query lets every leaf climb to the root.
+climbed in log(n) / STRIDE steps. A recursive query lets every leaf climb to the root; it
+begins with the leaves' own node rows, so that only the few nodes above them are joined.
 """
 
 from __future__ import annotations
@@ -27,7 +28,12 @@ SALTED = 4096
 TOP = -1
 
 _BLOCK = 1 << STRIDE
-_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+# Settings of the climb: it has one row per leaf and step, which Spark's default bound would
+# refuse, and its rounds are dealt out evenly, so that there is no skew to split.
+_CLIMB_CONF = {
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "false",
+}
 
 _RESULT = (
     "leaf string, subroot string, root string, proof_sha256 string, folded_root string, "
@@ -58,8 +64,8 @@ def _joint(left: str, right: str = "''") -> str:
 
 @dataclass(frozen=True)
 class Manifest:
-    """``leaves``: row, tree, pos, leaf, start and the columns that were kept.
-    ``nodes``: the parent-linked node rows, None if there are no leaves.
+    """``leaves``: the leaves' node rows, with row, key and start. ``nodes``: the node rows above
+    them, None if there are no leaves.
     """
 
     leaves: DataFrame
@@ -93,13 +99,13 @@ def _numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
-    """Node rows of one step from its nodes: tree, pos, n, hash, leaves.
+    """Node rows of one step from its nodes: tree, pos, n, hash, leaves, row, key, start.
 
     A block has 2**STRIDE nodes, so its levels fit in one row.
     """
     blocks = nodes.groupBy("tree", F.shiftright("pos", STRIDE).alias("block")).agg(
         F.first("n").alias("n"),
-        F.sort_array(F.collect_list(F.struct("pos", "hash", "leaves"))).alias("members"),
+        F.sort_array(F.collect_list(F.struct("pos", "hash", "leaves", "row", "key", "start"))).alias("members"),
         F.sum("leaves").alias("up_leaves"),
     )
     steps = ", ".join(map(str, range(1, STRIDE + 1)))
@@ -114,7 +120,7 @@ def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
     linked = (
         f"aggregate(slice(array({steps}), 1, {height}), array(members.hash), "
         f"(acc, l) -> concat(acc, array({upper})), levels -> transform(members, (m, i) -> "
-        f"struct(m.pos, m.leaves, get(element_at(levels, -1), 0) AS up_hash, {siblings} AS siblings)))"
+        f"struct(m.pos, m.leaves, m.row, m.key, m.hash, m.start, get(element_at(levels, -1), 0) AS up_hash, {siblings} AS siblings)))"
     )
     done = F.col("n") <= _BLOCK
     up_leaves = F.col("up_leaves")
@@ -127,8 +133,7 @@ def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
             F.col("member.pos").alias("pos"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
             "n",
-            "member.siblings",
-            "member.up_hash",
+            *[f"member.{name}" for name in ("row", "key", "hash", "start", "siblings", "up_hash")],
             "up_leaves",
             F.when(~done, F.col("tree")).when(F.lit(not top), F.lit(TOP)).cast("long").alias("up_tree"),
             F.when(done, 0).otherwise(step + 1).alias("up_step"),
@@ -145,6 +150,7 @@ def _salts(leaves: Column) -> Column:
 def _forest(nodes: DataFrame, most: int, top: bool) -> tuple[list[DataFrame], DataFrame]:
     """Stored node rows of all steps, and the trees' roots: tree, hash, leaves."""
     found, roots, step = [], [], 0
+    carried = [(f.name, f.dataType) for f in nodes.schema.fields if f.name in ("row", "key", "start")]
     while True:
         rows = stored(_step(nodes, step, top), f"merkle-step-{step}")
         found.append(rows)
@@ -156,6 +162,7 @@ def _forest(nodes: DataFrame, most: int, top: bool) -> tuple[list[DataFrame], Da
             F.expr(f"(n + {_BLOCK - 1}) div {_BLOCK}").alias("n"),
             F.col("up_hash").alias("hash"),
             F.col("up_leaves").alias("leaves"),
+            *[F.lit(None).cast(kind).alias(name) for name, kind in carried],
         )
         roots.append(parents.filter(firsts["n"] <= _BLOCK))
         if most <= _BLOCK:
@@ -191,41 +198,47 @@ def build(
         trees.select(F.col("kind").alias("of_kind"), F.col("pos").alias("tree")),
         F.col("kind").eqNullSafe(F.col("of_kind")),
     )
-    leaves = stored(joined.select("row", "key", "tree", "pos", "n", "leaf", "start"), "merkle-rows")
+    one = F.lit(1).cast("long").alias("leaves")
+    leaves = joined.select("tree", "pos", "n", F.col("leaf").alias("hash"), one, "row", "key", "start")
     if counts.trees is None:
         return Manifest(leaves, None)
-    one = F.lit(1).cast("long").alias("leaves")
-    below, roots = _forest(
-        leaves.select("tree", "pos", "n", F.col("leaf").alias("hash"), one), counts.largest, False
-    )
+    below, roots = _forest(leaves, counts.largest, False)
     tops = roots.select(
         F.lit(TOP).cast("long").alias("tree"),
         F.col("tree").alias("pos"),
         F.lit(counts.trees).cast("long").alias("n"),
         "hash",
         "leaves",
+        "row",
+        "key",
+        "start",
     )
     above, _ = _forest(tops, counts.trees, True)
-    return Manifest(leaves, reduce(DataFrame.unionAll, [*below, *above]))
+    return Manifest(below[0], reduce(DataFrame.unionAll, [*below[1:], *above]))
 
 
 def _climb_sql(leaves: str, nodes: str) -> str:
-    fold = (
-        "aggregate(transform(n.siblings, (hash, l) -> struct(hash, l)), c.folded, (h, x) -> "
-        f"CASE WHEN x.hash IS NULL THEN {_joint('h')} "
-        f"WHEN shiftright(c.pos, x.l) & 1 = 0 THEN {_joint('h', 'x.hash')} "
-        f"ELSE {_joint('x.hash', 'h')} END)"
-    )
-    proof = "aggregate(filter(n.siblings, s -> s IS NOT NULL), c.proof, (p, s) -> concat(p, s))"
+    def fold(pos: str, folded: str) -> str:
+        return (
+            f"aggregate(transform(n.siblings, (hash, l) -> struct(hash, l)), {folded}, (h, x) -> "
+            f"CASE WHEN x.hash IS NULL THEN {_joint('h')} "
+            f"WHEN shiftright({pos}, x.l) & 1 = 0 THEN {_joint('h', 'x.hash')} "
+            f"ELSE {_joint('x.hash', 'h')} END)"
+        )
+
+    def proof(begun: str) -> str:
+        return f"aggregate(filter(n.siblings, s -> s IS NOT NULL), {begun}, (p, s) -> concat(p, s))"
+
+    subroot = f"CASE WHEN n.up_tree = {TOP} THEN n.up_hash END"
     return f"""
     WITH RECURSIVE climb(row, tree, step, pos, salts, folded, proof, subroot)
       MAX RECURSION LEVEL 100 AS (
-        SELECT row, tree, 0, pos, CAST(1 AS BIGINT), coalesce(start, leaf),
-          CAST('' AS BINARY), CAST(NULL AS BINARY)
-        FROM {leaves}
+        SELECT n.row, n.up_tree, n.up_step, n.up_pos, n.up_salts,
+          {fold("n.pos", "coalesce(n.start, n.hash)")}, {proof("CAST('' AS BINARY)")}, {subroot}
+        FROM {leaves} n
       UNION ALL
-        SELECT c.row, n.up_tree, n.up_step, n.up_pos, n.up_salts, {fold}, {proof},
-          coalesce(c.subroot, CASE WHEN n.up_tree = {TOP} THEN n.up_hash END)
+        SELECT c.row, n.up_tree, n.up_step, n.up_pos, n.up_salts,
+          {fold("c.pos", "c.folded")}, {proof("c.proof")}, coalesce(c.subroot, {subroot})
         FROM climb c JOIN {nodes} n
           ON c.tree = n.tree AND c.step = n.step AND c.pos = n.pos
             AND pmod(c.row, c.salts) = n.salt
@@ -250,19 +263,20 @@ def proofs(manifest: Manifest) -> DataFrame:
     names = [f"merkle_{kind}_{mark}" for kind in ("leaves", "nodes")]
     leaves.createOrReplaceTempView(names[0])
     nodes.createOrReplaceTempView(names[1])
-    # The climb has one row per leaf and step, which Spark's default bound would refuse.
-    before = spark.conf.get(_ROW_LIMIT)
-    spark.conf.set(_ROW_LIMIT, "-1")
+    before = {key: spark.conf.get(key) for key in _CLIMB_CONF}
     try:
+        for key, value in _CLIMB_CONF.items():
+            spark.conf.set(key, value)
         climbed = stored(spark.sql(_climb_sql(*names)), "merkle-climbs")
     finally:
-        spark.conf.set(_ROW_LIMIT, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
         for name in names:
             spark.catalog.dropTempView(name)
     top = nodes.filter(F.col("up_tree").isNull()).select(F.col("up_hash").alias("root")).limit(1)
     shown = lambda name: F.lower(F.hex(name))
     return (
-        leaves.select("row", "key", "leaf")
+        leaves.select("row", "key", F.col("hash").alias("leaf"))
         .join(climbed, "row")
         .crossJoin(F.broadcast(top))
         .select(
