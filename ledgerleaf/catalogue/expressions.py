@@ -81,6 +81,26 @@ def ascii_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in several scripts, beside the customer's own."""
+    names = F.array(*[F.lit(name) for name in _SCRIPT_NAMES])
+    chosen = F.get(names, (F.col("c_custkey") % len(_SCRIPT_NAMES)).cast("int"))
+    text = F.concat(chosen, F.lit(" "), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.ascii_fold(text).alias("folded"))
+
+
+# Names as customers write them, with the form that is expected.
+_SCRIPT_NAMES = {
+    "Ελένη Ψαρρού": "Elene Psarrou",
+    "Андрій Їжак": "Andrii Yizhak",
+    "Ђорђе Љубић": "Djordje Ljubitsh",
+    "Қанат Өмірұлы": "Kanat Omiruly",
+    "გიორგი ჟვანია": "giorgi zhvania",
+    "ﬁona Ａhmed №５": "fiona Ahmed No5",
+    "Şəhriyar Öğüz": "Sehriyar Oguz",
+}
+
+
 def city_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     city = fn.normalize_city(F.col("city")).alias("city")
     return bronze_cards(spark, sf_dir).select(_CARD_ID, city)
@@ -226,6 +246,11 @@ QUERIES: dict[str, Query] = {
     "ascii_fold": query(
         ascii_fold, f"SELECT doc_id, {sql.fold('text')} AS folded FROM documents"
     ),
+    "fold_scripts": query(
+        fold_scripts,
+        f"SELECT c_custkey, {list(_SCRIPT_NAMES.values())}[c_custkey % {len(_SCRIPT_NAMES)} + 1] "
+        "|| ' ' || c_name AS folded FROM customer",
+    ),
     "city_normalize": query(
         city_normalize,
         f"SELECT transaction_id, {sql.fold(sql.title('city'))} AS city "

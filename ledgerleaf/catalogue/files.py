@@ -32,7 +32,9 @@ from ledgerleaf.operators import (
     is_complete,
     load_log,
     reconcile,
+    reconcile_content,
     row_counts,
+    row_prints,
     table_log,
 )
 from ledgerleaf.plans.settlement import LoadFailed, LogNames, load_settlement
@@ -49,8 +51,11 @@ from ledgerleaf.sources import (
     count_by_file_sql,
     read_csv,
     read_csv_by_name,
+    read_csv_files,
     read_parquet,
     read_xml,
+    split_conditions,
+    split_points_sql,
     xml_chunks,
     xml_records,
 )
@@ -77,6 +82,18 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_by_name(spark, path, CARD_TRANSACTIONS)
 
 
+def csv_headers_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries of cards whose headers differ in order, one with a column more."""
+    cards = bronze_cards(spark, sf_dir).withColumn("key", F.col("transaction_id").cast("long"))
+    names = CARD_TRANSACTIONS.names
+    orders = [names, names[::-1], [*names[5:], *names[:5], "note"]]
+    paths = [work_dir(spark, f"cards {i}+%20") for i in range(len(orders))]
+    for i, (path, order) in enumerate(zip(paths, orders, strict=True)):
+        part = cards.filter(F.col("key") % len(orders) == i)
+        write_csv(part.withColumn("note", F.concat(F.lit("n"), "key")).select(*order), path)
+    return read_csv_files(spark, paths, CARD_TRANSACTIONS)
+
+
 def csv_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "customers")
     write_csv(bronze_customers(spark, sf_dir), path)
@@ -223,6 +240,27 @@ def xml_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.unionByName(kept)
 
 
+_HIDDEN = "Shop </TRN> & <TRN>"
+_HAS_HIDDEN = "o_orderkey % 11 = 0"
+_HIDING = {**FIELDS, "FLD_020": f"case when {_HAS_HIDDEN} then '{_HIDDEN}' else {FIELDS['FLD_020']} end"}
+
+
+def xml_hidden_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job on deliveries in which comments hold records and CDATA holds row tags."""
+    folder = work_dir(spark, "hiding")
+    records = derive(table(spark, sf_dir, "orders"), {"source": SOURCE, "key": "o_orderkey", **_HIDING})
+    text = F.to_xml(F.struct(*_HIDING), {"rowTag": ROW_TAG})
+    escaped = _HIDDEN.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    text = F.replace(text, F.lit(escaped), F.lit(f"<![CDATA[{_HIDDEN}]]>"))
+    plain = ~text.contains("<![CDATA[")
+    remark = F.concat(F.lit("<!-- was: "), text, F.lit("\n"), text, F.lit(" -->\n"), text)
+    text = F.when((F.col("key") % 7 == 0) & plain, remark).otherwise(text)
+    rows = records.select("source", text.alias("value"))
+    end = rows.select("source", F.lit(f"</{ROOT_TAG}>").alias("value")).distinct()
+    _write_records(rows.unionByName(end), folder)
+    return _load(spark, sf_dir, [folder], *_new_table(spark))
+
+
 def settlement_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records found in the delivered text against rows in the loaded table."""
     folders = landing(spark, sf_dir)
@@ -291,6 +329,48 @@ def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(row_counts(delivered), row_counts(delivered.filter(_TARGET_RULE)))
 
 
+def reconcile_content_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows on both sides; in May files one amount differs, in July two rows swap theirs."""
+    rows = derive(
+        table(spark, sf_dir, "orders"),
+        {"FILE_NAME": SOURCE, "order_id": "o_orderkey", "customer": "o_custkey", "amount": "o_totalprice"},
+    ).withColumn("FILE_DATE", fn.file_date(F.col("FILE_NAME")))
+    month, odd = F.month("FILE_DATE"), F.col("order_id") % 2 == 1
+    changed = rows.withColumn("amount", F.when((month == 5) & odd, F.col("amount") + 1).otherwise(F.col("amount")))
+    swapped = changed.withColumns(
+        {
+            "order_id": F.when(month == 7, F.col("customer")).otherwise(F.col("order_id")),
+            "customer": F.when(month == 7, F.col("order_id")).otherwise(F.col("customer")),
+        }
+    )
+    # The order of the rows and their number of tasks play no part.
+    return reconcile_content(row_prints(rows), row_prints(swapped.repartition(5, "customer")))
+
+
+def split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a table on a key that a third of the rows share and many lack.
+
+    The text that a database would run is run by Spark on a view. ``met`` counts the conditions
+    that a row meets.
+    """
+    derive(table(spark, sf_dir, "orders"), {"k": _SPLIT_KEY, "o_orderkey": "o_orderkey"}).createOrReplaceTempView(
+        "split_rows"
+    )
+    points = spark.sql(split_points_sql("split_rows", "k", "o_orderkey", _PARTS)).collect()
+    conditions = [F.expr(text) for text in split_conditions(points, "k", "o_orderkey")]
+    met = sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))
+    part = F.coalesce(*[F.when(c, number) for number, c in enumerate(conditions, 1)])
+    rows = spark.table("split_rows").select(part.alias("part"), met.alias("met"))
+    return rows.groupBy("part", "met").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PARTS = 8
+_SPLIT_KEY = (
+    "case when o_orderkey % 3 = 0 then 7 when o_orderkey % 5 = 0 then cast(null as int) "
+    "else cast(o_custkey as int) end"
+)
+
+
 def _outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reconciled counts, with an error for each file that the table lacks."""
     missing = F.col("target_count").isNull()
@@ -366,6 +446,12 @@ QUERIES: dict[str, Query] = {
         "SELECT * REPLACE (CAST(transaction_amount AS VARCHAR) AS transaction_amount) "
         f"FROM ({BRONZE_CARDS_SQL})",
     ),
+    "csv_headers_differ": query(
+        csv_headers_differ,
+        "SELECT * REPLACE (CAST(transaction_amount AS VARCHAR) AS transaction_amount), "
+        "CASE WHEN transaction_id::BIGINT % 3 = 2 THEN 'n' || transaction_id END AS note "
+        f"FROM ({BRONZE_CARDS_SQL})",
+    ),
     "csv_declared": query(
         csv_declared,
         "SELECT * REPLACE (nullif(full_name, '') AS full_name, nullif(phone, '') AS phone) "
@@ -392,6 +478,10 @@ QUERIES: dict[str, Query] = {
         xml_rejects,
         f"SELECT {SOURCE} AS FILE_NAME, cast(o_orderkey AS VARCHAR) AS order_id, {IS_BROKEN} AS rejected FROM orders",
     ),
+    "xml_hidden_tags": query(
+        xml_hidden_tags,
+        _SETTLEMENT.replace(_COMPLETE_SQL, derive_sql({"FILE_NAME": SOURCE, **_HIDING}, "orders")),
+    ),
     "settlement_reconcile": query(
         settlement_reconcile,
         "SELECT FILE_NAME, substr(FILE_NAME, 9, 10) AS FILE_DATE, n AS source_count, "
@@ -431,6 +521,20 @@ QUERIES: dict[str, Query] = {
         "SELECT FILE_NAME, FILE_DATE, source_count, target_count, count_state "
         f"FROM ({_OUTCOME})",
     ),
+    "reconcile_content": query(
+        reconcile_content_query,
+        "SELECT FILE_NAME, substr(FILE_NAME, 9, 10) AS FILE_DATE, count(*) AS source_count, "
+        "count(*) AS target_count, 'success' AS count_state, CASE "
+        "WHEN substr(FILE_NAME, 14, 2) = '05' AND bool_or(o_orderkey % 2 = 1) THEN 'fail' "
+        "WHEN substr(FILE_NAME, 14, 2) = '07' AND bool_or(o_orderkey <> o_custkey) THEN 'fail' "
+        f"ELSE 'success' END AS content_state FROM (SELECT *, {SOURCE} AS FILE_NAME FROM orders) GROUP BY FILE_NAME",
+    ),
+    "split_points": query(
+        split_points,
+        f"SELECT part, 1 AS met, count(*) AS n FROM (SELECT ntile({_PARTS}) OVER "
+        "(ORDER BY k NULLS FIRST, o_orderkey) AS part "
+        f"FROM (SELECT *, {_SPLIT_KEY} AS k FROM orders)) GROUP BY part",
+    ),
     "daily_audit": query(
         daily_audit_query,
         f"SELECT '{RUN_DATE}' AS report_date, 'load/' || FILE_NAME AS source_name, "

@@ -1,12 +1,11 @@
-"""Text expressions: case, masks, folding, phones, file names."""
+"""Text expressions: case, masks, phones, file names."""
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.folding import ascii_fold
 from ledgerleaf.functions.parsing import parse_date
 from ledgerleaf.schemas import (
     GENDERS,
@@ -19,79 +18,9 @@ from ledgerleaf.schemas import (
 # Letters that have case, and the space: ``initcap`` is right within a run of these.
 _WORDS = r"\p{LC} "
 
-# The masks, and the Azerbaijani letters with their ASCII forms.
+# The masks.
 CARD_MASK = "**** **** **** "
 IBAN_MASK = "AZ**********************"
-AZ_LETTERS = "əƏıİşŞçÇöÖğĞüÜ"
-AZ_ASCII = "eEiIsScCoOgGuU"
-
-# Latin letters without a Unicode decomposition, and typographic marks.
-_OTHER_LETTERS = "ØøĐđÐðŁłĦħŦŧĸſ"
-_OTHER_ASCII = "OoDdDdLlHhTtks"
-_MARKS = "\u00a0‘’“”–"
-_MARKS_ASCII = " ''\"\"-"
-
-# Russian letters that become one ASCII character.
-_RUSSIAN = "АБВГДЕЗИЙКЛМНОПРСТУФЪЫЬЭабвгдезийклмнопрстуфъыьэ"
-_RUSSIAN_ASCII = "ABVGDEZIIKLMNOPRSTUF'Y'Eabvgdeziiklmnoprstuf'y'e"
-
-# Characters that become several.
-_EXPANDED = {
-    "ß": "ss",
-    "Æ": "AE",
-    "æ": "ae",
-    "Œ": "OE",
-    "œ": "oe",
-    "Þ": "Th",
-    "þ": "th",
-    "Ĳ": "IJ",
-    "ĳ": "ij",
-    "«": "<<",
-    "»": ">>",
-    "—": "--",
-    "…": "...",
-    "Ё": "Io",
-    "Ж": "Zh",
-    "Х": "Kh",
-    "Ц": "Ts",
-    "Ч": "Ch",
-    "Ш": "Sh",
-    "Щ": "Shch",
-    "ё": "io",
-    "ж": "zh",
-    "х": "kh",
-    "ц": "ts",
-    "ч": "ch",
-    "ш": "sh",
-    "щ": "shch",
-    "Ю": "Iu",
-    "Я": "Ia",
-    "ю": "iu",
-    "я": "ia",
-}
-
-
-def _fold_table() -> tuple[str, str]:
-    """The 1:1 folding table: Azerbaijani letters first, then accented Latin by Unicode rule.
-
-    Combining marks come last with no partner, so ``translate`` deletes them.
-    """
-    table = dict(
-        zip(
-            AZ_LETTERS + _OTHER_LETTERS + _MARKS + _RUSSIAN,
-            AZ_ASCII + _OTHER_ASCII + _MARKS_ASCII + _RUSSIAN_ASCII,
-            strict=True,
-        )
-    )
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and parts[0].isascii():
-            table.setdefault(chr(code), parts[0])
-    combining = "".join(chr(code) for code in range(0x0300, 0x0370))
-    return "".join(table) + combining, "".join(table.values())
-
-
-_FOLD_FROM, _FOLD_TO = _fold_table()
 
 
 def same_ignoring_case(c: Column, text: str) -> Column:
@@ -128,28 +57,6 @@ def card_key(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), c), 256)
 
 
-def _is_ascii(c: Column) -> Column:
-    """One byte per character."""
-    return F.octet_length(c) == F.length(c)
-
-
-def _expand(c: Column) -> Column:
-    for text, ascii_form in _EXPANDED.items():
-        c = F.replace(c, F.lit(text), F.lit(ascii_form))
-    return c
-
-
-def ascii_fold(c: Column) -> Column:
-    """Azerbaijani, other Latin and Russian letters to ASCII; other scripts pass through.
-
-    Most texts need no folding or only the 1:1 table. ``transform`` over one item names
-    the translated text, so that it is computed once and tested before it is expanded.
-    """
-    translated = F.array(F.translate(c, _FOLD_FROM, _FOLD_TO))
-    expanded = F.transform(translated, lambda t: F.when(_is_ascii(t), t).otherwise(_expand(t)))
-    return F.when(_is_ascii(c), c).otherwise(F.get(expanded, F.lit(0)))
-
-
 def name_part(c: Column, index: int) -> Column:
     """Item ``index`` of the text split at single spaces, or null where it is missing."""
     return F.get(F.split(c, " "), F.lit(index))

@@ -12,7 +12,9 @@ from ledgerleaf.operators.quality import (
     preview,
     read_in_full,
     reconcile,
+    reconcile_content,
     row_counts,
+    row_prints,
 )
 
 __all__ = [
@@ -29,8 +31,10 @@ __all__ = [
     "preview",
     "read_in_full",
     "reconcile",
+    "reconcile_content",
     "require_unique",
     "row_counts",
+    "row_prints",
     "split_null_keys",
     "table_log",
 ]

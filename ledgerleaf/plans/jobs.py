@@ -13,7 +13,7 @@ from ledgerleaf.operators import require_unique, split_null_keys
 from ledgerleaf.plans import gold, silver
 from ledgerleaf.schemas import CARD_KEYS, CARD_TRANSACTIONS, CUSTOMERS, MERCHANT_KEYS, RATES
 from ledgerleaf.sinks import write_csv, write_parquet
-from ledgerleaf.sources import read_csv, read_csv_by_name, read_jdbc_table, read_parquet
+from ledgerleaf.sources import read_csv, read_csv_files, read_jdbc_table, read_parquet
 from ledgerleaf.sources.files import MISSING
 
 
@@ -36,7 +36,7 @@ def build_silver_customers(
 def build_silver_cards(
     spark: SparkSession, source: str, target: str, as_csv: bool = False
 ) -> None:
-    bronze = read_csv_by_name(spark, source, CARD_TRANSACTIONS, MISSING)
+    bronze = read_csv_files(spark, source, CARD_TRANSACTIONS, MISSING)
     write = write_csv if as_csv else write_parquet
     write(silver.card_transactions(bronze), target)
 
@@ -83,13 +83,16 @@ def snapshot_jdbc(
     partitions: int = 32,
     conditions: list[str] | None = None,
     single_task: bool = False,
+    tie_column: str | None = None,
 ) -> None:
     """A database table to Parquet, read in parallel parts.
 
-    ``split_column`` or ``conditions`` divide it; a table that is to go through one task
+    ``split_column`` or ``conditions`` divide it, ``tie_column`` into parts of equal size; a table that is to go through one task
     has to be named as such by ``single_task``.
     """
     if split_column is None and not conditions and not single_task:
         raise ValueError("give split_column or conditions, or choose single_task")
-    rows = read_jdbc_table(spark, url, table, properties, split_column, partitions, conditions)
+    rows = read_jdbc_table(
+        spark, url, table, properties, split_column, partitions, conditions, tie_column
+    )
     write_parquet(rows, target)

@@ -6,7 +6,10 @@ printed or stored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from datetime import date, datetime
+
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def read_jdbc_query(
@@ -25,14 +28,20 @@ def read_jdbc_table(
     split_column: str | None = None,
     partitions: int = 32,
     conditions: list[str] | None = None,
+    tie_column: str | None = None,
 ) -> DataFrame:
     """A table; with ``split_column`` (number, date or timestamp) in parallel ranges.
 
     The ranges span the column's minimum and maximum, which the database computes.
     Rows where it is null fall into the first range, so none are lost. For a column
-    whose values crowd in one range, ``conditions`` gives the parts as SQL conditions
-    instead; every row must meet exactly one.
+    whose values crowd in one range, a ``tie_column`` whose values are unique, such as the
+    primary key, gives parts of equal numbers of rows instead, whatever the split column
+    repeats. ``conditions`` gives the parts as SQL conditions; every row must meet exactly one.
     """
+    if split_column and tie_column:
+        points_sql = split_points_sql(table, split_column, tie_column, partitions)
+        points = read_jdbc_query(spark, url, points_sql, properties).collect()
+        conditions = split_conditions(points, split_column, tie_column)
     if conditions:
         return spark.read.jdbc(url, table, predicates=conditions, properties=properties)
     if split_column is None:
@@ -52,6 +61,52 @@ def read_jdbc_table(
     )
 
 
+def split_points_sql(table: str, column: str, tie: str, parts: int) -> str:
+    """The first row of each of ``parts`` parts of equal size, as SQL text that any database runs.
+
+    Rows are in the order of the column, null first, and then of ``tie``.
+    """
+    order = f"CASE WHEN {column} IS NULL THEN 0 ELSE 1 END, {column}, {tie}"
+    dealt = f"SELECT {column} AS K, {tie} AS T, NTILE({parts}) OVER (ORDER BY {order}) AS N FROM {table}"
+    ranked = (
+        "SELECT K, T, N, ROW_NUMBER() OVER (PARTITION BY N ORDER BY "
+        f"CASE WHEN K IS NULL THEN 0 ELSE 1 END, K, T) AS R FROM ({dealt}) D"
+    )
+    return f"SELECT N, K, T FROM ({ranked}) E WHERE R = 1"
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def split_conditions(points: Sequence[Row], column: str, tie: str) -> list[str]:
+    """SQL conditions of the parts that begin at the points; a row meets exactly one."""
+    points = sorted(points, key=lambda row: row[0])
+
+    def reached(key: object, low: object) -> str:
+        if key is None:
+            return f"({column} IS NOT NULL OR {tie} >= {_literal(low)})"
+        key = _literal(key)
+        return f"({column} > {key} OR ({column} = {key} AND {tie} >= {_literal(low)}))"
+
+    def ahead(key: object, low: object) -> str:
+        if key is None:
+            return f"({column} IS NULL AND {tie} < {_literal(low)})"
+        key = _literal(key)
+        return f"({column} IS NULL OR {column} < {key} OR ({column} = {key} AND {tie} < {_literal(low)}))"
+
+    conditions = []
+    for number, (_, key, low) in enumerate(points):
+        parts = [reached(key, low)] if number else []
+        parts += [ahead(*points[number + 1][1:])] if number + 1 < len(points) else []
+        conditions.append(" AND ".join(parts) or "1 = 1")
+    return conditions
+
+
 def count_by_file_sql(table: str, file_dates: list[str] = ()) -> str:
     """Row counts per file as SQL text that any database runs."""
     where = ""

@@ -52,7 +52,14 @@ CASES = {
             "“x” – y…": '"x" - y...',
             "Юрий Щукин Əли": "Iurii Shchukin Eli",
             "Ёж, подъезд, Царь": "Iozh, pod'ezd, Tsar'",
-            "Ərəb Ελλάς": "Ereb Ελλάς",
+            "Ərəb Ελλάς": "Ereb Ellas",
+            "Ελένη Ξενάκη Χρήστος Ψαρρός Θεόφιλος": "Elene Xenake Khrestos Psarros Theophilos",
+            "Андрій Їжак, Євген Ґалаґан, Ђорђе Њ": "Andrii Yizhak, Ievgen Galagan, Djordje Nj",
+            "Қазақстан Ғү Өң Әһ": "Kazakstan Gu On Eh",
+            "გიორგი მჭედლიშვილი Ჟ": "giorgi mchedlishvili Zh",
+            "ﬁona Ａhmed １２ ½ № ™ STRAẞE": "fiona Ahmed 12 1/2 No TM STRASSE",
+            "é e\u0301 ΐ": "e e i",
+            "中 ع ѫ 𝐀 €": "中 ع ѫ 𝐀 €",
             "": "",
             None: None,
         },
@@ -167,6 +174,21 @@ def test_accented_latin_folds_to_its_base_letter(spark):
     assert folded == expected and len(expected) > 350
 
 
+def test_what_unicode_holds_for_equivalent_folds_to_it(spark):
+    letters = [chr(c) for c in (*range(0xFF21, 0xFF5B), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07))]
+    plain = {c: unicodedata.normalize("NFKD", c) for c in letters}
+    known = {c: text for c, text in plain.items() if text != c and text.isascii()}
+    assert len(known) > 80 and apply(spark, fn.ascii_fold, list(known)) == list(known.values())
+
+
+def test_modern_letters_of_four_scripts_leave_ascii_only(spark):
+    ranges = ((0x391, 0x3CF), (0x400, 0x460), (0x10D0, 0x10F1), (0xC0, 0x180))
+    letters = [chr(c) for low, high in ranges for c in range(low, high) if chr(c).isalpha()]
+    left = [c for c, text in zip(letters, apply(spark, fn.ascii_fold, letters), strict=True) if not text.isascii()]
+    # Letters that Unicode parts into ASCII and another sign, and the eng and kra.
+    assert left == list("ĿŀŉŊŋ")
+
+
 def test_clip_error_keeps_head_and_tail(spark):
     long, short = "a" * 3000 + "b" * 3000, "x" * 3999
     assert apply(spark, fn.clip_error, [long, short, None]) == [
