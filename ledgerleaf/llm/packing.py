@@ -1,16 +1,20 @@
 """Harmonic packing of documents' token ids into sequences.
 
-The classes are the lengths capacity / 2**m, and a bin of class m takes 2**m pieces, so a
-full bin has no room left. A document is cut into pieces of the classes' lengths, longest
-first: whole bins, then one piece for each binary digit of the rest. Every partition fills
-its own bins, with no shuffle. What a partition's last bin of a class holds is divided into
-bins of a power of two of pieces, whose lengths are powers of two again and need no padding.
+Lengths are parted into classes: class k has those over capacity / (k + 1) and up to
+capacity / k, and a bin of class k takes k documents, whole. What is longer than a sequence
+fills whole ones first; the shortest documents, below the last class, fill bins one after
+another. The room that a full bin has left is filled by the documents that come next: those
+are cut, one a bin, and their rest goes on to its own class. Every partition fills its own
+bins, with no shuffle. What a partition's last bins hold is put into full sequences and into
+ones whose lengths are powers of two, so that no sequence needs padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,111 +33,158 @@ SCHEMA = (
 )
 
 
-def cut(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of documents with the given token counts: document, start, length."""
-    classes = capacity.bit_length() - 1
-    whole, rest = tokens // capacity, tokens % capacity
-    digits = (rest[:, None] >> np.arange(classes - 1, -1, -1)) & 1
-    doc, digit = np.nonzero(digits)
-    size = np.int64(1) << (classes - 1 - digit)
-    filled = np.repeat(np.arange(len(tokens)), whole)
-    docs = np.concatenate([filled, doc])
-    sizes = np.concatenate([np.full(len(filled), capacity, np.int64), size.astype(np.int64)])
-    order = np.lexsort((-sizes, docs))
-    docs, sizes = docs[order], sizes[order]
-    ends = np.cumsum(sizes)
-    # Tokens of the documents before.
-    before = np.cumsum(tokens) - tokens
-    return docs, ends - sizes - before[docs], sizes
-
-
-class _Bins:
-    """Numbers the bins of one partition."""
-
-    def __init__(self, capacity: int, partition: int):
-        self.capacity, self.base = capacity, partition << 40
-        self.counts = [0] * capacity.bit_length()
-
-    def place(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence and offset of the next pieces."""
-        sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        for m in range(len(self.counts)):
-            at = np.flatnonzero(sizes == self.capacity >> m)
-            number = self.counts[m] + np.arange(len(at))
-            self.counts[m] += len(at)
-            sequence[at] = self.base + (m << 35) + (number >> m)
-            offset[at] = (number & ((1 << m) - 1)) * (self.capacity >> m)
-        return sequence, offset
-
-    def open_bins(self) -> dict[int, tuple[int, int, int]]:
-        """Bins that are not full, by sequence: class, pieces, sequence."""
-        found = {}
-        for m, count in enumerate(self.counts):
-            if left := count & ((1 << m) - 1):
-                sequence = self.base + (m << 35) + (count >> m)
-                found[sequence] = (m, left, sequence)
-        return found
-
-
-def _divide(table: pa.Table, bins: _Bins) -> pa.Table:
-    """The pieces of the open bins, in bins of a power of two of pieces."""
-    sequence = table["sequence_id"].to_numpy().copy()
-    offset = table["offset"].to_numpy().copy()
-    for m, left, own in bins.open_bins().values():
-        size, rows = bins.capacity >> m, sequence == own
-        number = offset // size
-        begin = 0
-        for k, digit in enumerate(d for d in range(m, -1, -1) if left >> d & 1):
-            part = rows & (number >= begin) & (number < begin + (1 << digit))
-            # Numbers after the last bin of the class are free.
-            sequence[part] = own + k
-            offset[part] = (number[part] - begin) * size
-            begin += 1 << digit
-    names = table.column_names
-    return table.set_column(names.index("sequence_id"), "sequence_id", pa.array(sequence)).set_column(
-        names.index("offset"), "offset", pa.array(offset)
-    )
+# Classes of a fixed number of documents; shorter documents fill bins without one.
+CLASSES = 32
+# The shortest piece, as a share of the capacity, but for ends of documents.
+SHORT_SHARE = 64
+
+
+@dataclass
+class Piece:
+    """Ids of a document from ``start`` on; ``tokens`` is the document's number of ids."""
+
+    doc_id: object
+    tokens: int
+    start: int
+    ids: np.ndarray
+
+    def split(self, at: int) -> tuple[Piece, Piece]:
+        return replace(self, ids=self.ids[:at]), replace(self, start=self.start + at, ids=self.ids[at:])
+
+
+class Packer:
+    """Fills the bins of one partition; ``done`` has the pieces of full ones."""
+
+    def __init__(self, capacity: int, first_sequence: int):
+        self.capacity, self.sequence = capacity, first_sequence
+        self.classes = min(CLASSES, capacity)
+        self.short = max(1, capacity // SHORT_SHARE)
+        self.open: dict[int, list[Piece]] = {}
+        self.sizes: dict[int, int] = {}
+        # Bins that have all their documents and some room.
+        self.waiting: deque[tuple[list[Piece], int]] = deque()
+        self.done: list[tuple[Piece, int, int]] = []
+
+    def add(self, piece: Piece) -> None:
+        """Whole sequences first, then room that waits, then the bin of the rest's class."""
+        while len(piece.ids) >= self.capacity:
+            full, piece = piece.split(self.capacity)
+            self._emit([full])
+        while len(piece.ids) and self.waiting:
+            piece = self._fill(piece)
+        if len(piece.ids):
+            # The text's other ids need not be kept.
+            self._place(replace(piece, ids=piece.ids.copy()))
+
+    def _fill(self, piece: Piece) -> Piece:
+        """Puts ids into the first room that waits; returns those that are left."""
+        members, room = self.waiting.popleft()
+        size = len(piece.ids)
+        take = min(size, room)
+        if take == size and 0 < room - take < self.short < size:
+            # Else the next piece would be a short one.
+            take = size - self.short
+        one, rest = piece.split(take)
+        members.append(replace(one, ids=one.ids.copy()))
+        if room > take:
+            self.waiting.appendleft((members, room - take))
+        else:
+            self._emit(members)
+        return rest
+
+    def _place(self, piece: Piece) -> None:
+        size = len(piece.ids)
+        k = min(self.capacity // size, self.classes)
+        if k == self.classes and self.sizes.get(k, 0) + size > self.capacity:
+            self._close(k)
+        self.open.setdefault(k, []).append(piece)
+        self.sizes[k] = self.sizes.get(k, 0) + size
+        if k < self.classes and len(self.open[k]) == k:
+            self._close(k)
+
+    def _close(self, k: int) -> None:
+        members, room = self.open.pop(k), self.capacity - self.sizes.pop(k)
+        rest = None
+        if 0 < room < self.short < len(members[-1].ids) - room:
+            members[-1], rest = members[-1].split(len(members[-1].ids) - self.short)
+            room += self.short
+        if room:
+            self.waiting.append((members, room))
+        else:
+            self._emit(members)
+        if rest is not None:
+            self._place(rest)
+
+    def _emit(self, members: list[Piece]) -> None:
+        offset = 0
+        for piece in members:
+            self.done.append((piece, self.sequence, offset))
+            offset += len(piece.ids)
+        self.sequence += 1
+
+    def finish(self) -> None:
+        """Full sequences of what is left, and one for each binary digit of the rest."""
+        left = [piece for members, _ in self.waiting for piece in members]
+        left += [piece for k in sorted(self.open) for piece in self.open[k]]
+        total = sum(len(piece.ids) for piece in left)
+        sizes = [self.capacity] * (total // self.capacity)
+        sizes += [1 << m for m in range(self.capacity.bit_length() - 2, -1, -1) if total % self.capacity >> m & 1]
+        pieces = iter(left)
+        piece = next(pieces, None)
+        for size in sizes:
+            members = []
+            while size:
+                one, piece = piece.split(min(size, len(piece.ids)))
+                members.append(one)
+                size -= len(one.ids)
+                piece = piece if len(piece.ids) else next(pieces, None)
+            self._emit(members)
+        self.waiting.clear()
+        self.open.clear()
+        self.sizes.clear()
+
+
+def _batch(done: list[tuple[Piece, int, int]], id_type: pa.DataType, with_ids: bool) -> pa.RecordBatch:
+    pieces = [piece for piece, _, _ in done]
+    ids = [piece.ids.astype("<u4") for piece in pieces]
+    columns = {
+        "doc_id": pa.array([piece.doc_id for piece in pieces], id_type),
+        "start": np.array([piece.start for piece in pieces], np.int64),
+        "length": np.array([len(one) for one in ids], np.int64),
+        "ids_crc32": np.array([zlib.crc32(one.tobytes()) for one in ids], np.int64),
+        "doc_tokens": np.array([piece.tokens for piece in pieces], np.int64),
+        "sequence_id": np.array([sequence for _, sequence, _ in done], np.int64),
+        "offset": np.array([offset for _, _, offset in done], np.int64),
+    }
+    if with_ids:
+        ends = np.concatenate([[0], np.cumsum(columns["length"])]).astype(np.int32)
+        values = pa.array(np.concatenate(ids).astype(np.int32))
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), values)
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _packer(path: str, capacity: int, end: int, with_ids: bool) -> Callable:
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
-        bins = _Bins(capacity, TaskContext.get().partitionId())
-        held: pa.Table | None = None
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
+        id_type = None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if packer.done:
+                yield _batch(packer.done, id_type, with_ids)
+                packer.done.clear()
+
         for batch in batches:
             text, names = plain_texts(batch.column("text")), batch.column("doc_id")
+            id_type = names.type
             for a, b in slices(text):
                 ids, bounds = tokenizer.encode(text.slice(a, b - a), end)
-                tokens = np.diff(bounds)
-                docs, starts, sizes = cut(tokens, capacity)
-                sequence, offset = bins.place(sizes)
-                begins = bounds[docs] + starts
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                sums = [
-                    zlib.crc32(raw[4 * x : 4 * y])
-                    for x, y in zip(begins.tolist(), (begins + sizes).tolist(), strict=True)
-                ]
-                columns = {
-                    "doc_id": names.slice(a, b - a).take(pa.array(docs)),
-                    "start": starts,
-                    "length": sizes,
-                    "ids_crc32": np.array(sums, np.int64),
-                    "doc_tokens": tokens[docs],
-                    "sequence_id": sequence,
-                    "offset": offset,
-                }
-                if with_ids:
-                    # Pieces follow each other as the ids do.
-                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
-                rows = pa.table(columns)
-                held = rows if held is None else pa.concat_tables([held, rows])
-                unfinished = pa.array(list(bins.open_bins()), pa.int64())
-                waits = pa.compute.is_in(held["sequence_id"], unfinished)
-                yield from held.filter(pa.compute.invert(waits)).combine_chunks().to_batches()
-                held = held.filter(waits).combine_chunks()
-        if held is not None and len(held):
-            yield from _divide(held, bins).combine_chunks().to_batches()
+                for i, doc_id in enumerate(names.slice(a, b - a).to_pylist()):
+                    own = ids[bounds[i] : bounds[i + 1]]
+                    packer.add(Piece(doc_id, len(own), 0, own))
+                yield from finished()
+        packer.finish()
+        yield from finished()
 
     return pack_partition
 
@@ -149,7 +200,9 @@ def pack(
 
     ``capacity`` is a power of two. A document is its text's ids, then ``end``; null and
     empty texts are the end alone. ``doc_id`` is only carried along, so null and repeated
-    ids are fine. ``sequence_id`` is unique; a sequence's pieces fill it from offset 0.
+    ids are fine. ``sequence_id`` is unique; a sequence's pieces fill it from offset 0. A piece
+    is shorter than capacity / ``SHORT_SHARE`` only where it ends a document, where a bin holds
+    nothing longer, or among the last few of a partition.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")

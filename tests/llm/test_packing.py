@@ -87,3 +87,60 @@ def test_odd_rows(spark, tokenizer):
 def test_capacity_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([], "doc_id long, text string"), capacity=100)
+
+
+def lengths(rows):
+    return [r.length for r in rows]
+
+
+def test_classes_hold_whole_documents():
+    """Bins of class k take k documents whole; one more is cut to fill each bin's room."""
+    packer = packing.Packer(4096, 0)
+    sizes = [900] * 400 + [1500] * 400 + [2500] * 400 + [60] * 400
+    for i, size in enumerate(sizes):
+        packer.add(packing.Piece(i, size, 0, np.arange(size)))
+    packer.finish()
+    by_doc, by_bin = {}, {}
+    for piece, sequence, offset in packer.done:
+        by_doc.setdefault(piece.doc_id, []).append(piece)
+        by_bin.setdefault(sequence, []).append((offset, piece))
+    assert sum(len(p) > 1 for p in by_doc.values()) <= len(by_bin)
+    assert len(packer.done) < 2 * len(sizes)
+    for pieces in by_doc.values():
+        assert np.concatenate([p.ids for p in sorted(pieces, key=lambda p: p.start)]).tolist() == list(range(pieces[0].tokens))
+    full = [b for b in by_bin.values() if sum(len(p.ids) for _, p in b) == 4096]
+    assert len(full) >= len(by_bin) - 12
+
+
+def test_few_pieces_and_hardly_a_short_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.op9_packing(docs).collect()
+    n_docs = docs.count()
+    assert len(rows) < 2 * n_docs
+    short = [r for r in rows if r.length < 64 and r.start + r.length < r.doc_tokens]
+    # Six binary digits below 64, cut at most twice each, and the odd bin of nothing longer.
+    assert len(short) <= 16
+    fits = [r for r in rows if r.doc_tokens <= 4096]
+    whole = sum(r.length == r.doc_tokens for r in fits)
+    assert whole > 0.6 * len({r.doc_id for r in fits})
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 64, 256])
+@pytest.mark.parametrize("seed", range(6))
+def test_any_lengths_fill_sequences(capacity, seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([1, 2, 3, 17, 63, 64, 65, 100, 300], rng.integers(0, 200))
+    packer = packing.Packer(capacity, 5)
+    for i, size in enumerate(sizes):
+        packer.add(packing.Piece(i, int(size), 0, np.arange(size)))
+    packer.finish()
+    total, held = {}, {}
+    for piece, sequence, offset in sorted(packer.done, key=lambda d: d[1:]):
+        assert offset == total.get(sequence, 0) and len(piece.ids)
+        total[sequence] = offset + len(piece.ids)
+        held.setdefault(piece.doc_id, []).append(piece)
+    assert all(0 < t <= capacity and t & (t - 1) == 0 for t in total.values())
+    assert sum(total.values()) == sizes.sum()
+    for i, pieces in held.items():
+        ids = np.concatenate([p.ids for p in sorted(pieces, key=lambda p: p.start)])
+        assert ids.tolist() == list(range(sizes[i]))
