@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping
 from decimal import Decimal
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.operators import require_unique, split_null_keys
+from ledgerleaf.operators import require_unique
 from ledgerleaf.plans import gold, silver
 from ledgerleaf.schemas import CARD_KEYS, CARD_TRANSACTIONS, CUSTOMERS, MERCHANT_KEYS, RATES
 from ledgerleaf.sinks import write_csv, write_parquet
 from ledgerleaf.sources import read_csv, read_csv_files, read_jdbc_table, read_parquet
 from ledgerleaf.sources.files import MISSING
+from ledgerleaf.workdir import staged
+
+_REJECTED = "_rejected"
 
 
 def build_silver_customers(
@@ -22,17 +25,23 @@ def build_silver_customers(
 ) -> None:
     """Customers CSV to silver; rows without a valid id go to ``rejects`` as text, in Parquet.
 
-    The rejects are a second scan of the source: the two outputs differ in columns, and a
-    staged copy of the source would cost more than reading it again.
+    The source is scanned once, into a staged table of two partitions, one for each output.
     """
     write = write_csv if as_csv else write_parquet
     as_text = T.StructType([T.StructField(name, T.StringType()) for name in CUSTOMERS.names])
-    customer_id = F.col("customer_id").try_cast(CUSTOMERS["customer_id"].dataType)
-    known, unknown = split_null_keys(read_csv(spark, source, as_text), customer_id)
-    write(silver.customers(known.withColumn("customer_id", customer_id)), target)
+    known, unknown = customer_parts(read_csv(spark, source, as_text))
+    write(silver.customers(known), target)
     write_parquet(unknown, rejects)
 
 
+def customer_parts(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Customers with a valid id, which is typed, and the others as text, by one scan."""
+    customer_id = F.col("customer_id").try_cast(CUSTOMERS["customer_id"].dataType)
+    flagged = staged(bronze.withColumn(_REJECTED, customer_id.isNull()), "customers", [_REJECTED])
+    known, unknown = (flagged.filter(c).drop(_REJECTED) for c in (~F.col(_REJECTED), F.col(_REJECTED)))
+    return known.withColumn("customer_id", customer_id), unknown
+
+
 def build_silver_cards(
     spark: SparkSession, source: str, target: str, as_csv: bool = False
 ) -> None:
@@ -52,8 +61,8 @@ def build_gold(
 ) -> None:
     """The star schema under ``target``, one folder per table.
 
-    Each dimension reads only its own columns of the silver Parquet, and is refused if it
-    repeats a key. With ``grain="day"`` the fact's ``transaction_date`` is the date key.
+    Each dimension reads only its own columns of the silver Parquet, is staged, and is refused
+    before it is written if it repeats a key. With ``grain="day"`` the fact's ``transaction_date`` is the date key.
     """
     write = write_csv if as_csv else write_parquet
     customer = read_parquet(spark, customers)
@@ -66,9 +75,7 @@ def build_gold(
         "dim_customer": (gold.dim_customer(customer), ["customer_id"]),
     }
     for name, (rows, keys) in dimensions.items():
-        write(rows, f"{target}/{name}")
-        if not as_csv:
-            require_unique(read_parquet(spark, f"{target}/{name}"), keys)
+        write(require_unique(staged(rows, name), keys), f"{target}/{name}")
     fact = gold.fact_card_transaction(cards, customer, rates, grain)
     write(fact, f"{target}/fact_card_transaction")
 

@@ -55,7 +55,7 @@ from ledgerleaf.sources import (
     xml_chunks,
     xml_records,
 )
-from ledgerleaf.workdir import work_dir
+from ledgerleaf.workdir import staged
 
 PARTITIONS = ["TRN_DATE", "FILE_NAME"]
 
@@ -127,17 +127,10 @@ def settlement_records(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _staged(rows: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again."""
-    spark, path = rows.sparkSession, work_dir(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def joined_text(spark: SparkSession, paths: list[str], name: Column | None = None) -> DataFrame:
     """FILE_NAME and chunk of files in which sections hide row tags."""
-    placed = _staged(placed_chunks(spark, paths, name=name), "settlement-text")
-    return joined_chunks(placed, _staged(hidden_spans(placed), "settlement-spans"))
+    placed = staged(placed_chunks(spark, paths, name=name), "settlement-text")
+    return joined_chunks(placed, staged(hidden_spans(placed), "settlement-spans"))
 
 
 @dataclass
@@ -261,7 +254,7 @@ def load_table(
 def _name_list(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """File names as a small table; a join with it prunes partitions, however long the list."""
     listed = spark.createDataFrame([(name,) for name in names], "FILE_NAME string")
-    return _staged(listed.coalesce(1), "file-names")
+    return staged(listed.coalesce(1), "file-names")
 
 
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -288,7 +281,7 @@ def _data_files(spark: SparkSession, table: str, names: DataFrame) -> DataFrame
     """Data files of the named deliveries before a load, kept in the shared folder."""
     if not spark.catalog.tableExists(table):
         return None
-    return _staged(_table_files(spark, table, names).select("data_file"), "data-files")
+    return staged(_table_files(spark, table, names).select("data_file"), "data-files")
 
 
 def load_settlement(
@@ -340,19 +333,19 @@ def load_settlement(
         if joined is not None:
             # Of the staged text only files that passed go on.
             joined = _named(joined, _name_list(spark, torn)) if torn else None
-        return _staged(
+        return staged(
             settlement_records(spark, forms[CUT], forms[WHOLE], name, joined), "settlement-records"
         )
 
-    staged, faults = without_faulty([row.path for row in good], parse)
+    records, faults = without_faulty([row.path for row in good], parse)
     table_errors |= {name_of(path): problem for path, problem in faults.items()}
     loaded_files = [row for row in good if row.path not in faults]
 
     def rows() -> DataFrame:
-        return settlement_rows(staged.filter(~F.col("REJECTED")), run, mask_cards)
+        return settlement_rows(records.filter(~F.col("REJECTED")), run, mask_cards)
 
     if loaded_files:
-        parsed, rejected_counts = _parsed_counts(staged)
+        parsed, rejected_counts = _parsed_counts(records)
         # Only the whole-file reader knows what such a file's records are.
         whole = [row.FILE_NAME for row in loaded_files if row.form == WHOLE]
         source_counts |= {file: parsed.get(file, 0) for file in whole}
@@ -365,7 +358,7 @@ def load_settlement(
             loaded_files = []
 
     if loaded_files and rejected_counts:
-        rejects = staged.filter("REJECTED").select("FILE_NAME", "REJECT_TEXT")
+        rejects = records.filter("REJECTED").select("FILE_NAME", "REJECT_TEXT")
         write_log("rejects", rejects.withColumn("INSERT_DATE", run))
 
     jdbc_errors: dict[str, str] = {}
@@ -414,9 +407,9 @@ def load_jdbc(rows: DataFrame, target: JdbcTarget, good: list[Row]) -> dict[str,
     return held()
 
 
-def _parsed_counts(staged: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+def _parsed_counts(records: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
     """Records and rejected records by file, one entry per file with any."""
-    counted = staged.groupBy("FILE_NAME").agg(
+    counted = records.groupBy("FILE_NAME").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("REJECTED").alias("rejected")
     )
     found = counted.collect()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -21,3 +22,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="ledgerleaf-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ledgerleaf/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The rows written to the shared folder and read again, so that no plan repeats their work."""
+    spark = rows.sparkSession
+    path = work_dir(spark, name)
+    rows.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -3,6 +3,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import types as T
 
 from ledgerleaf.plans import gold, jobs, silver
 from ledgerleaf.schemas import CARD_TRANSACTIONS, CUSTOMERS
@@ -163,6 +164,42 @@ def test_rejected_customers_keep_their_text(spark, tmp_path):
     assert (rejected.customer_id, rejected.full_name) == ("12x", "A B")
 
 
+def test_customers_and_rejects_come_from_one_scan(spark, tmp_path, monkeypatch):
+    lines = [",".join(CUSTOMERS.names), "12x,A B" + "," * 10, "7,C D" + "," * 10]
+    path = write_text(tmp_path / "c.csv", "\n".join(lines) + "\n")
+    plans, stage = [], jobs.staged
+
+    def watched(rows, *args):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stage(rows, *args)
+
+    monkeypatch.setattr(jobs, "staged", watched)
+    parts = jobs.customer_parts(read_csv(spark, path, as_text(CUSTOMERS)))
+    assert len(plans) == 1 and plans[0].count("FileScan csv") == 1
+    for part in parts:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" not in plan and plan.count("FileScan parquet") == 1
+        assert "PartitionFilters: [isnotnull(_rejected" in plan and part.columns == CUSTOMERS.names
+    assert [[r.full_name for r in part.collect()] for part in parts] == [["C D"], ["A B"]]
+
+
+def as_text(schema):
+    return T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+
+
+@pytest.mark.parametrize("as_csv", [False, True])
+def test_a_dimension_with_repeated_keys_is_not_written(spark, tmp_path, monkeypatch, as_csv):
+    base = str(tmp_path)
+    write_csv(spark.createDataFrame(CUSTOMER_ROWS, CUSTOMERS), f"{base}/customers")
+    write_csv(spark.createDataFrame(CARD_ROWS, CARD_TRANSACTIONS), f"{base}/cards")
+    jobs.build_silver_customers(spark, f"{base}/customers", f"{base}/sc", f"{base}/rejects")
+    jobs.build_silver_cards(spark, f"{base}/cards", f"{base}/st")
+    monkeypatch.setattr(jobs.gold, "dim_customer", lambda df: df)
+    with pytest.raises(ValueError, match="customer_id"):
+        jobs.build_gold(spark, f"{base}/sc", f"{base}/st", f"{base}/gold", as_csv=as_csv)
+    assert not (tmp_path / "gold" / "dim_customer").exists()
+
+
 def test_quotes_in_customers_reach_silver(spark, tmp_path):
     """Quotes, commas, backslashes and outer spaces, as a standard writer puts them."""
     names = ['He said "hi", ok', ' "', "a\\", 'b\\"c', " x , y "]
