@@ -1,17 +1,22 @@
 """Personal data replaced by format-preserving pseudonyms, with built-in functions only.
 
-A value that passes its check (Luhn digit, octets, calendar date) is permuted with a key
-within its own format by a Feistel network: the value's positions, each with its radix, stand
-in two halves, and each round adds digits drawn from a keyed digest of one half to the other
-half, position by position. The permutation depends on the key and the kind only, so a value
-has the same pseudonym in every document, different values have different ones, and with the
-key every step can be undone. Separators, letter case and the Luhn digit's validity stay; only
-octets change their number of digits. In a number without separators the country code cannot be
-told from the rest, so all digits after the plus change. Other signs of a secret stay in place.
-
-Kinds: e-mail addresses (all but the last label), telephone numbers (but for the country code),
-IPv4 addresses, payment card numbers, US social security numbers, dates from 1900-01-01 on for
-72,900 days in three notations, access keys, and values given to a password, token or secret.
+A value that passes its check (Luhn digit, IBAN's check digits, octets, calendar date) is
+permuted with a key within its own format by a Feistel network: the value's positions, each with
+its radix, stand in two halves, and each round adds digits drawn from a keyed digest of one half
+to the other half, position by position. The permutation depends on the key and the kind only, so
+a value has the same pseudonym in every document, different values have different ones, and with
+the key every step can be undone.
+
+Separators of telephone, card, social security and account numbers have no part in the permutation
+and are set again after it, so a number has one pseudonym in all its notations. Of a telephone
+number the last ten digits change: that is all but the country code of +1 and of others with ten
+digits behind theirs; the notations with and without it are linked. Dates are linked over their
+notations too, and IPv6 addresses, which come out in full. Letter case, check digits' validity and
+other signs stay; only octets and groups of an address change their number of digits.
+
+Kinds: e-mail addresses (all but the last label), telephone numbers, IPv4 and IPv6 addresses,
+payment card numbers, IBANs, US social security numbers, dates from 1900-01-01 on for 72,900 days
+in three notations, access keys and bearer tokens, and values given to a password, token or secret.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ FIRST_DAY = "1900-01-01"
 DAY_RADIX = 270
 # Positions that one digest serves; in longer halves they repeat.
 DRAWN = 16
+# Digits of a telephone number that change, from its end.
+NATIONAL = 10
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _SECRET_NAME = r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\x22\x27]?"
@@ -33,11 +40,18 @@ _SECRET = (
     r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?"
     r"(?:\x22[^\x22\s]{6,}+|\x27[^\x27\s]{6,}+|(?![\x22\x27])(?=[^\s\x22\x27]{6})[^\s\x22\x27]*[A-Za-z0-9_+/=-])"
 )
+# What access keys begin with.
+_KEY_PREFIX = "AKIA|ASIA|gh[a-z]_|github_pat_|sk-|xox[a-z]-|(?i:bearer) "
+_GROUP = "[0-9a-fA-F]{1,4}"
 # Kinds that begin with a letter at the begin of a word, or anywhere with a digit or sign.
 WORDS = {
-    "email": "[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}[.]){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}[.]){1,8}\p{L}{2,24}(?![\p{L}\p{N}-])",
     "secret": _SECRET,
-    "key": "AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "iban": "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "key": "(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[a-z]_|github_pat_|sk-|xox[a-z]-)[A-Za-z0-9_-]{16,}"
+    "|(?i:bearer) [A-Za-z0-9._~+/-]{15,}[A-Za-z0-9_=])(?![A-Za-z0-9])",
+    "ip6": f"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{2,6}}:(?:{_GROUP}(?::{_GROUP}){{0,4}})?"
+    f"|{_GROUP}::{_GROUP}(?::{_GROUP}){{1,5}})(?![0-9A-Za-z:.])",
 }
 NUMBERS = {
     "phone": "(?<![0-9+])(?:[+][0-9]{1,3}[ .-]?)?[(][0-9]{2,4}[)][ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
@@ -58,7 +72,7 @@ PATTERN = (
     f"(?<![A-Za-z0-9._%+-])(?:{'|'.join(WORDS.values())})|(?=[0-9(+])(?:{'|'.join(NUMBERS.values())})"
 )
 # Texts without any of these have no match.
-_SIGNS = "[0-9@=:]"
+_SIGNS = "[0-9@=:]|(?i:bearer) |gh[a-z]_|github_pat_|sk-|xox[a-z]-|AKIA|ASIA"
 
 
 def _quoted(text: str) -> str:
@@ -103,9 +117,25 @@ def luhn_digit(payload: str) -> str:
     return f"cast(pmod(-aggregate({doubled}, 0, (t, x) -> t + x - if(x > 9, 9, 0)), 10) AS string)"
 
 
+def iban_remainder(text: str) -> str:
+    """SQL for the remainder by 97 of a text's digits, with letters as 10 to 35."""
+    step = "if(c BETWEEN '0' AND '9', (a * 10 + cast(c AS int)) % 97, (a * 100 + ascii(c) - 55) % 97)"
+    return f"aggregate({_chars(text)}, 0, (a, c) -> {step})"
+
+
+def _filled(template: str, signs: str) -> str:
+    """SQL for a template whose letters and digits are replaced, in order, by those of a text."""
+    step = (
+        f"if(rlike(c, '[0-9A-Za-z]'), named_struct('o', concat(s.o, substr({signs}, s.k + 1, 1)), 'k', s.k + 1),"
+        " named_struct('o', concat(s.o, c), 'k', s.k))"
+    )
+    return f"aggregate({_chars(template)}, named_struct('o', '', 'k', 0), (s, c) -> {step}, s -> s.o)"
+
+
 def _parts(v: str) -> str:
     """SQL for a struct of a value: its kind, what stays before, what changes, what stays after.
 
+    Of kinds with separators the tail is the whole value, to be filled with the other two.
     An invalid value has no kind and nothing to change.
     """
 
@@ -118,28 +148,37 @@ def _parts(v: str) -> str:
         named = f"if(rlike({body}, '^[0-9a-f]+$'), 'hex', '{kind}')" if hexadecimal else f"'{kind}'"
         return _let("h", head, split(named, "h", body))
 
-    top = _let("e", f"length(regexp_extract({v}, '[.][A-Za-z]+$', 0))", split(
+    top = _let("e", f"length(regexp_extract({v}, '[.]\\\\p{{L}}+$', 0))", split(
         "'email'", "''", f"substr({v}, 1, length({v}) - e)", f"right({v}, e)"))
     day = f"datediff(coalesce(try_to_date({v}, 'yyyy-MM-dd'), try_to_date({v}, 'dd.MM.yyyy'), try_to_date({v}, 'MM/dd/yyyy'), try_to_date({v}, 'dd/MM/yyyy')), date'{FIRST_DAY}')"
     stays = split("''", v, "''")
-    payload = f"substr({v}, 1, length({v}) - 1)"
+    digits = f"regexp_replace({v}, '[^0-9]', '')"
+    phone = _let("d", digits, split(
+        "'phone'", f"left(d, greatest(length(d) - {NATIONAL}, 0))", f"right(d, {NATIONAL})", v))
+    iban = _let("d", f"replace({v}, ' ')", f"""if(length(d) BETWEEN 15 AND 34
+        AND {iban_remainder("concat(substr(d, 5), left(d, 4))")} = 1,
+        {split("'iban'", "left(d, 2)", "substr(d, 5)", v)}, {stays})""")
+    card = _let("d", digits, f"""if({luhn_digit("left(d, length(d) - 1)")} = right(d, 1),
+        {split("'card'", "''", "left(d, length(d) - 1)", v)}, {stays})""")
     return f"""CASE
       WHEN rlike({v}, {_quoted('^' + _SECRET_NAME)}) THEN {after('secret', _SECRET_NAME, True)}
       WHEN contains({v}, '@') THEN {top}
-      WHEN startswith({v}, 'AKIA') THEN {after('key', 'AKIA')}
-      WHEN rlike({v}, '^[+][0-9]{{8,15}}$') THEN {after('phone', '[+]')}
-      WHEN rlike({v}, '^[+(]') THEN {after('phone', '[+][0-9]{1,3}')}
-      WHEN rlike({v}, '^[0-9]{{3}}([-. ])[0-9]{{3}}[-. ][0-9]{{4}}$') THEN {split("'phone'", "''", v)}
-      WHEN rlike({v}, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') THEN {split("'ssn'", "''", v)}
+      WHEN rlike({v}, {_quoted('^(?:' + _KEY_PREFIX + ')')}) THEN {after('key', _KEY_PREFIX)}
+      WHEN rlike({v}, '^[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}') THEN {iban}
+      WHEN contains({v}, ':') THEN {split("'ip6'", "''", v)}
+      WHEN rlike({v}, '^[+(]') OR rlike({v}, '^[0-9]{{3}}([-. ])[0-9]{{3}}[-. ][0-9]{{4}}$') THEN {phone}
+      WHEN rlike({v}, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') THEN {split("'ssn'", "''", digits, v)}
       WHEN rlike({v}, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN {split("'ip'", "''", v)}
       WHEN rlike({v}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}([./])[0-9]{{2}}[./][0-9]{{4}})$') THEN
         if(coalesce({day} BETWEEN 0 AND {DAY_RADIX**2 - 1}, false),
           {split("'date'", "''", f"cast({day} AS string)", v)}, {stays})
-      WHEN {luhn_digit(payload)} = right({v}, 1) THEN {split("'card'", "''", payload)}
-      ELSE {stays} END"""
+      ELSE {card} END"""
 
 
 _LOWER, _UPPER, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+# Letters of Western Europe beyond ASCII, in both cases; other letters stay.
+_LOWER_MORE = "".join(chr(c) for c in range(0xE0, 0xFF) if c != 0xF7)
+_UPPER_MORE = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 
 
 def pseudonym(value: str, key: str) -> str:
@@ -147,9 +186,17 @@ def pseudonym(value: str, key: str) -> str:
     # The alphabet of each character that changes, empty for the others.
     alphabet = (
         f"CASE WHEN p.kind = 'hex' THEN if(instr('{_HEX}', c) > 0, '{_HEX}', '') WHEN c BETWEEN '0' AND '9' THEN '0123456789'"
-        f" WHEN instr('{_LOWER}', c) > 0 THEN '{_LOWER}' WHEN instr('{_UPPER}', c) > 0 THEN '{_UPPER}' ELSE '' END"
+        f" WHEN instr('{_LOWER}', c) > 0 THEN '{_LOWER}' WHEN instr('{_UPPER}', c) > 0 THEN '{_UPPER}'"
+        f" WHEN instr('{_LOWER_MORE}', c) > 0 THEN '{_LOWER_MORE}' WHEN instr('{_UPPER_MORE}', c) > 0 THEN '{_UPPER_MORE}'"
+        " ELSE '' END"
     )
+    groups = "filter(split({}, ':'), x -> x <> '')"
+    left_, right_ = (groups.format(f"split_part(p.body, '::', {k})") for k in (1, 2))
+    zeros = f"array_repeat('0', 8 - size({left_}) - size({right_}))"
+    # Eight groups, of which :: leaves out those that are zero.
+    full = f"if(contains(p.body, '::'), concat({left_}, {zeros}, {right_}), split(p.body, ':'))"
     slots = f"""CASE p.kind
+      WHEN 'ip6' THEN transform({full}, x -> named_struct('c', '', 'set', '', 'n', cast(conv(x, 16, 10) AS int), 'r', 65536))
       WHEN 'ip' THEN transform(split(p.body, '[.]'), x -> named_struct('c', '', 'set', '', 'n', cast(x AS int), 'r', 256))
       WHEN 'date' THEN transform(array(cast(p.body AS int) div {DAY_RADIX}, cast(p.body AS int) % {DAY_RADIX}),
         x -> named_struct('c', '', 'set', '', 'n', cast(x AS int), 'r', {DAY_RADIX}))
@@ -159,8 +206,14 @@ def pseudonym(value: str, key: str) -> str:
         WHEN contains(p.tail, '-') THEN 'yyyy-MM-dd' WHEN contains(p.tail, '.') THEN 'dd.MM.yyyy'
         WHEN try_to_date(p.tail, 'MM/dd/yyyy') IS NOT NULL THEN 'MM/dd/yyyy' ELSE 'dd/MM/yyyy' END)"""
     spelled = "array_join(zip_with(q, n, (x, y) -> if(x.set = '', x.c, substr(x.set, y + 1, 1))), '')"
+    remainder = iban_remainder("concat(w, p.head, '00')")
+    check = f"lpad(cast(98 - {remainder} AS string), 2, '0')"
     shown = f"""CASE p.kind WHEN 'ip' THEN array_join(cast(n AS array<string>), '.') WHEN 'date' THEN {date}
-      WHEN 'card' THEN {_let('w', spelled, f"concat(w, {luhn_digit('w')})")}
+      WHEN 'ip6' THEN array_join(transform(n, x -> lower(hex(x))), ':')
+      WHEN 'card' THEN {_let('w', spelled, _filled("p.tail", f"concat(w, {luhn_digit('w')})"))}
+      WHEN 'iban' THEN {_let('w', spelled, _filled("p.tail", f"concat(p.head, {check}, w)"))}
+      WHEN 'phone' THEN {_let('w', f"concat(p.head, {spelled})", _filled("p.tail", "w"))}
+      WHEN 'ssn' THEN {_let('w', spelled, _filled("p.tail", "w"))}
       ELSE concat(p.head, {spelled}, p.tail) END"""
     moved = feistel("transform(q, x -> x.n)", "transform(q, x -> x.r)", "p.kind", key)
     changed = _let("q", slots, _let("n", moved, shown))
