@@ -227,7 +227,8 @@ def repeated_passages(
     found = extended.filter("before = 2 or after = 2").select(
         "doc_id", "digest", F.col("place").alias("start"), (F.col("place") + min_words).alias("end")
     )
-    return _stretches(whole.unionByName(found))
+    # Copies of a repeated row have the same spans, which meet as one.
+    return _stretches(whole.unionByName(found).distinct())
 
 
 def _stretches(spans: DataFrame) -> DataFrame:

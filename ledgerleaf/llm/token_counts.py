@@ -34,6 +34,8 @@ BLOCK_BYTES = 4 << 20
 def _writer(folder: str, path: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path, special=False)
+        if tokenizer.tokenizer.get_vocab_size() > 1 << 8 * np.dtype(ID).itemsize:
+            raise ValueError("the vocabulary has more ids than two bytes can tell apart")
         # Another attempt of the task writes another file, and only rows of one attempt stay.
         name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         files, place = fs.FileSystem.from_uri(name)
@@ -65,7 +67,8 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Returns which document stands at which place of which file: file, ordinal, doc_id, written
     (bytes of the file so far). Strings of special tokens in a text are ordinary text, so the
-    separator is nowhere else. Null counts as empty.
+    separator is nowhere else. Null counts as empty. ``path`` is a vocabulary of at most 65,536
+    ids; a larger one is refused.
     """
     folder = work_dir(docs.sparkSession, "tokens")
     rows = docs.select("doc_id", "text")

@@ -81,3 +81,11 @@ def test_sorted_by_finish_time(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     times = [r.finish for r in mixing.op6_mixing(docs).collect()]
     assert times == sorted(times)
+
+
+def test_rows_that_differ_in_a_map_stay_apart(spark):
+    rows = [(1, "a b c", "s", {"k": str(i)}, [{"x": i}]) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, meta map<string,string>, more array<map<string,int>>")
+    mixed = mixing.mix(docs)
+    assert sorted((r.meta["k"], r.more[0]["x"]) for r in mixed.collect()) == [("1", 1), ("2", 2)]
+    assert mixed.columns == docs.columns

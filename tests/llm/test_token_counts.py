@@ -49,3 +49,9 @@ def test_blocks_are_stitched(spark, tmp_path, block_bytes):
 def test_blocks_hold_whole_ids(spark):
     with pytest.raises(ValueError):
         token_counts.count_tokens(spark.createDataFrame([], "file string, size long"), block_bytes=3)
+
+
+def test_a_vocabulary_beyond_two_bytes_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "ID", "<u1")
+    with pytest.raises(Exception, match="more ids"):
+        token_counts.write_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
