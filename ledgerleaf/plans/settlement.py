@@ -143,23 +143,32 @@ class Inspection:
     joined: DataFrame | None
 
 
-def _scan(spark: SparkSession, paths: list[str], name: Column | None) -> tuple[list[Row], dict[str, str]]:
-    """Status rows of the files, and the error of each path that cannot be read.
+def _scan(
+    spark: SparkSession, paths: list[str], name: Column | None, name_of: Callable[[str], str]
+) -> tuple[dict[str, dict], dict[str, str]]:
+    """Status of the files by name, and the error of each path that cannot be read.
 
-    If one file breaks the scan, a second scan goes over the broken ones and tells, for all of
-    them at once, which files it could not read to their end.
+    If one file breaks the scan, a second scan skips what is unreadable and tells, for all
+    of them at once, which files it could not read to their end.
     """
+
+    def by_name(rows: DataFrame) -> dict[str, dict]:
+        return {row.FILE_NAME: row.asDict() for row in rows.collect()}
+
     try:
-        return file_status(xml_chunks(spark, paths, name=name)).collect(), {}
+        return by_name(file_status(xml_chunks(spark, paths, name=name))), {}
     except Exception as problem:
         if not is_file_fault(problem):
             raise
     faults = absent_paths(spark, paths)
     left = [path for path in paths if path not in faults]
     if not left:
-        return [], faults
+        return {}, faults
     chunks = xml_chunks(spark, left, name=name, skip_unreadable=True)
-    status = file_status(chunks).join(read_in_full(chunks), "FILE_NAME").collect()
+    status = by_name(file_status(chunks).join(read_in_full(chunks), "FILE_NAME"))
+    for path in left:
+        if not status.get(name_of(path), {"readable": False})["readable"]:
+            faults[path] = f"File cannot be read to its end: {path}"
     return status, faults
 
 
@@ -170,22 +179,20 @@ def inspect(
     name_of: Callable[[str], str] = base_name,
 ) -> Inspection:
     """What the text of all files tells, in one scan, and one row for each path of the list."""
-    found, faults = _scan(spark, list(paths), name)
-    by_name = {row.FILE_NAME: row.asDict() for row in found}
-    torn = [path for path in paths if by_name.get(name_of(path), {}).get("form") == JOINED]
+    status, faults = _scan(spark, list(paths), name, name_of)
+    torn = [p for p in paths if p not in faults and status.get(name_of(p), {}).get("form") == JOINED]
     joined = None
     if torn:
         joined = joined_text(spark, torn, name)
         for row in file_status(joined).collect():
-            kept = {key: by_name[row.FILE_NAME][key] for key in ("cuttable", "readable") if key in by_name[row.FILE_NAME]}
+            # Their sections are resolved: what is left to tell is whether the tags add up.
             form = JOINED if row.form == CUT else WHOLE
-            by_name[row.FILE_NAME] = row.asDict() | kept | {"form": form}
+            status[row.FILE_NAME] |= {"complete": row.complete, "records": row.records, "form": form}
+    columns = ("complete", "records", "cuttable", "form")
     rows = []
     for path in paths:
-        status = by_name.get(name_of(path), {})
-        unread = not status.get("readable", True) or not status
-        problem = faults.get(path) or (f"File cannot be read to its end: {path}" if unread else None)
-        rows.append((path, name_of(path), problem, *[status.get(key) for key in ("complete", "records", "cuttable", "form")]))
+        found = status.get(name_of(path), {})
+        rows.append((path, name_of(path), faults.get(path), *[found.get(key) for key in columns]))
     listing = spark.createDataFrame(
         rows,
         "path string, FILE_NAME string, problem string, complete boolean, records bigint, "
@@ -327,14 +334,16 @@ def load_settlement(
     rejected_counts: dict[str, int] = {}
 
     def parse(part: list[str]) -> DataFrame:
-        forms = {form: [r.path for r in good if r.form == form and r.path in part] for form in (CUT, WHOLE)}
-        torn = [r.FILE_NAME for r in good if r.form == JOINED and r.path in part]
+        wanted = set(part)
+        forms = {form: [r for r in good if r.form == form and r.path in wanted] for form in (CUT, JOINED, WHOLE)}
+        cut, whole = ([r.path for r in forms[form]] for form in (CUT, WHOLE))
+        torn = [r.FILE_NAME for r in forms[JOINED]]
         joined = inspected.joined
         if joined is not None:
             # Of the staged text only files that passed go on.
             joined = _named(joined, _name_list(spark, torn)) if torn else None
         return staged(
-            settlement_records(spark, forms[CUT], forms[WHOLE], name, joined), "settlement-records"
+            settlement_records(spark, cut, whole, name, joined), "settlement-records"
         )
 
     records, faults = without_faulty([row.path for row in good], parse)

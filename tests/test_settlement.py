@@ -184,15 +184,28 @@ def test_unreadable_files_are_found_together_and_the_others_loaded(spark, tmp_pa
     for path in (paths[1], paths[4]):
         spoil(path)
     absent = [str(tmp_path / f"PERTRANS2024-01-1{i}.xml") for i in range(3)]
+    # A file that hides row tags beside the unreadable ones, and one of these.
+    hiding = "".join(hidden_records("short")[0])
+    deliver(tmp_path, "PERTRANS2024-01-07.xml", hiding)
+    deliver(tmp_path, "PERTRANS2024-01-05.xml", hiding)
+    spoil(paths[4])
     calls, logs = counting(monkeypatch, "xml_chunks"), Logs()
     with pytest.raises(LoadFailed, match="5 of 10 files failed"):
         load_settlement(spark, paths + absent, table, NAMES, logs, RUN)
     # The scan that broke, one for all faults, and the parse.
     assert calls["xml_chunks"] == 3
+    held = Counter(r.FILE_NAME[-6:-4] for r in spark.table(table).select("FILE_NAME").collect())
+    assert held == Counter({"01": 99, "03": 99, "04": 99, "06": 99, "07": len(hidden_records("short")[1])})
     errors = errors_by_day(logs)
     assert {day for day, text in errors.items() if text is None} == {"01", "03", "04", "06", "07"}
     assert "cannot be read" in errors["02"] and "does not exist" in errors["11"]
-    assert spark.table(table).count() == 5 * 99
+
+
+def test_an_empty_file_is_not_complete(spark, tmp_path, table):
+    empty = tmp_path / "PERTRANS2024-01-01.xml"
+    empty.write_text("")
+    (row,) = settlement.inspect_files(spark, [str(empty)])
+    assert row.error == "File is not complete: PERTRANS2024-01-01.xml"
 
 
 def test_a_file_that_breaks_the_parse_is_left_out(spark, tmp_path, table, monkeypatch):
