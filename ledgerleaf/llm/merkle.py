@@ -120,7 +120,8 @@ def _step(nodes: DataFrame, step: int, top: bool) -> DataFrame:
     linked = (
         f"aggregate(slice(array({steps}), 1, {height}), array(members.hash), "
         f"(acc, l) -> concat(acc, array({upper})), levels -> transform(members, (m, i) -> "
-        f"struct(m.pos, m.leaves, m.row, m.key, m.hash, m.start, get(element_at(levels, -1), 0) AS up_hash, {siblings} AS siblings)))"
+        "struct(m.pos, m.leaves, m.row, m.key, m.hash, m.start, "
+        f"get(element_at(levels, -1), 0) AS up_hash, {siblings} AS siblings)))"
     )
     done = F.col("n") <= _BLOCK
     up_leaves = F.col("up_leaves")

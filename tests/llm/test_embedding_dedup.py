@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import embedding_dedup
+from ledgerleaf.llm.tables import stored
 
 
 def good(vector, label):
@@ -112,7 +113,8 @@ def test_visits_without_links(spark):
     units = rng.normal(size=(8_000, 64))
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     rows = [(k, k, k, 0, v.tolist()) for k, v in enumerate(units)]
-    nodes = spark.createDataFrame(rows, "hash1 long, hash2 long, node long, group long, embedding array<double>").repartition(4).localCheckpoint()
+    nodes = spark.createDataFrame(rows, "hash1 long, hash2 long, node long, group long, embedding array<double>").repartition(4)
+    nodes = stored(nodes, "test-nodes")
     index = embedding_dedup.fit(nodes)
     index.visits = embedding_dedup.visits_for(nodes, index)
     found = 0

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import attention, lm_scoring
+from ledgerleaf.llm.tables import stored
 
 TESTDATA = "/root/testdata"
 
@@ -54,7 +55,7 @@ def test_every_training_document_is_trained_on(spark, monkeypatch):
     path = lm_scoring.tokenizer_path()
     texts = [f"plain words {i} of text" for i in range(40)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts = lm_scoring.word_counts(train).localCheckpoint()
+    counts = stored(lm_scoring.word_counts(train), "test-counts")
     seen, kept = [], lm_scoring._average
     monkeypatch.setattr(lm_scoring, "_average", lambda table: (seen.append(table.column("tokens")), kept(table))[1])
     parameters, _ = lm_scoring.fit(train, counts, path)
