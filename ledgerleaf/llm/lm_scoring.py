@@ -26,7 +26,9 @@ from ledgerleaf.llm.words import Words, plain_texts, ragged, slices
 
 END = 49_407
 TOGETHER = 64
-# A task with fewer batches goes over its texts again, so that small corpora train too.
+# Words of the documents that one model is trained on.
+SHARD_WORDS = 4_000_000
+# A shard with fewer batches, such as the one of a small corpus, is gone over again.
 LEAST_STEPS = 800
 FREQUENT = 1 << 20
 # The word that stands for the end of a text; no other word is empty.
@@ -165,14 +167,23 @@ def _average(table: pa.Table) -> pa.Table:
 _MODELS = "part long, tokens double, model array<float>"
 
 
+def _shards(train: DataFrame, words: int) -> DataFrame:
+    """The texts, a partition for each shard, in an order that does not depend on the input's."""
+    shards = max(1, round(words / SHARD_WORDS))
+    place = F.xxhash64("doc_id", "text")
+    dealt = train.select("text", place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("place", "text").select("text")
+
+
 def fit(train: DataFrame, counts: DataFrame, path: str) -> tuple[dict[str, np.ndarray], attention.Vocabulary]:
-    """Trains on every row of ``train`` (text); as it starts, the model knows the counts."""
+    """Trains on every row of ``train`` (doc_id, text); as it starts, the model knows the counts."""
     spark = train.sparkSession
     vocabulary = attention.Vocabulary(subword_counts(counts, path), END)
     vocabulary.follow(pair_counts(counts, vocabulary, path))
     parameters = attention.new_parameters()
     shared = spark.sparkContext.broadcast((parameters, vars(vocabulary)))
-    models = stored(train.select("text").mapInArrow(_train_maker(shared, path), _MODELS), "models")
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    models = stored(_shards(train, words).mapInArrow(_train_maker(shared, path), _MODELS), "models")
     while models.count() > TOGETHER:
         together = models.groupBy(F.floor(F.col("part") / TOGETHER).alias("together"))
         models = stored(together.applyInArrow(_average, _MODELS), "models")

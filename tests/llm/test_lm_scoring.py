@@ -129,3 +129,15 @@ def test_gradients():
             down = loss()
             a.flat[spot] = old
             assert (up - down) / 2e-4 == pytest.approx(g[name][i], rel=1e-2, abs=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
+    found = []
+    for parts in (1, 4, 16):
+        rows = lm_scoring.op5_lm_scoring(docs.repartition(parts)).collect()
+        found.append({r.doc_id: (r.score, r.base_score) for r in rows})
+    for doc_id, scores in found[0].items():
+        for other in found[1:]:
+            assert other[doc_id] == pytest.approx(scores, rel=1e-3)
