@@ -110,6 +110,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[0][:n], kept[1][:n]
 
 
+def forget_powers() -> None:
+    """Empties the table of powers, which would travel with functions sent to tasks."""
+    _POWERS.clear()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads every bit of the hashes over all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
