@@ -2,19 +2,22 @@
 
 A section may hide a row tag, so a chunk of the cut text may begin inside one. What a chunk
 does is a function of three states: it begins outside, in a comment or in CDATA, and ends in
-one of them. These functions are composed within each block of a file, in the order of its
-chunks, and then over the blocks of the file, whose number is small. So every chunk's state
+one of them. These functions are composed within each block of a file, in one pass over its
+chunks' functions in order, and then over the blocks of the file, whose number is small. So every chunk's state
 is known without reading a file in one task, and only chunks that a section cuts apart are
 brought together again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.schemas import ROW_TAG
 from ledgerleaf.sources.xml import file_name
+from ledgerleaf.workdir import staged
 
 OUTSIDE, COMMENT, CDATA = range(3)
 
@@ -23,6 +26,7 @@ _OPENER = {COMMENT: "<!--", CDATA: "<![CDATA["}
 _CLOSER = {COMMENT: "-->", CDATA: "]]>"}
 # An open section reaches to the end of the text.
 _SECTION = r"<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)"
+_CLOSED = r"<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 _PLAIN = r"<(?!!--|!\[CDATA\[)[^<]*|[^<]+"
 _IDENTITY = [OUTSIDE, COMMENT, CDATA]
 
@@ -64,15 +68,10 @@ def visible(chunk: Column, state: Column | None = None) -> Column:
 def ends_in(chunk: Column, state: Column | None = None) -> Column:
     """The state in which a chunk ends that begins in ``state``."""
     text = _begun(chunk, state)
-    sections = F.regexp_extract_all(text, F.lit(f"(?s){_SECTION}"), F.lit(0))
-    last = F.try_element_at(sections, F.lit(-1))
-
-    def is_open(kind: int) -> Column:
-        least = len(_OPENER[kind]) + len(_CLOSER[kind])
-        closed = last.endswith(_CLOSER[kind]) & (F.length(last) >= least)
-        return last.startswith(_OPENER[kind]) & ~closed
-
-    found = F.when(is_open(COMMENT), COMMENT).when(is_open(CDATA), CDATA).otherwise(OUTSIDE)
+    # Of what closed sections leave, the first opener is that of the open one.
+    left = F.regexp_replace(text, F.lit(f"(?s){_CLOSED}"), F.lit(" "))
+    opener = F.regexp_extract(left, "<!--|<!\\[CDATA\\[", 0)
+    found = F.array_position(F.array(F.lit(_OPENER[COMMENT]), F.lit(_OPENER[CDATA])), opener).cast("int")
     return F.when(text.contains("<!"), found).otherwise(OUTSIDE)
 
 
@@ -93,65 +92,79 @@ def placed_chunks(
     )
 
 
+_ENDS = "array<struct<state: int, lead: bigint>>"
+
+
+def _composed_maker():
+    import pyarrow as pa
+
+    def composed(batches: Iterator) -> Iterator:
+        """Of marks in order, what a block does from its begin to each of them, for each state."""
+        at, ends = None, []
+        for batch in batches:
+            found = []
+            rows = zip(*[batch.column(name).to_pylist() for name in ("file", "block", "id", "to")], strict=True)
+            for file, block, mark, to in rows:
+                if (file, block) != at:
+                    at, ends = (file, block), [(state, None) for state in range(len(to))]
+                ends = [(to[state], mark if state == 0 else lead) for state, lead in ends]
+                found.append([{"state": state, "lead": lead} for state, lead in ends])
+            kind = pa.list_(pa.struct([("state", pa.int32()), ("lead", pa.int64())]))
+            columns = [batch.column(name) for name in ("file", "block", "id")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=["file", "block", "id", "ends"])
+
+    return composed
+
+
 def hidden_spans(placed: DataFrame) -> DataFrame:
     """Chunks that belong together: id, the state in which it begins, and the first one's id.
 
     A chunk that ends in a section leads the ones after it, up to that in which all sections
-    are closed. Chunks that stand alone are left out.
+    are closed. Chunks that stand alone are left out. Marks, the chunks that may open or close
+    a section, are gone over once in the order of their block, so the work is in proportion to
+    their number, and no block's marks meet in one row.
     """
     # A chunk does nothing to the state unless it opens or closes a section.
-    chunk = F.col("chunk")
+    chunk, where = F.col("chunk"), ["file", "block"]
     signs = [chunk.contains(sign) for sign in ("<!", *_CLOSER.values())]
     to = F.array(*[ends_in(chunk, F.lit(state)) for state in _IDENTITY])
-    marks = placed.filter(signs[0] | signs[1] | signs[2]).select("file", "block", "id", to.alias("to"))
-    marks = marks.filter(F.col("to") != F.array(*[F.lit(state) for state in _IDENTITY]))
-    marked = marks.groupBy("file", "block").agg(F.sort_array(F.collect_list(F.struct("id", "to"))).alias("marks"))
-    bounds = placed.groupBy("file", "block").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    blocks = bounds.join(marked, ["file", "block"], "left").withColumn(
-        "marks", F.coalesce("marks", F.expr("cast(array() AS array<struct<id: bigint, to: array<int>>>)"))
+    marks = placed.filter(signs[0] | signs[1] | signs[2]).select(*where, "id", to.alias("to"))
+    in_order = marks.repartition(*where).sortWithinPartitions(*where, "id")
+    composed = staged(
+        in_order.mapInArrow(_composed_maker(), f"file string, block bigint, id bigint, ends {_ENDS}"), "settlement-marks"
     )
-    # ``lead`` is the first chunk of the open section; null, the one that the block began in.
-    step = (
-        "named_struct('state', m.to[a.state], 'lead', CASE WHEN a.state = 0 THEN m.id ELSE a.lead END)"
-    )
-    done = [
-        f"aggregate(marks, named_struct('state', {state}, 'lead', cast(NULL AS bigint)), (a, m) -> {step})"
-        for state in _IDENTITY
-    ]
-    composed = blocks.withColumn("ends", F.expr(f"array({', '.join(done)})"))
-    # Over the blocks of a file, one row each: the state in which each one begins.
+    nothing = ", ".join(f"named_struct('state', {state}, 'lead', cast(NULL AS bigint))" for state in _IDENTITY)
+    whole = composed.groupBy(*where).agg(F.max_by("ends", "id").alias("ends"))
+    bounds = placed.groupBy(*where).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    blocks = bounds.join(whole, where, "left").withColumn("ends", F.coalesce("ends", F.expr(f"array({nothing})")))
+    # Over the blocks of a file, one row each: the state in which each one begins, and the first
+    # chunk of the section that is open there.
     scan = (
-        "aggregate(parts, named_struct('at', cast(array() AS array<struct<block: bigint, state: int, lead: bigint>>), "
-        "'state', 0, 'lead', cast(NULL AS bigint)), (a, b) -> named_struct("
-        "'at', concat(a.at, array(named_struct('block', b.block, 'state', a.state, 'lead', a.lead))), "
+        "aggregate(parts, named_struct('at', cast(array() AS array<struct<block: bigint, state: int, lead: bigint, "
+        "low: bigint, high: bigint>>), 'state', 0, 'lead', cast(NULL AS bigint)), (a, b) -> named_struct("
+        "'at', concat(a.at, array(named_struct('block', b.block, 'state', a.state, 'lead', a.lead, "
+        "'low', b.low, 'high', b.high))), "
         "'state', b.ends[a.state].state, 'lead', coalesce(b.ends[a.state].lead, a.lead))).at"
     )
-    starts = (
-        composed.groupBy("file")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "ends"))).alias("parts"))
+    starts = staged(
+        blocks.groupBy("file")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "ends", "low", "high"))).alias("parts"))
         .select("file", F.explode(F.expr(scan)).alias("start"))
-        .select("file", "start.*")
-    )
-    # Each mark's outcome holds for the chunks up to the next mark.
-    runs = (
-        "aggregate(marks, named_struct('at', array(named_struct('after', low - 1, 'state', state, 'lead', lead)), "
-        "'state', state, 'lead', lead), (a, m) -> named_struct("
-        "'at', concat(a.at, array(named_struct('after', m.id, 'state', m.to[a.state], "
-        "'lead', CASE WHEN a.state = 0 THEN m.id ELSE a.lead END))), "
-        "'state', m.to[a.state], 'lead', CASE WHEN a.state = 0 THEN m.id ELSE a.lead END)).at"
-    )
-    spans = (
-        "filter(transform(runs, (r, i) -> named_struct('state', r.state, 'lead', r.lead, 'low', r.after + 1, "
-        "'high', coalesce(get(runs, i + 1).after, high))), s -> s.state <> 0 AND s.low <= s.high)"
+        .select("file", "start.*"),
+        "settlement-blocks",
     )
-    open_ = (
-        blocks.join(starts, ["file", "block"])
-        .withColumn("runs", F.expr(runs))
-        .select(F.explode(F.expr(spans)).alias("span"))
+    # Each mark's outcome holds for the chunks up to the next mark, that of a block's begin to the first.
+    own = F.get("ends", F.col("state"))
+    outcomes = composed.join(starts, where).select(
+        *where, "high", F.col("id").alias("after"), own["state"].alias("state"), F.coalesce(own["lead"], "lead").alias("lead")
     )
-    inner = open_.select(
-        F.explode(F.sequence("span.low", "span.high")).alias("id"), "span.state", "span.lead"
+    begins = starts.select(*where, "high", (F.col("low") - 1).alias("after"), "state", "lead")
+    until = F.lead("after").over(Window.partitionBy(*where).orderBy("after"))
+    runs = outcomes.unionByName(begins).withColumn("until", F.coalesce(until, "high"))
+    inner = runs.filter((F.col("state") != OUTSIDE) & (F.col("after") < F.col("until"))).select(
+        F.explode(F.sequence(F.col("after") + 1, "until")).alias("id"), "state", "lead"
     )
+    # The chunk before an open section's first inner one is its lead, once for each section.
     leads = inner.select(F.col("lead").alias("id"), F.lit(OUTSIDE).alias("state"), "lead").distinct()
     return inner.unionByName(leads)
 
@@ -160,13 +173,15 @@ def joined_chunks(placed: DataFrame, spans: DataFrame, row_tag: str = ROW_TAG) -
     """FILE_NAME and chunk: the text cut at the row tags that no section hides, all visible.
 
     Both frames are to be stored ones. What a comment hides is gone before chunks are brought
-    together, so only the text of one record meets in one row.
+    together, so only the text of one record meets in one row. The text meets its spans once,
+    whatever is done with the result.
     """
+    told = staged(placed.join(spans, "id", "left"), "settlement-told")
     chunk, state = F.col("chunk"), F.col("state")
-    alone = placed.join(spans, "id", "left_anti").select("FILE_NAME", visible(chunk).alias("chunk"))
+    alone = told.filter(F.col("lead").isNull()).select("FILE_NAME", visible(chunk).alias("chunk"))
     # The row tag that a CDATA section holds is part of its text.
     tag = F.when(state == CDATA, f"&lt;/{row_tag}&gt;").otherwise("")
-    parts = placed.join(spans, "id").select(
+    parts = told.filter(F.col("lead").isNotNull()).select(
         "FILE_NAME", "file", "lead", "block", "id", F.concat(tag, visible(chunk, state)).alias("text")
     )
     whole = (

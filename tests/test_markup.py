@@ -72,3 +72,19 @@ def test_short_and_null_chunks(spark):
     rows = df.select("i", visible(F.col("chunk")).alias("shown"), ends_in(F.col("chunk")).alias("end")).orderBy("i").collect()
     assert [r.shown for r in rows] == ["", None, "", "", "", "", "]&gt;", "<!", "]]>"]
     assert [r.end for r in rows] == [OUTSIDE, OUTSIDE, COMMENT, COMMENT, OUTSIDE, OUTSIDE, CDATA, OUTSIDE, OUTSIDE]
+
+
+def test_the_work_of_marks_is_in_proportion_to_them(spark, tmp_path):
+    """In one block 20,000 sections that tags cut apart, and no list of a block's marks."""
+    records = 20_000
+    (tmp_path / "many.xml").write_text("<TRN><![CDATA[a </TRN> b]]></TRN>" * records)
+    placed = staged(placed_chunks(spark, str(tmp_path)), "test-many")
+    hidden = hidden_spans(placed)
+    plan = hidden._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    spans = staged(hidden, "test-many-spans")
+    # Of each record the chunk that opens the section, and the one that closes it.
+    states = {row.state: (row["count"], row.leads) for row in spans.groupBy("state").agg(F.count("id").alias("count"), F.countDistinct("lead").alias("leads")).collect()}
+    assert states == {OUTSIDE: (records, records), CDATA: (records, records)}
+    chunks = joined_chunks(placed, spans).filter("chunk <> ''").groupBy("chunk").count().collect()
+    assert [tuple(row) for row in chunks] == [("<TRN>a &lt;/TRN&gt; b", records)]
