@@ -29,6 +29,7 @@ def read_jdbc_table(
     partitions: int = 32,
     conditions: list[str] | None = None,
     tie_column: str | None = None,
+    deal: str | None = None,
 ) -> DataFrame:
     """A table; with ``split_column`` (number, date or timestamp) in parallel ranges.
 
@@ -36,10 +37,11 @@ def read_jdbc_table(
     Rows where it is null fall into the first range, so none are lost. For a column
     whose values crowd in one range, a ``tie_column`` whose values are unique, such as the
     primary key, gives parts of equal numbers of rows instead, whatever the split column
-    repeats. ``conditions`` gives the parts as SQL conditions; every row must meet exactly one.
+    repeats; a tie that is not a whole number needs ``deal`` (see ``split_points_sql``).
+    ``conditions`` gives the parts as SQL conditions; every row must meet exactly one.
     """
     if split_column and tie_column:
-        points_sql = split_points_sql(table, split_column, tie_column, partitions)
+        points_sql = split_points_sql(table, split_column, tie_column, partitions, deal)
         points = read_jdbc_query(spark, url, points_sql, properties).collect()
         conditions = split_conditions(points, split_column, tie_column)
     if conditions:
@@ -61,18 +63,77 @@ def read_jdbc_table(
     )
 
 
-def split_points_sql(table: str, column: str, tie: str, parts: int) -> str:
-    """The first row of each of ``parts`` parts of equal size, as SQL text that any database runs.
+# Rows are dealt into so many groups, and of each group's order every so many-th row is a pivot.
+_GROUPS = 256
+_EVERY = 512
 
-    Rows are in the order of the column, null first, and then of ``tie``.
+
+def _in_order(key: str, tie: str) -> str:
+    return f"CASE WHEN {key} IS NULL THEN 0 ELSE 1 END, {key}, {tie}"
+
+
+def _not_after(key: str, tie: str, low_key: str, low_tie: str) -> str:
+    """1 where a row stands at another one or before it, else 0."""
+    return (
+        f"CASE WHEN ({key} IS NULL AND ({low_key} IS NOT NULL OR {tie} <= {low_tie})) "
+        f"OR {key} < {low_key} OR ({key} = {low_key} AND {tie} <= {low_tie}) THEN 1 ELSE 0 END"
+    )
+
+
+def _pivots_sql(table: str, column: str, tie: str, deal: str, every: int) -> str:
+    """Every ``every``-th row of each group in its order, as K and T, with its place C among all of these."""
+    numbered = (
+        f"SELECT {column} AS K, {tie} AS T, ROW_NUMBER() OVER (PARTITION BY {deal} "
+        f"ORDER BY {_in_order(column, tie)}) AS I FROM {table}"
+    )
+    return (
+        f"SELECT K, T, ROW_NUMBER() OVER (ORDER BY {_in_order('K', 'T')}) AS C "
+        f"FROM ({numbered}) D WHERE MOD(I, {every}) = 0"
+    )
+
+
+def split_points_sql(
+    table: str, column: str, tie: str, parts: int, deal: str | None = None, every: int = _EVERY
+) -> str:
+    """The first row of each of ``parts`` parts of equal size, as SQL text that a database runs.
+
+    Rows are in the order of the column, null first, and then of ``tie``; parts are those of
+    ``NTILE``, without a sort of the whole table in one place. Rows are dealt into groups by
+    ``deal``, an expression that is not null; the tie's remainder by default, which has to be a
+    whole number then. Each group is put in order for itself. Its every ``every``-th row is a
+    pivot, and a pivot's place in the table is known from that among the pivots up to ``every``
+    rows a group. So two pivots enclose each point closely; the rows up to the first one are
+    counted, and those between are put in order.
     """
-    order = f"CASE WHEN {column} IS NULL THEN 0 ELSE 1 END, {column}, {tie}"
-    dealt = f"SELECT {column} AS K, {tie} AS T, NTILE({parts}) OVER (ORDER BY {order}) AS N FROM {table}"
-    ranked = (
-        "SELECT K, T, N, ROW_NUMBER() OVER (PARTITION BY N ORDER BY "
-        f"CASE WHEN K IS NULL THEN 0 ELSE 1 END, K, T) AS R FROM ({dealt}) D"
+    deal = deal or f"MOD({tie}, {_GROUPS})"
+    place = (
+        f"(J - 1) * FLOOR((N - MOD(N, {parts})) / {parts}) "
+        f"+ CASE WHEN J - 1 < MOD(N, {parts}) THEN J - 1 ELSE MOD(N, {parts}) END + 1"
+    )
+    numbers = " UNION ALL ".join(f"SELECT {number} AS J" for number in range(1, parts + 1))
+    sizes = f"SELECT COUNT(*) AS N, COUNT(DISTINCT {deal}) AS G FROM {table}"
+    goals = f"SELECT J, G, {place} AS R FROM ({numbers}) U CROSS JOIN ({sizes}) A WHERE J <= N"
+    # The pivot in place C is the table's row C * every at least, and (every - 1) * G rows later at most.
+    ranges = (
+        f"SELECT J, R, FLOOR((R - 1 - {every - 1} * G) / {every}) AS LO, "
+        f"FLOOR((R + {every - 1}) / {every}) AS HI FROM ({goals}) V"
+    )
+    bounds = (
+        "SELECT W.J, W.R, L.K AS LK, L.T AS LT, H.K AS HK, H.T AS HT FROM "
+        f"({ranges}) W LEFT JOIN PIVOTS L ON L.C = W.LO LEFT JOIN PIVOTS H ON H.C = W.HI"
+    )
+    low = _not_after("S.K", "S.T", "B.LK", "B.LT")
+    high = _not_after("S.K", "S.T", "B.HK", "B.HT")
+    rows = f"(SELECT {column} AS K, {tie} AS T FROM {table}) S CROSS JOIN BOUNDS B"
+    ahead = f"SELECT B.J, SUM(CASE WHEN B.LT IS NULL THEN 0 ELSE {low} END) AS N FROM {rows} GROUP BY B.J"
+    between = (
+        f"SELECT B.J, B.R, S.K, S.T, ROW_NUMBER() OVER (PARTITION BY B.J ORDER BY {_in_order('S.K', 'S.T')}) AS I "
+        f"FROM {rows} WHERE (B.LT IS NULL OR {low} = 0) AND (B.HT IS NULL OR {high} = 1)"
+    )
+    return (
+        f"WITH PIVOTS AS ({_pivots_sql(table, column, tie, deal, every)}), BOUNDS AS ({bounds}) "
+        f"SELECT M.J AS N, M.K, M.T FROM ({between}) M JOIN ({ahead}) E ON E.J = M.J WHERE M.I = M.R - E.N"
     )
-    return f"SELECT N, K, T FROM ({ranked}) E WHERE R = 1"
 
 
 def _literal(value: object) -> str:

@@ -1,5 +1,6 @@
 """Files of several headers, faults told apart, and parts of a database table."""
 
+import re
 from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from ledgerleaf.operators import reconcile_content, row_prints
 from ledgerleaf.sources import csv_headers, read_csv_files, split_conditions, split_points_sql
 from ledgerleaf.sources.faults import faulty_paths, is_file_fault, without_faulty
+from ledgerleaf.sources.jdbc import _pivots_sql
 
 SCHEMA = T.StructType().add("id", "integer").add("name", "string")
 
@@ -126,6 +128,33 @@ def test_parts_are_of_equal_size_and_a_row_is_in_one(spark, kind, parts):
     assert {len(one) for one in held} <= {300 // parts, -(-300 // parts)}
 
 
+@pytest.mark.parametrize("kind", KEYS)
+def test_points_between_pivots_are_those_of_one_sort(spark, kind):
+    """Few rows a group and a pivot, so that the points lie between pivots of all groups."""
+    types = {"text": "string", "day": "date", "moment": "timestamp_ntz", "decimal": "decimal(9,2)"}
+    rows = [(KEYS[kind](i), i - 400) for i in range(1_103)]
+    spark.createDataFrame(rows, f"k {types.get(kind, 'int')}, id int").createOrReplaceTempView("pivot_test")
+    order = "CASE WHEN k IS NULL THEN 0 ELSE 1 END, k, id"
+    dealt = spark.sql(f"SELECT k, id, ntile(9) OVER (ORDER BY {order}) AS n FROM pivot_test").collect()
+    first = {}
+    for row in sorted(dealt, key=lambda row: (row.n, row.k is not None, row.k if row.k is not None else 0, row.id)):
+        first.setdefault(row.n, (row.n, row.k, row.id))
+    text = split_points_sql("pivot_test", "k", "id", 9, deal="MOD(id, 3)", every=4)
+    assert sorted(tuple(row) for row in spark.sql(text).collect()) == [first[n] for n in range(1, 10)]
+
+
+def test_no_window_holds_the_whole_table(spark):
+    """The windows over all groups see pivots only, one in ``every`` rows."""
+    spark.range(40_000).selectExpr("id % 7 AS k", "id").createOrReplaceTempView("wide_test")
+    text = split_points_sql("wide_test", "k", "id", 8)
+    alone = re.findall(r"(\w+\([^()]*\)) OVER \(ORDER", text)
+    assert alone == ["ROW_NUMBER()"] and "NTILE" not in text
+    assert spark.sql(_pivots_sql("wide_test", "k", "id", "MOD(id, 4)", 512)).count() == 4 * (10_000 // 512)
+    points = spark.sql(split_points_sql("wide_test", "k", "id", 8, deal="MOD(id, 4)")).collect()
+    met = spark.table("wide_test").selectExpr(*[f"{c} AS c" for c in split_conditions(points, "k", "id")][:1])
+    assert len(points) == 8 and met.filter("c").count() == 5_000
+
+
 def test_points_of_any_position_are_enough():
     points = [Row(2, 5, 30), Row(1, None, 1)]
     assert split_conditions(points, "k", "id") == [
