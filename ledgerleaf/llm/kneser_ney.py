@@ -2,10 +2,16 @@
 
 The model has word n-grams of up to three words. Its counts, continuation counts, context sums
 and lower orders meet in joins that are sharded by the n-gram or its context, and end in one
-probability for each n-gram seen and one weight for each context seen. It is fitted on at most
-``TRAIN_DOCS`` trusted documents of 1 to ``TRAIN_WORDS`` words, ``TRAIN_TOTAL`` together, so it has
-a bound and goes to every task; documents are scored whole and are not shuffled. They are those of the smallest hashes, one
-of each language in turn, so that a rare language has its place.
+probability for each n-gram seen and one weight for each context seen. It is fitted on all trusted
+documents that are not held out, so it has no bound and stays a table. To be scored, documents are
+cut into blocks of some megabytes. Each block asks for its different n-grams, these are joined with
+the model, and block and answers meet in one task. Entries that make up more than one in
+``FREQUENT`` of the fitted words, so fewer than that many of a kind, go to every task and are not
+asked for.
+
+A caller can set the bounds ``TRAIN_DOCS``, ``TRAIN_WORDS`` and ``TRAIN_TOTAL``, which are none here.
+Then the documents of the smallest hashes are fitted on, one of each language in turn, and the
+model goes to every task whole.
 
 A document is kept unless its perplexity is above its language's cutoff: the ``QUANTILE`` of the
 trusted documents of that language that are not for fitting, times ``MARGIN``. A language with
@@ -17,11 +23,13 @@ without a language take that of all languages where they have no own. A short te
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +37,14 @@ from ledgerleaf.llm.tables import stored
 from ledgerleaf.llm.words import Words, forget_powers, plain_texts, slices, span_hashes
 from ledgerleaf.workdir import work_dir
 
-TRAIN_DOCS = 2_000
-TRAIN_WORDS = 20_000
-# Words of the documents for fitting together, which bounds the model and what fitting moves.
-TRAIN_TOTAL = 4_000_000
+# Documents for fitting, and words of one and of all of them: every one, unless a caller sets a bound.
+TRAIN_DOCS = math.inf
+TRAIN_WORDS = math.inf
+TRAIN_TOTAL = math.inf
+# Entries of the model with a greater share of the fitted words than one in this many go to every task.
+FREQUENT = 1 << 20
+# Text of the documents that ask the model together.
+BLOCK_BYTES = 8 << 20
 # Of the trusted documents one in this many is kept for the quantiles.
 HELD_OUT = 4
 QUANTILE = 0.99
@@ -109,8 +121,11 @@ def _taken(d: list[float]) -> Column:
     return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def fit(trusted: DataFrame) -> dict[str, np.ndarray] | None:
-    """The model of a bounded table of texts, as sorted arrays; None without any word."""
+def tables(trusted: DataFrame) -> tuple[float, int, dict[str, DataFrame]] | None:
+    """The model of a table of texts as tables, with an unknown word's probability and the words' number.
+
+    Each has the words of its n-grams, ``value`` and ``n``, how often it was counted. None without any word.
+    """
     ngrams = trusted.select("text").mapInArrow(_ngrams, "u long, v long, w long")
     three = stored(_counted(ngrams, ["u", "v"]), "trigrams")
     # Lower orders count the different words before an n-gram.
@@ -125,32 +140,82 @@ def fit(trusted: DataFrame) -> dict[str, np.ndarray] | None:
     if not total["kinds"]:
         return None
     rest = sum(d * total[f"k{i}"] for i, d in enumerate(d1, 1)) / total["total"] / (total["kinds"] + 1)
-    p1 = one.select("w", (_taken(d1) / F.lit(total["total"]) + F.lit(rest)).alias("p"))
+    n = F.col("n")
+    p1 = one.select("w", (_taken(d1) / F.lit(total["total"]) + F.lit(rest)).alias("p"), "n")
     p2 = stored(
-        two.join(p1, "w").select("v", "w", (_taken(d2) / F.col("total") + _weight(d2) * F.col("p")).alias("p")),
+        two.join(p1.select("w", "p"), "w").select("v", "w", (_taken(d2) / F.col("total") + _weight(d2) * F.col("p")).alias("p"), "n"),
         "bigram-model",
     )
-    p3 = three.join(p2, ["v", "w"]).select(
-        "u", "v", "w", (_taken(d3) / F.col("total") + _weight(d3) * F.col("p")).alias("p")
+    p3 = three.join(p2.select("v", "w", "p"), ["v", "w"]).select(
+        "u", "v", "w", (_taken(d3) / F.col("total") + _weight(d3) * F.col("p")).alias("p"), "n"
     )
-    after1 = two.filter("first").select("v", _weight(d2).alias("weight"))
-    after2 = three.filter("first").select("u", "v", _weight(d3).alias("weight"))
+    after1 = two.filter("first").select("v", _weight(d2).alias("p"), F.col("total").alias("n"))
+    after2 = three.filter("first").select("u", "v", _weight(d3).alias("p"), F.col("total").alias("n"))
+    parts = {"p1": p1, "p2": p2, "p3": p3, "b2": after1, "b3": after2}
+    words = three.agg(F.sum(n)).first()[0]
+    return rest, words, {name: part.withColumnRenamed("p", "value") for name, part in parts.items()}
+
+
+# The words of each kind of entry.
+_KINDS = {"p1": ["w"], "p2": ["v", "w"], "p3": ["u", "v", "w"], "b2": ["v"], "b3": ["u", "v"]}
+
+
+def fit(trusted: DataFrame) -> dict[str, np.ndarray] | None:
+    """The model of a bounded table of texts, as sorted arrays; None without any word."""
+    found = tables(trusted)
+    if found is None:
+        return None
+    rest, _, parts = found
     model = {"rest": np.array([np.log(rest)], np.float32)}
-    parts = {
-        "p1": (p1, ["w"], "p"), "p2": (p2, ["v", "w"], "p"), "p3": (p3, ["u", "v", "w"], "p"),
-        "b2": (after1, ["v"], "weight"), "b3": (after2, ["u", "v"], "weight"),
-    }
-    for name, (table, keys, value) in parts.items():
-        rows = table.select(*keys, value).toArrow()
-        hashes = [np.asarray(rows.column(k)).astype(np.int64).view(np.uint64) for k in keys]
-        key = _joined(*hashes)
-        order = np.argsort(key)
-        model[f"{name}_key"] = key[order]
-        model[name] = np.log(np.asarray(rows.column(value))[order]).astype(np.float32)
+    for name, part in parts.items():
+        rows = part.select(*_KINDS[name], "value").toArrow()
+        hashes = [np.asarray(rows.column(k)).astype(np.int64).view(np.uint64) for k in _KINDS[name]]
+        model |= _sorted(name, _joined(*hashes), np.log(np.asarray(rows.column("value"))))
     forget_powers()
     return model
 
 
+def _sorted(name: str, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+    order = np.argsort(key)
+    return {f"{name}_key": key[order], name: value[order].astype(np.float32)}
+
+
+def _keyed(columns: list[str], kind: int) -> Callable:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.asarray(batch.column(k)).astype(np.int64).view(np.uint64) for k in columns]
+            key = _joined(*hashes) if batch.num_rows else np.zeros(0, np.uint64)
+            value = np.log(np.asarray(batch.column("value"))).astype(np.float32)
+            kinds = pa.array(np.full(batch.num_rows, kind, np.int32))
+            arrays = [kinds, pa.array(key.view(np.int64)), pa.array(value), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "value", "n"])
+
+    return keyed
+
+
+def entries(parts: dict[str, DataFrame]) -> DataFrame:
+    """All entries of a model's tables: kind, key, value (a natural logarithm) and n."""
+    united = None
+    for kind, (name, columns) in enumerate(_KINDS.items()):
+        rows = parts[name].select(*columns, F.col("value").cast("double"), F.col("n").cast("long"))
+        rows = rows.mapInArrow(_keyed(columns, kind), "kind int, key long, value float, n long")
+        united = rows if united is None else united.unionByName(rows)
+    return stored(united, "model")
+
+
+def _arrays(kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+    """Entries as the sorted arrays in which they are looked up."""
+    found = {}
+    for number, name in enumerate(_KINDS):
+        own = kind == number
+        found |= _sorted(name, key[own].view(np.uint64), value[own])
+    return found
+
+
+def _of_table(rows: pa.Table) -> dict[str, np.ndarray]:
+    return _arrays(*[np.asarray(rows.column(name)) for name in ("kind", "key", "value")])
+
+
 def _joined(*words: np.ndarray) -> np.ndarray:
     """One key for the words of an n-gram."""
     if len(words) == 1:
@@ -161,7 +226,11 @@ def _joined(*words: np.ndarray) -> np.ndarray:
 
 
 def _look(model: dict[str, np.ndarray], name: str, keys: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the keys, and which are in the model."""
+    """Values of the keys, and which are in the model, or in the one that it adds to."""
+    if "base" in model:
+        value, hit = _look({k: a for k, a in model.items() if k != "base"}, name, keys, default)
+        more, also = _look(model["base"], name, keys, default)
+        return np.where(hit, value, more), hit | also
     known = model[f"{name}_key"]
     if not len(known):
         return np.full(len(keys), default, np.float32), np.zeros(len(keys), bool)
@@ -243,6 +312,78 @@ def scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     )
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and block: stored rows, of which consecutive ones share a block."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            text = plain_texts(batch.column("text"))
+            for a, b in slices(text, BLOCK_BYTES):
+                part = [batch.column(name).slice(a, b - a) for name in ("doc_id", "lang")]
+                arrays = [*part, text.slice(a, b - a), pa.array(np.full(b - a, block, np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "text", "block"])
+                block += 1
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "lang", "text")
+    return stored(rows.mapInArrow(numbered, f"doc_id {kind}, lang string, text string, block long"), "blocks")
+
+
+def _asks_maker(name: str):
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different entries that a block's words need and that tasks do not have."""
+        frequent = _read_back(name)
+        for batch in batches:
+            block, text = np.asarray(batch.column("block")), plain_texts(batch.column("text"))
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                words = Words(text.slice(a, b - a), lower=True)
+                if not len(words):
+                    continue
+                by_name = dict(zip("wvu", _contexts(words), strict=True))
+                for kind, (entry, columns) in enumerate(_KINDS.items()):
+                    key = np.unique(_joined(*[by_name[k] for k in columns]))
+                    key = key[~_look(frequent, entry, key, 0.0)[1]].view(np.int64)
+                    arrays = [np.full(len(key), block[a]), np.full(len(key), kind, np.int32), key]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["block", "kind", "key"])
+
+    return asks
+
+
+def _block_scorer(name: str):
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        model = _of_table(answers) | {"base": _read_back(name)}
+        model["rest"] = model["base"]["rest"]
+        result = pa.concat_tables(
+            pa.Table.from_batches([pa.RecordBatch.from_struct_array(s)])
+            for s in _scorer(model)(iter(rows.column("text").chunks))
+        ) if rows.num_rows else pa.table({"logp": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        return pa.table([rows.column("doc_id"), rows.column("lang"), result.column("n"), result.column("logp")], names=["doc_id", "lang", "n_words", "logp"])
+
+    return scored
+
+
+def table_scores(docs: DataFrame, model: tuple[float, int, dict[str, DataFrame]]) -> DataFrame:
+    """What ``scores`` gives, from a model of any size."""
+    rest, words, parts = model
+    held = entries(parts)
+    common = F.col("n") > F.lit(words / FREQUENT)
+    # Fewer than FREQUENT entries of a kind, whatever the corpus.
+    frequent = _of_table(held.filter(common).select("kind", "key", "value").toArrow())
+    forget_powers()
+    name = _saved(docs.sparkSession, frequent | {"rest": np.array([np.log(rest)], np.float32)})
+    blocks = _blocks(docs)
+    asked = blocks.select("block", "text").mapInArrow(_asks_maker(name), "block long, kind int, key long")
+    answers = asked.join(held.filter(~common).select("kind", "key", "value"), ["kind", "key"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = (
+        blocks.groupBy("block").cogroup(answers.groupBy("block"))
+        .applyInArrow(_block_scorer(name), f"doc_id {kind}, lang string, n_words long, logp double")
+    )
+    return rows.select("doc_id", "lang", "n_words", (-F.col("logp") / F.nullif(F.col("n_words"), F.lit(0))).alias("log_perplexity"))
+
+
 def cutoffs(trusted: DataFrame) -> DataFrame:
     """Per language the greatest log perplexity that is kept, from lang and log_perplexity."""
     step = F.floor(F.col("log_perplexity") / STEP)
@@ -271,6 +412,23 @@ def cutoffs(trusted: DataFrame) -> DataFrame:
     )
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _bounded(slim: DataFrame, n: Column, good: DataFrame) -> DataFrame:
+    """doc_id and lang of the documents for fitting within the bounds."""
+    fitting = slim.withColumn("size", n).filter((n >= 1) & (n <= TRAIN_WORDS)).join(good, "doc_id", "left_semi")
+    # Each language's smallest hashes; of the documents of one id the first is the id's language.
+    hashed = fitting.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("size").alias("size"))
+    hashed = hashed.withColumn("hash", F.xxhash64("doc_id", F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    chosen = hashed.withColumn("turn", turn).filter(F.col("turn") <= TRAIN_DOCS).orderBy("turn", "hash", "doc_id").limit(TRAIN_DOCS)
+    # A bounded list of ids; the words up to each one's end.
+    words = F.sum("size").over(Window.orderBy("turn", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    listed = chosen.select("doc_id", "lang", words.alias("words")).filter(F.col("words") <= TRAIN_TOTAL)
+    return stored(listed.select("doc_id", "lang"), "training-ids")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, lang, n_words, log_perplexity, cutoff, kept.
 
@@ -281,22 +439,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter("doc_id IS NOT NULL AND quality = 1 AND coalesce(toxic, 0) <> 1").select("doc_id").distinct()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
     slim = docs.select("doc_id", "text", "lang")
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    fitting = slim.withColumn("size", n).filter(F.col("size").between(1, TRAIN_WORDS)).join(good.filter(place > 0), "doc_id", "left_semi")
-    # Each language's smallest hashes; of the documents of one id the first is the id's language.
-    hashed = fitting.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("size").alias("size"))
-    hashed = hashed.withColumn("hash", F.xxhash64("doc_id", F.lit(1)))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    chosen = hashed.withColumn("turn", turn).filter(F.col("turn") <= TRAIN_DOCS).orderBy("turn", "hash", "doc_id").limit(TRAIN_DOCS)
-    # A bounded list of ids; the words up to each one's end.
-    words = F.sum("size").over(Window.orderBy("turn", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    listed = chosen.select("doc_id", "lang", words.alias("words")).filter(F.col("words") <= TRAIN_TOTAL)
-    picked = stored(listed.select("doc_id", "lang"), "training-ids")
-    model = fit(slim.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
+    n = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    if TRAIN_DOCS == TRAIN_TOTAL == math.inf:
+        fitting = slim.filter(F.col("text").rlike(_WORD)).join(good.filter(place > 0), "doc_id", "left_semi")
+        picked = fitting.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+        model = tables(fitting)
+    else:
+        picked = _bounded(slim, n, good.filter(place > 0))
+        model = fit(slim.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
     if model is None:
         none = F.lit(None).cast("double")
         return slim.select("doc_id", "lang", n.alias("n_words"), none.alias("log_perplexity"), none.alias("cutoff"), (n > 0).alias("kept"))
-    scored = stored(scores(slim, model), "scores")
+    scored = stored((scores if isinstance(model, dict) else table_scores)(slim, model), "scores")
     held_out = scored.join(good.filter(place == 0), "doc_id", "left_semi")
     limits = stored(cutoffs(held_out), "cutoffs")
     everywhere = limits.agg(F.max("all_cutoff").alias("all_cutoff"))

@@ -176,3 +176,35 @@ def test_whole_query_equals_the_plain_model(spark):
             assert found[i].kept == (expected[i] <= limit)
         rejected += not found[i].kept
     assert rejected > 0
+
+
+def test_fit_takes_every_trusted_document(spark):
+    """More documents than an earlier bound, long ones too; the model is not fitted on some of them."""
+    words = [f"w{i} x{i} y{i}" for i in range(2_900)]
+    rows = [(i, text, "en") for i, text in enumerate(words)] + [(5_000, "long " * 20_500 + "tail end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.log_perplexity for r in kn.op3_quality_classifier(docs, labels).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(kn.HELD_OUT)).alias("place")
+    fitted = {r.doc_id for r in docs.select("doc_id", place).filter("place > 0").collect()}
+    p = slow_model([text for i, text, _ in rows if i in fitted])
+    assert len(fitted) > 2_000
+    for i, text, _ in rows[::300] + rows[-1:]:
+        padded = ["<s>", "<s>", *text.split()]
+        expected = -sum(math.log(p(tuple(padded[at : at + 3]))) for at in range(len(padded) - 2)) / (len(padded) - 2)
+        assert out[i] == pytest.approx(expected, abs=1e-4)
+
+
+@pytest.mark.parametrize("frequent", [4, 1 << 20])
+def test_blocks_that_ask_give_the_whole_models_scores(spark, monkeypatch, frequent):
+    monkeypatch.setattr(kn, "FREQUENT", frequent)
+    monkeypatch.setattr(kn, "BLOCK_BYTES", 60)
+    texts = ["a b c a b d a b c", "b c a b", "a a a b", "", None, "x y a b c", "The The cat", " ", "zz a b zz e f g"] * 3
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
+    trusted = docs.filter("doc_id % 9 < 6").select("text")
+    plain = {r.doc_id: r for r in kn.scores(docs, kn.fit(trusted)).collect()}
+    found = {r.doc_id: r for r in kn.table_scores(docs, kn.tables(trusted)).collect()}
+    assert set(found) == set(plain)
+    for i, row in plain.items():
+        assert found[i].n_words == row.n_words
+        assert found[i].log_perplexity == (row.log_perplexity if row.log_perplexity is None else pytest.approx(row.log_perplexity, abs=1e-6))
