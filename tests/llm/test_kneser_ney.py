@@ -1,6 +1,7 @@
 """The model against plain dictionaries, held-out accuracy, and odd rows."""
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from ledgerleaf.llm import kneser_ney as kn
 from ledgerleaf.llm.words import Words
 
 SF = "/root/testdata/sf0.01"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def slow_words(text):
@@ -208,3 +210,29 @@ def test_blocks_that_ask_give_the_whole_models_scores(spark, monkeypatch, freque
     for i, row in plain.items():
         assert found[i].n_words == row.n_words
         assert found[i].log_perplexity == (row.log_perplexity if row.log_perplexity is None else pytest.approx(row.log_perplexity, abs=1e-6))
+
+
+def test_waves_leave_little_on_disk(spark, monkeypatch):
+    """Several waves and shards give the whole model's scores; what a wave shuffles or stores is gone after it."""
+    texts = [" ".join(f"w{(i * k + k * k // 3) % 997}" for k in range(1, 300)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    trusted = docs.filter("doc_id % 3 > 0").select("text")
+    plain = {r.doc_id: r for r in kn.scores(docs, kn.fit(trusted)).collect()}
+    monkeypatch.setattr(kn, "WAVE_BYTES", 40_000)
+    monkeypatch.setattr(kn, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(kn, "BLOCK_BYTES", 20_000)
+    before, made, store = spark.conf.get(CLEANUP), [], kn.stored
+    monkeypatch.setattr(kn, "stored", lambda rows, name: made.append((name, store(rows, name))) or made[-1][1])
+    model = kn.tables(trusted)
+    found = {r.doc_id: r for r in kn.table_scores(docs, model).collect()}
+    assert spark.conf.get(CLEANUP) == before
+    names = [name for name, _ in made]
+    assert names.count("word-parts") == kn.FIT_WAVES and names.count("blocks") == kn.ASK_WAVES
+    fitted = sum(len(t.split()) for i, t in enumerate(texts) if i % 3 > 0)
+    left = [os.path.getsize(f.removeprefix("file:")) for name, t in made if name in ("blocks", "word-parts") for f in t.inputFiles() if os.path.exists(f.removeprefix("file:"))]
+    folder = model["folder"].removeprefix("file:")
+    # A trigram's three hashes alone are 24 bytes.
+    assert not left and sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder)) < 14 * fitted
+    assert set(found) == set(plain)
+    for i, row in plain.items():
+        assert (found[i].n_words, found[i].log_perplexity) == (row.n_words, pytest.approx(row.log_perplexity, abs=1e-9))
