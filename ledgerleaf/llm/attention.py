@@ -124,13 +124,44 @@ def windows(places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 _CAUSAL = np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT + STRIDE)[:, None]
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and the log of their divisor, the greatest logit taken off."""
-    logits -= logits.max(axis=-1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(axis=-1, keepdims=True)
-    p /= total
-    return p, np.log(total[..., 0])
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the logits less what is taken off them, their sums, and what was taken off.
+
+    One number is taken off all rows, as a greatest one of each short row takes longer than all
+    else; should a row then come near zero, each row's greatest is taken off.
+    """
+    ones = np.ones(logits.shape[-1], logits.dtype)
+    top = logits.max(initial=-np.inf)
+    p = logits - top
+    np.exp(p, out=p)
+    total = p @ ones
+    if total.size and not total.min() > 1e-30:
+        top = logits.max(axis=-1)
+        p = np.exp(logits - top[..., None])
+        total = p @ ones
+    return p, total, top
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    p, total, _ = _exp(logits)
+    p *= (1 / total)[..., None]
+    return p
+
+
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    _, total, top = _exp(logits)
+    return np.log(total) + top
+
+
+def _inner(m: dict[str, np.ndarray], vocabulary: Vocabulary, rows: np.ndarray, last: np.ndarray, group: np.ndarray):
+    """Logits of the members of each row's class, rows in the order of classes; and each class's rows."""
+    edges = np.searchsorted(group, np.arange(CLASSES + 1))
+    inner = m["member_bias"][group]
+    inner += vocabulary.member_after[last, group]
+    parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+    for c, own in parts:
+        inner[own] += rows[own] @ m["member"][c]
+    return inner, parts
 
 
 def _attend(m: dict[str, np.ndarray], inputs: np.ndarray, there: np.ndarray):
@@ -147,7 +178,7 @@ def _attend(m: dict[str, np.ndarray], inputs: np.ndarray, there: np.ndarray):
     scores += np.where(_CAUSAL, np.float32(0), _HIDDEN)
     if not there[:, :CONTEXT].all():
         scores += np.where(there[:, None, :] | ~_CAUSAL[None], np.float32(0), np.float32(-1e4))
-    weights, _ = _softmax(scores)
+    weights = _softmax(scores)
     mixed = weights @ v
     h = ahead + (mixed.reshape(-1, WIDTH) @ m["out"]).reshape(ahead.shape)
     return x, ahead, q, k, v, weights, mixed, h
@@ -170,19 +201,14 @@ def log_probabilities(m: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.
     for a in range(0, len(ids), _ROWS):
         rows = slice(a, a + _ROWS)
         logits = h[rows] @ m["class"] + m["class_bias"] + vocabulary.class_after[last[rows]]
-        logits -= logits.max(axis=1, keepdims=True)
-        own = np.take_along_axis(logits, group[rows, None], 1)[:, 0]
-        found[rows] = own - np.log(np.exp(logits).sum(axis=1))
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        for a in range(edges[c], edges[c + 1], _ROWS):
-            rows = order[a : min(a + _ROWS, edges[c + 1])]
-            inner = h[rows] @ m["member"][c] + m["member_bias"][c] + vocabulary.member_after[last[rows], c]
-            inner -= inner.max(axis=1, keepdims=True)
-            own = np.take_along_axis(inner, member[rows, None], 1)[:, 0]
-            found[rows] += own - np.log(np.exp(inner).sum(axis=1))
-    rows = order[edges[CLASSES] :]
+        found[rows] = np.take_along_axis(logits, group[rows, None], 1)[:, 0] - _log_sums(logits)
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    heads = int(np.searchsorted(group[order], CLASSES))
+    for a in range(0, heads, _ROWS):
+        rows = order[a : min(a + _ROWS, heads)]
+        inner, _ = _inner(m, vocabulary, h[rows], last[rows], group[rows])
+        found[rows] += np.take_along_axis(inner, member[rows, None], 1)[:, 0] - _log_sums(inner)
+    rows = order[heads:]
     found[rows] += vocabulary.tail[ids[rows]]
     return found.astype(np.float64)
 
@@ -194,22 +220,25 @@ def gradients(m: dict[str, np.ndarray], vocabulary: Vocabulary, inputs, there, t
     rows, last = h[mask], inputs[:, CONTEXT:][mask]
     scale = np.float32(1 / max(1, len(rows)))
     group, member = targets // MEMBERS, targets % MEMBERS
-    p, _ = _softmax(rows @ m["class"] + m["class_bias"] + vocabulary.class_after[last])
+    p = _softmax(rows @ m["class"] + m["class_bias"] + vocabulary.class_after[last])
     p[np.arange(len(rows)), group] -= 1
     p *= scale
     g = {name: np.zeros_like(a) for name, a in m.items()}
     g["class"], g["class_bias"] = rows.T @ p, p.sum(axis=0)
     d_rows = p @ m["class"].T
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
-            p, _ = _softmax(rows[own] @ m["member"][c] + m["member_bias"][c] + vocabulary.member_after[last[own], c])
-            p[np.arange(len(own)), member[own]] -= 1
-            p *= scale
-            g["member"][c], g["member_bias"][c] = rows[own].T @ p, p.sum(axis=0)
-            d_rows[own] += p @ m["member"][c].T
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    order = order[: np.searchsorted(group[order], CLASSES)]
+    own_rows, group = rows[order], group[order]
+    inner, parts = _inner(m, vocabulary, own_rows, last[order], group)
+    p = _softmax(inner)
+    p[np.arange(len(order)), member[order]] -= 1
+    p *= scale
+    ahead_of = np.empty_like(own_rows)
+    for c, own in parts:
+        g["member"][c] = own_rows[own].T @ p[own]
+        g["member_bias"][c] = p[own].sum(axis=0)
+        ahead_of[own] = p[own] @ m["member"][c].T
+    d_rows[order] += ahead_of
     d_h = np.zeros_like(h)
     d_h[mask] = d_rows
     d_x = np.zeros_like(x)
@@ -226,7 +255,8 @@ def gradients(m: dict[str, np.ndarray], vocabulary: Vocabulary, inputs, there, t
     d_x += d_k @ m["key"].T + d_v @ m["value"].T
     d_x[:, CONTEXT:] += d_h + d_q @ m["query"].T
     g["where"] = d_x.sum(axis=0)
-    np.add.at(g["embed"], inputs.ravel(), d_x.reshape(-1, WIDTH))
+    at = inputs.ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(at.ravel(), d_x.ravel(), g["embed"].size).astype(np.float32).reshape(g["embed"].shape)
     return g
 
 

@@ -141,3 +141,24 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     for doc_id, scores in found[0].items():
         for other in found[1:]:
             assert other[doc_id] == pytest.approx(scores, rel=1e-3)
+
+
+def test_rows_of_logits_far_apart_have_their_own_probabilities():
+    """One number is taken off all rows where that is enough, each row's greatest where it is not."""
+    logits = np.array([[0, 1, 2, -1e9], [-500, -501, -502, -503], [300, 301, 299, 0]], np.float32)
+    for rows in (logits, logits[:1], logits[1:2], logits[:0]):
+        plain = rows.astype(float) - rows.max(axis=1, keepdims=True, initial=-np.inf)
+        total = np.exp(plain).sum(axis=1, keepdims=True)
+        assert attention._softmax(rows) == pytest.approx(np.exp(plain) / total, abs=1e-6)
+        assert attention._log_sums(rows) == pytest.approx(np.log(total)[:, 0] + rows.max(axis=1, initial=-np.inf), rel=1e-6)
+
+
+def test_a_step_takes_few_calls_however_many_classes(monkeypatch):
+    """Exponentials of all classes' members are taken at once, not class by class."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, attention.HEAD, 1_500)
+    vocabulary = attention.Vocabulary(np.bincount(ids, minlength=49_408), 49_407)
+    trainer, calls, plain = attention.Trainer(attention.new_parameters(), vocabulary), [], attention._softmax
+    monkeypatch.setattr(attention, "_softmax", lambda logits: calls.append(logits.shape) or plain(logits))
+    trainer.learn(ids, np.array([0, len(ids)]))
+    assert trainer.tokens == len(ids) and len(calls) == 3 * trainer.steps
