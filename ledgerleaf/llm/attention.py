@@ -19,9 +19,8 @@ CLASSES = 32
 MEMBERS = 32
 BATCH = 64
 RATE = 0.008
-# Windows, and rows of logits, that are worked on at once.
-_WINDOWS = 256
-_ROWS = 8_192
+# Windows that are scored at once.
+_WINDOWS = 128
 _HIDDEN = np.float32(-1e9)
 
 
@@ -122,20 +121,21 @@ def windows(places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _CAUSAL = np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT + STRIDE)[:, None]
+_AHEAD_ONLY = np.where(_CAUSAL, np.float32(0), _HIDDEN)
 
 
 def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exponentials of the logits less what is taken off them, their sums, and what was taken off.
 
-    One number is taken off all rows, as a greatest one of each short row takes longer than all
-    else; should a row then come near zero, each row's greatest is taken off.
+    Nothing is taken off where no sum leaves what floats hold well, as going over all logits for
+    the greatest takes longer than the sums; else each row's greatest is taken off.
     """
     ones = np.ones(logits.shape[-1], logits.dtype)
-    top = logits.max(initial=-np.inf)
-    p = logits - top
-    np.exp(p, out=p)
-    total = p @ ones
-    if total.size and not total.min() > 1e-30:
+    with np.errstate(over="ignore"):
+        p = np.exp(logits)
+        total = p @ ones
+    top = np.zeros((), logits.dtype)
+    if total.size and not (total.min() > 1e-30 and total.max() < 1e30):
         top = logits.max(axis=-1)
         p = np.exp(logits - top[..., None])
         total = p @ ones
@@ -153,35 +153,55 @@ def _log_sums(logits: np.ndarray) -> np.ndarray:
     return np.log(total) + top
 
 
-def _inner(m: dict[str, np.ndarray], vocabulary: Vocabulary, rows: np.ndarray, last: np.ndarray, group: np.ndarray):
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the targets by class, the classes in that order, and how many are not of the last class."""
+    group = targets // MEMBERS
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    group = group[order]
+    return order, group, int(np.searchsorted(group, CLASSES))
+
+
+def _class_logits(m: dict[str, np.ndarray], after: np.ndarray, rows: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Logits of the classes; ``after`` has what each place adds to those of the next."""
+    logits = rows @ m["class"]
+    logits += after.take(last, axis=0)
+    return logits
+
+
+def _inner(m: dict[str, np.ndarray], after: np.ndarray, rows: np.ndarray, last: np.ndarray, group: np.ndarray):
     """Logits of the members of each row's class, rows in the order of classes; and each class's rows."""
-    edges = np.searchsorted(group, np.arange(CLASSES + 1))
-    inner = m["member_bias"][group]
-    inner += vocabulary.member_after[last, group]
-    parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    parts = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+    inner = np.empty((len(rows), MEMBERS), rows.dtype)
+    member = m["member"]
     for c, own in parts:
-        inner[own] += rows[own] @ m["member"][c]
+        np.dot(rows[own], member[c], out=inner[own])
+    inner += after.reshape(-1, MEMBERS).take(last * CLASSES + group, axis=0)
     return inner, parts
 
 
 def _attend(m: dict[str, np.ndarray], inputs: np.ndarray, there: np.ndarray):
-    n, size = inputs.shape
-    x = m["embed"][inputs] + m["where"]
-    rows = x.reshape(-1, WIDTH)
-    k = (rows @ m["key"]).reshape(x.shape)
-    v = (rows @ m["value"]).reshape(x.shape)
+    """Inputs, their queries for keys that are the inputs themselves, weights, and what they add up to.
+
+    As query and key meet in one product, and so do value and out, each pair is one matrix here.
+    """
+    x = m["embed"].take(inputs, axis=0)
+    x += m["where"]
     ahead = np.ascontiguousarray(x[:, CONTEXT:])
-    q = (ahead.reshape(-1, WIDTH) @ m["query"]).reshape(ahead.shape)
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH**-0.5)
+    meet = (m["query"] @ m["key"].T) * np.float32(WIDTH**-0.5)
+    q = (ahead.reshape(-1, WIDTH) @ meet).reshape(ahead.shape)
+    scores = q @ x.transpose(0, 2, 1)
+    scores += _AHEAD_ONLY
+    # Tokens see none that is not there but those before the text's first, in its first window.
     # An input sees itself at least, so rows that are not there have a sum too.
-    scores += np.where(_CAUSAL, np.float32(0), _HIDDEN)
-    if not there[:, :CONTEXT].all():
-        scores += np.where(there[:, None, :] | ~_CAUSAL[None], np.float32(0), np.float32(-1e4))
+    begins = np.flatnonzero(~there[:, 0])
+    if len(begins):
+        scores[begins, :, :CONTEXT] += np.where(there[begins, None, :CONTEXT], np.float32(0), np.float32(-1e4))
     weights = _softmax(scores)
-    mixed = weights @ v
-    h = ahead + (mixed.reshape(-1, WIDTH) @ m["out"]).reshape(ahead.shape)
-    return x, ahead, q, k, v, weights, mixed, h
+    mixed = weights @ x
+    h = (mixed.reshape(-1, WIDTH) @ (m["value"] @ m["out"])).reshape(ahead.shape)
+    h += ahead
+    return x, ahead, q, weights, mixed, h
 
 
 def log_probabilities(m: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -190,73 +210,83 @@ def log_probabilities(m: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.
         return np.zeros(0)
     places = vocabulary.place[ids]
     inputs, there, first = windows(places, bounds)
-    # Few windows at once, so that what they need stays near the processor.
-    parts = [slice(a, a + _WINDOWS) for a in range(0, len(inputs), _WINDOWS)]
-    ahead = there[:, CONTEXT:]
-    h = np.concatenate([_attend(m, inputs[p], there[p])[-1][ahead[p]] for p in parts])
-    # Windows follow each other as the texts do, so the rows are in the order of the ids.
-    last = inputs[:, CONTEXT:][ahead]
-    group, member = places // MEMBERS, places % MEMBERS
-    found = np.empty(len(ids), h.dtype)
-    for a in range(0, len(ids), _ROWS):
-        rows = slice(a, a + _ROWS)
-        logits = h[rows] @ m["class"] + m["class_bias"] + vocabulary.class_after[last[rows]]
-        found[rows] = np.take_along_axis(logits, group[rows, None], 1)[:, 0] - _log_sums(logits)
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    heads = int(np.searchsorted(group[order], CLASSES))
-    for a in range(0, heads, _ROWS):
-        rows = order[a : min(a + _ROWS, heads)]
-        inner, _ = _inner(m, vocabulary, h[rows], last[rows], group[rows])
-        found[rows] += np.take_along_axis(inner, member[rows, None], 1)[:, 0] - _log_sums(inner)
-    rows = order[heads:]
-    found[rows] += vocabulary.tail[ids[rows]]
-    return found.astype(np.float64)
-
-
-def gradients(m: dict[str, np.ndarray], vocabulary: Vocabulary, inputs, there, targets) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss of the predicted tokens; ``targets`` has one for each input there."""
-    x, ahead, q, k, v, weights, mixed, h = _attend(m, inputs, there)
-    mask = there[:, CONTEXT:]
-    rows, last = h[mask], inputs[:, CONTEXT:][mask]
-    scale = np.float32(1 / max(1, len(rows)))
-    group, member = targets // MEMBERS, targets % MEMBERS
-    p = _softmax(rows @ m["class"] + m["class_bias"] + vocabulary.class_after[last])
-    p[np.arange(len(rows)), group] -= 1
+    class_after, member_after = vocabulary.class_after + m["class_bias"], vocabulary.member_after + m["member_bias"]
+    found = np.empty(len(ids))
+    # Few windows at once, so that what they need stays near the processor. They follow each
+    # other as the texts do, so their rows are in the order of the ids.
+    for a in range(0, len(inputs), _WINDOWS):
+        part = slice(a, a + _WINDOWS)
+        at = np.flatnonzero(there[part, CONTEXT:])
+        own = slice(first[a], first[a] + len(at))
+        order, group, heads = _by_class(places[own])
+        at, target = at[order], places[own][order]
+        rows = _attend(m, inputs[part], there[part])[-1].reshape(-1, WIDTH).take(at, axis=0)
+        last = inputs[part, CONTEXT:].ravel().take(at)
+        logits = _class_logits(m, class_after, rows, last)
+        log = logits.ravel().take(np.arange(0, logits.size, CLASSES + 1) + group) - _log_sums(logits)
+        inner, _ = _inner(m, member_after, rows[:heads], last[:heads], group[:heads])
+        member = np.arange(0, inner.size, MEMBERS) + target[:heads] % MEMBERS
+        log[:heads] += inner.ravel().take(member) - _log_sums(inner)
+        log[heads:] += vocabulary.tail[ids[own][order[heads:]]]
+        found[own][order] = log
+    return found
+
+
+def gradients(m: dict[str, np.ndarray], vocabulary: Vocabulary, inputs, there, targets, g=None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss of the predicted tokens; ``targets`` has one for each input there.
+
+    They are written into the arrays of ``g``, if given.
+    """
+    g = g or {name: np.empty_like(a) for name, a in m.items()}
+    x, ahead, q, weights, mixed, h = _attend(m, inputs, there)
+    order, group, heads = _by_class(targets)
+    at = np.flatnonzero(there[:, CONTEXT:])[order]
+    rows, last = h.reshape(-1, WIDTH).take(at, axis=0), inputs[:, CONTEXT:].ravel().take(at)
+    scale = h.dtype.type(1 / max(1, len(rows)))
+    p = _softmax(_class_logits(m, vocabulary.class_after + m["class_bias"], rows, last))
+    p.ravel()[np.arange(0, p.size, CLASSES + 1) + group] -= 1
     p *= scale
-    g = {name: np.zeros_like(a) for name, a in m.items()}
-    g["class"], g["class_bias"] = rows.T @ p, p.sum(axis=0)
+    np.matmul(rows.T, p, out=g["class"])
+    np.matmul(np.ones(len(p), p.dtype), p, out=g["class_bias"])
     d_rows = p @ m["class"].T
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    order = order[: np.searchsorted(group[order], CLASSES)]
-    own_rows, group = rows[order], group[order]
-    inner, parts = _inner(m, vocabulary, own_rows, last[order], group)
+    inner, parts = _inner(m, vocabulary.member_after, rows[:heads], last[:heads], group[:heads])
+    inner += m["member_bias"].take(group[:heads], axis=0)
     p = _softmax(inner)
-    p[np.arange(len(order)), member[order]] -= 1
+    p.ravel()[np.arange(0, p.size, MEMBERS) + targets[order[:heads]] % MEMBERS] -= 1
     p *= scale
-    ahead_of = np.empty_like(own_rows)
-    for c, own in parts:
-        g["member"][c] = own_rows[own].T @ p[own]
-        g["member_bias"][c] = p[own].sum(axis=0)
-        ahead_of[own] = p[own] @ m["member"][c].T
-    d_rows[order] += ahead_of
-    d_h = np.zeros_like(h)
-    d_h[mask] = d_rows
-    d_x = np.zeros_like(x)
-    d_flat = d_h.reshape(-1, WIDTH)
-    g["out"] = mixed.reshape(-1, WIDTH).T @ d_flat
-    d_mixed = (d_flat @ m["out"].T).reshape(h.shape)
-    d_weights = d_mixed @ v.transpose(0, 2, 1)
-    d_v = weights.transpose(0, 2, 1) @ d_mixed
-    d_scores = weights * (d_weights - (d_weights * weights).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
-    g["query"] = ahead.reshape(-1, WIDTH).T @ d_q.reshape(-1, WIDTH)
-    flat_x = x.reshape(-1, WIDTH)
-    g["key"], g["value"] = flat_x.T @ d_k.reshape(-1, WIDTH), flat_x.T @ d_v.reshape(-1, WIDTH)
-    d_x += d_k @ m["key"].T + d_v @ m["value"].T
-    d_x[:, CONTEXT:] += d_h + d_q @ m["query"].T
-    g["where"] = d_x.sum(axis=0)
-    at = inputs.ravel()[:, None] * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.bincount(at.ravel(), d_x.ravel(), g["embed"].size).astype(np.float32).reshape(g["embed"].shape)
+    g["member"][:] = 0
+    g["member_bias"][:] = 0
+    if parts:
+        member, d_member, ahead_of = m["member"], g["member"], np.empty_like(rows[:heads])
+        for c, own in parts:
+            np.dot(rows[own].T, p[own], out=d_member[c])
+            np.dot(p[own], member[c].T, out=ahead_of[own])
+        g["member_bias"][[c for c, _ in parts]] = np.add.reduceat(p, [own.start for _, own in parts], axis=0)
+        d_rows[:heads] += ahead_of
+    d_flat = np.zeros_like(h).reshape(-1, WIDTH)
+    d_flat[at] = d_rows
+    # Of the product of value and out, and of that of query and key, come those of each.
+    d_product = mixed.reshape(-1, WIDTH).T @ d_flat
+    np.matmul(d_product, m["out"].T, out=g["value"])
+    np.matmul(m["value"].T, d_product, out=g["out"])
+    d_mixed = (d_flat @ (m["value"] @ m["out"]).T).reshape(h.shape)
+    d_scores = d_mixed @ x.transpose(0, 2, 1)
+    # What the weights' own sum takes off is the same sum over what they mix.
+    d_scores -= np.einsum("nsd,nsd->ns", d_mixed, mixed)[..., None]
+    d_scores *= weights
+    d_q = (d_scores @ x).reshape(-1, WIDTH)
+    root = np.float32(WIDTH**-0.5)
+    d_product = (ahead.reshape(-1, WIDTH).T @ d_q) * root
+    np.matmul(d_product, m["key"], out=g["query"])
+    np.matmul(d_product.T, m["query"], out=g["key"])
+    d_x = weights.transpose(0, 2, 1) @ d_mixed
+    d_x += d_scores.transpose(0, 2, 1) @ q
+    d_ahead = d_q @ (m["key"] @ m["query"].T * root)
+    d_ahead += d_flat
+    d_x[:, CONTEXT:] += d_ahead.reshape(h.shape)
+    np.sum(d_x, axis=0, out=g["where"])
+    sums = np.bincount((inputs.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel(), d_x.ravel(), g["embed"].size)
+    g["embed"][:] = sums.reshape(g["embed"].shape)
     return g
 
 
@@ -264,9 +294,11 @@ class Trainer:
     """Adam steps over batches of windows."""
 
     def __init__(self, parameters: dict[str, np.ndarray], vocabulary: Vocabulary):
-        self.m, self.vocabulary = {k: a.copy() for k, a in parameters.items()}, vocabulary
-        self.first = {k: np.zeros_like(a) for k, a in parameters.items()}
-        self.second = {k: np.zeros_like(a) for k, a in parameters.items()}
+        # All parameters lie in one array, and so do their gradients.
+        self.all, self.vocabulary = flat(parameters), vocabulary
+        self.first, self.second, self.change = (np.zeros_like(self.all) for _ in range(3))
+        self.gradient = np.zeros_like(self.all)
+        self.m, self.g = unflat(self.all, parameters), unflat(self.gradient, parameters)
         self.steps = 0
         self.tokens = 0
 
@@ -277,13 +309,23 @@ class Trainer:
         for a in range(0, len(order), BATCH):
             part = np.sort(order[a : a + BATCH])
             at = (first[part, None] + np.arange(STRIDE))[there[part, CONTEXT:]]
-            self._step(gradients(self.m, self.vocabulary, inputs[part], there[part], places[at]))
+            gradients(self.m, self.vocabulary, inputs[part], there[part], places[at], self.g)
+            self._step()
             self.tokens += len(at)
 
-    def _step(self, g: dict[str, np.ndarray]) -> None:
+    def _step(self) -> None:
         self.steps += 1
         rate = RATE * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k, a in self.m.items():
-            self.first[k] += np.float32(0.1) * (g[k] - self.first[k])
-            self.second[k] += np.float32(0.01) * (g[k] ** 2 - self.second[k])
-            a -= np.float32(rate) * self.first[k] / (np.sqrt(self.second[k]) + np.float32(1e-6))
+        g, change = self.gradient, self.change
+        g *= np.float32(0.1)
+        self.first *= np.float32(0.9)
+        self.first += g
+        # A hundredth of the gradient's square.
+        g *= g
+        self.second *= np.float32(0.99)
+        self.second += g
+        np.sqrt(self.second, out=change)
+        change += np.float32(1e-6)
+        np.divide(self.first, change, out=change)
+        change *= np.float32(rate)
+        self.all -= change

@@ -1,9 +1,9 @@
 """Log probabilities of whole texts under a self-attention model of subword ids.
 
 The corpus gives three things, all from the documents that are not held out: the count of every
-word, from which the base score and the subword counts follow (each different word is split
-once); the model's vocabulary; and the model itself. Every task trains on all the texts it has,
-once, and the tasks' models are averaged, weighted by their tokens, in groups of ``TOGETHER``
+word, from which the base score follows; the model's vocabulary; and the model itself. Every
+text is split into ids once, and its ids are stored: what counts them, trains on them and scores
+them reads them there. Every task trains on all the texts it has, once, and the tasks' models are averaged, weighted by their tokens, in groups of ``TOGETHER``
 until few are left. The model has a fixed size, so tasks get it whole. Words are looked up in two ways: those
 that make up more than one in ``FREQUENT`` tokens, so fewer than that many, go to every task; the
 others of a document are joined to the counts.
@@ -66,24 +66,56 @@ def word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def subword_counts(counts: DataFrame, path: str) -> np.ndarray:
-    """The count of every id of the tokenizer in the training texts, from the word counts."""
+def _id_type(path: str) -> type:
+    """The smallest type that holds all ids of the tokenizer."""
+    return np.uint16 if WordTokenizer(path).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+
+
+def _packed(ids: np.ndarray, bounds: np.ndarray, kind: type) -> pa.Array:
+    """Each text's ids as bytes."""
+    data = np.ascontiguousarray(ids.astype(kind))
+    offsets = (bounds * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids in a row, and the bounds of each text in it."""
+    if not len(packed):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :][: len(packed) + 1]
+    bounds = offsets.astype(np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(packed.buffers()[2], kind)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _split(train: DataFrame, path: str) -> DataFrame:
+    """The ids of texts (place, text) with an end after each: place, ids."""
+    kind = _id_type(path)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path, special=False)
-        sums = np.zeros(tokenizer.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
-            word = plain_texts(batch.column("word"))
-            for a, b in slices(word):
-                ids, bounds = tokenizer.encode(word.slice(a, b - a))
-                n = np.asarray(batch.column("n"))[a:b]
-                sums += np.bincount(ids, np.repeat(n, np.diff(bounds)), len(sums)).astype(np.int64)
-                sums[END] += n[np.diff(bounds) == 0].sum()
+            text = plain_texts(batch.column("text"))
+            for a, b in slices(text):
+                ids = _packed(*tokenizer.encode(text.slice(a, b - a), END), kind)
+                yield pa.RecordBatch.from_arrays([batch.column("place").slice(a, b - a), ids], names=["place", "ids"])
+
+    return train.select("place", "text").mapInArrow(split, "place long, ids binary")
+
+
+def subword_counts(split: DataFrame, path: str) -> np.ndarray:
+    """The count of every id of the tokenizer in split texts (ids)."""
+    kind, size = _id_type(path), WordTokenizer(path).tokenizer.get_vocab_size()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            ids, _ = _unpacked(batch.column("ids"), kind)
+            sums += np.bincount(ids, minlength=size)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
 
-    rows = counts.mapInArrow(split, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(WordTokenizer(path).tokenizer.get_vocab_size(), np.int64)
+    rows = split.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(size, np.int64)
     sums[np.asarray(rows.column("id"))] = np.asarray(rows.column("n"))
     return sums
 
@@ -129,14 +161,15 @@ def pair_counts(counts: DataFrame, vocabulary: attention.Vocabulary, path: str)
 
 
 def _train_maker(shared, path: str):
+    kind = _id_type(path)
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parameters, vocabulary = shared.value[0], attention.restored(shared.value[1])
-        tokenizer, trainer = WordTokenizer(path, special=False), attention.Trainer(parameters, vocabulary)
-        kept = []
+        trainer, kept = attention.Trainer(parameters, vocabulary), []
         for batch in batches:
-            text = plain_texts(batch.column("text"))
-            for a, b in slices(text):
-                part = tokenizer.encode(text.slice(a, b - a), END)
+            packed = batch.column("ids")
+            for a, b in slices(packed):
+                part = _unpacked(packed.slice(a, b - a), kind)
                 trainer.learn(*part)
                 # No more than the tokens of these steps.
                 kept = [*kept, part] if trainer.steps < LEAST_STEPS else []
@@ -167,23 +200,32 @@ def _average(table: pa.Table) -> pa.Table:
 _MODELS = "part long, tokens double, model array<float>"
 
 
-def _shards(train: DataFrame, words: int) -> DataFrame:
-    """The texts, a partition for each shard, in an order that does not depend on the input's."""
+def _place() -> Column:
+    """Where a text stands among others, wherever it lies in the input."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _shards(split: DataFrame, words: int) -> DataFrame:
+    """The ids, a partition for each shard, in an order that does not depend on the input's."""
     shards = max(1, round(words / SHARD_WORDS))
-    place = F.xxhash64("doc_id", "text")
-    dealt = train.select("text", place.alias("place"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
-    return dealt.repartitionById(shards, "shard").sortWithinPartitions("place", "text").select("text")
+    dealt = split.select("place", "ids", F.pmod("place", F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("place", "ids").select("ids")
 
 
 def fit(train: DataFrame, counts: DataFrame, path: str) -> tuple[dict[str, np.ndarray], attention.Vocabulary]:
     """Trains on every row of ``train`` (doc_id, text); as it starts, the model knows the counts."""
-    spark = train.sparkSession
-    vocabulary = attention.Vocabulary(subword_counts(counts, path), END)
+    return fit_split(stored(_split(train.withColumn("place", _place()), path), "ids"), counts, path)
+
+
+def fit_split(split: DataFrame, counts: DataFrame, path: str) -> tuple[dict[str, np.ndarray], attention.Vocabulary]:
+    """``fit`` on texts' stored ids (place, ids)."""
+    spark = split.sparkSession
+    vocabulary = attention.Vocabulary(subword_counts(split, path), END)
     vocabulary.follow(pair_counts(counts, vocabulary, path))
     parameters = attention.new_parameters()
     shared = spark.sparkContext.broadcast((parameters, vars(vocabulary)))
     words = counts.agg(F.sum("n")).first()[0] or 0
-    models = stored(_shards(train, words).mapInArrow(_train_maker(shared, path), _MODELS), "models")
+    models = stored(_shards(split, words).mapInArrow(_train_maker(shared, path), _MODELS), "models")
     while models.count() > TOGETHER:
         together = models.groupBy(F.floor(F.col("part") / TOGETHER).alias("together"))
         models = stored(together.applyInArrow(_average, _MODELS), "models")
@@ -195,24 +237,25 @@ def fit(train: DataFrame, counts: DataFrame, path: str) -> tuple[dict[str, np.nd
     return parameters, vocabulary
 
 
-def _score_maker(shared, path: str):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parameters, state, keys, logs = shared.value
-        vocabulary = attention.restored(state)
+def _base_maker(shared, path: str):
+    """Each text's ids, the sums of its frequent words, and its other words."""
+    kind = _id_type(path)
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs = shared.value
         tokenizer = WordTokenizer(path, special=False)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             text = plain_texts(batch.column("text"))
             for a, b in slices(text):
                 part = text.slice(a, b - a)
-                ids, bounds = tokenizer.encode(part, END)
-                sums = np.concatenate([[0.0], np.cumsum(attention.log_probabilities(parameters, vocabulary, ids, bounds))])
+                ids = _packed(*tokenizer.encode(part, END), kind)
                 words = Words(part, lower=True)
                 owner, hashes = words.text_of_word(), words.hashes()
                 at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
                 hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
                 known = np.bincount(owner[hit], minlength=b - a)
-                base = np.bincount(owner[hit], logs[at[hit]], b - a) if len(keys) else np.zeros(b - a)
+                sums = np.bincount(owner[hit], logs[at[hit]], b - a) if len(keys) else np.zeros(b - a)
                 # The other words of each text, each different one with its number.
                 rest = np.flatnonzero(~hit)
                 order = rest[np.lexsort((hashes[rest], owner[rest]))]
@@ -224,25 +267,45 @@ def _score_maker(shared, path: str):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + b - a)),
-                        *[batch.column(name).slice(a, b - a) for name in ("doc_id", "held_out")],
-                        pa.array(words.counts + 1), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)),
-                        pa.array((sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10)),
+                        *[batch.column(name).slice(a, b - a) for name in ("doc_id", "held_out", "place")],
+                        pa.array(words.counts + 1), pa.array(known.astype(np.int64)), pa.array(sums.astype(np.float64)),
+                        ids,
                         pa.ListArray.from_arrays(offsets, _texts_of(words, order[first])),
                         pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base_frequent", "score", "words", "numbers"],
+                    names=["row", "doc_id", "held_out", "place", "n_tokens", "n_frequent", "base_frequent", "ids", "words", "numbers"],
                 )
                 row += b - a
 
-    return score
+    return base
 
 
-_SCORED = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double, "
-    "words array<string>, numbers array<int>"
+_BASE = (
+    "row long, doc_id long, held_out boolean, place long, n_tokens long, n_frequent long, base_frequent double, "
+    "ids binary, words array<string>, numbers array<int>"
 )
 
 
+def _score_maker(shared, path: str):
+    kind = _id_type(path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parameters, vocabulary = shared.value[0], attention.restored(shared.value[1])
+        for batch in batches:
+            packed, found = batch.column("ids"), []
+            for a, b in slices(packed):
+                ids, bounds = _unpacked(packed.slice(a, b - a), kind)
+                sums = np.concatenate([[0.0], np.cumsum(attention.log_probabilities(parameters, vocabulary, ids, bounds))])
+                found.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10))
+            rest = batch.drop_columns(["ids"])
+            yield rest.append_column("score", pa.array(np.concatenate([*found, np.zeros(0)])))
+
+    return score
+
+
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double"
+
+
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -256,7 +319,6 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     counts = stored(word_counts(train), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     divisor = total + 0.1 * (kinds + 1)
-    parameters, vocabulary = fit(train, counts, path)
 
     # Fewer than FREQUENT rows, whatever the corpus.
     frequent = counts.filter(F.col("n") > F.lit(total / FREQUENT)).filter(F.col("word") != _END_WORD)
@@ -265,12 +327,16 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     keys = words.hashes() if words else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     logs = np.log10((np.asarray(known.column("n")).astype(float) + 0.1) / divisor)
-    shared = docs.sparkSession.sparkContext.broadcast((parameters, vars(vocabulary), keys[order], logs[order]))
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], logs[order]))
 
-    marked = rows.select("doc_id", (remainder() % 10 == 0).alias("held_out"), "text")
+    marked = rows.select("doc_id", (remainder() % 10 == 0).alias("held_out"), _place().alias("place"), "text")
     # Once stored, a row has its number for good.
-    scored = stored(marked.mapInArrow(_score_maker(shared, path), _SCORED), "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("words", "numbers")).alias("w"))
+    base = stored(marked.mapInArrow(_base_maker(shared, path), _BASE), "base")
+    model = fit_split(base.filter(~F.col("held_out")).select("place", "ids"), counts, path)
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], vars(model[1])))
+    named = base.select("row", "doc_id", "held_out", "n_tokens", "n_frequent", "base_frequent", "ids")
+    scored = stored(named.mapInArrow(_score_maker(shared, path), _SCORED), "scored")
+    pairs = base.select("row", F.explode(F.arrays_zip("words", "numbers")).alias("w"))
     rare = pairs.select("row", F.col("w.words").alias("word"), F.col("w.numbers").alias("k"))
     found = rare.join(counts, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(divisor))
@@ -278,7 +344,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.sum(F.col("k") * log).alias("base_rare"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare"),
     )
-    joined = scored.drop("words", "numbers").join(stored(per_text, "rare-words"), "row", "left")
+    joined = scored.join(stored(per_text, "rare-words"), "row", "left")
     ends = counts.filter(F.col("word") == _END_WORD).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     end_log = float(np.log10((ends + 0.1) / divisor))
     zero = F.lit(0)

@@ -162,3 +162,47 @@ def test_a_step_takes_few_calls_however_many_classes(monkeypatch):
     monkeypatch.setattr(attention, "_softmax", lambda logits: calls.append(logits.shape) or plain(logits))
     trainer.learn(ids, np.array([0, len(ids)]))
     assert trainer.tokens == len(ids) and len(calls) == 3 * trainer.steps
+
+
+def test_stored_ids_are_trained_on_and_scored_without_splitting_texts_again(monkeypatch):
+    """A training or scoring task never splits a text: it reads the ids that were stored."""
+    path = lm_scoring.tokenizer_path()
+    texts = ["plain words of a text", "", "other words, others still " * 40]
+    ids, bounds = lm_scoring.WordTokenizer(path, special=False).encode(pa.array(texts), lm_scoring.END)
+    packed = lm_scoring._packed(ids, bounds, lm_scoring._id_type(path))
+    for a, b in ((0, 3), (1, 3), (2, 2)):
+        found, places = lm_scoring._unpacked(packed.slice(a, b - a), np.uint16)
+        assert found.tolist() == ids[bounds[a] : bounds[b]].tolist()
+        assert places.tolist() == (bounds[a : b + 1] - bounds[a]).tolist()
+
+    def fail(*_):
+        raise AssertionError("split again")
+
+    vocabulary, m = attention.Vocabulary(np.bincount(ids, minlength=49_408), lm_scoring.END), attention.new_parameters()
+    monkeypatch.setattr(lm_scoring.WordTokenizer, "encode", fail)
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("", (), {"get": lambda: type("", (), {"partitionId": lambda: 0})}))
+    shared = type("", (), {"value": (m, vars(vocabulary))})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), packed], names=["doc_id", "ids"])
+    (model,) = lm_scoring._train_maker(shared, path)(iter([batch]))
+    trainer = attention.Trainer(m, vocabulary)
+    trainer.learn(ids, bounds)
+    assert model.column("tokens").to_pylist() == [len(ids)]
+    assert np.asarray(model.column("model")[0].values) == pytest.approx(attention.flat(trainer.m), abs=1e-6)
+    (scored,) = lm_scoring._score_maker(shared, path)(iter([batch]))
+    logs = attention.log_probabilities(m, vocabulary, ids, bounds)
+    expected = [logs[a:b].sum() / math.log(10) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert scored.column("score").to_pylist() == pytest.approx(expected)
+    assert scored.column("doc_id").to_pylist() == [1, 2, 3]
+
+
+def test_a_step_takes_no_greatest_of_its_logits(monkeypatch):
+    """Logits are gone over for their greatest only where their exponentials' sums are out of range."""
+    vocabulary, m, rng = _model(3)
+    ids = rng.integers(0, 1_400, 700)
+    inputs, there, first = attention.windows(vocabulary.place[ids], np.array([0, 300, 700]))
+    at = (first[:, None] + np.arange(attention.STRIDE))[there[:, attention.CONTEXT:]]
+    tops, plain = [], attention._exp
+    monkeypatch.setattr(attention, "_exp", lambda logits: tops.append((found := plain(logits))[2]) or found)
+    attention.gradients(m, vocabulary, inputs, there, vocabulary.place[ids][at])
+    assert len(tops) == 3 and not any(np.any(top) for top in tops)
