@@ -35,6 +35,8 @@ FREQUENT = 1 << 20
 _END_WORD = ""
 # Rows of one hand-over while words are counted.
 _COUNTED_BYTES = 2 << 20
+# Ids that are scored at once.
+_SCORED_BYTES = 1 << 17
 
 
 def remainder() -> Column:
@@ -293,7 +295,7 @@ def _score_maker(shared, path: str):
         parameters, vocabulary = shared.value[0], attention.restored(shared.value[1])
         for batch in batches:
             packed, found = batch.column("ids"), []
-            for a, b in slices(packed):
+            for a, b in slices(packed, _SCORED_BYTES):
                 ids, bounds = _unpacked(packed.slice(a, b - a), kind)
                 sums = np.concatenate([[0.0], np.cumsum(attention.log_probabilities(parameters, vocabulary, ids, bounds))])
                 found.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.log(10))
