@@ -149,5 +149,7 @@ def op7_token_counts(docs: DataFrame) -> DataFrame:
     """Per row: doc_id and n_tokens, through flat token files and a scan of them."""
     written = write_tokens(docs)
     files = written.groupBy("file").agg(F.max("written").alias("size"))
-    counted = count_tokens(files)
+    # Stored, a document takes a few bytes, which says nothing of its rows in memory: both sides are
+    # as long as the corpus, so that neither may be broadcast.
+    counted = count_tokens(files).hint("merge")
     return written.select("file", "ordinal", "doc_id").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -46,6 +46,15 @@ def test_blocks_are_stitched(spark, tmp_path, block_bytes):
     assert sorted(map(tuple, found.collect())) == sorted(expected)
 
 
+def test_documents_are_not_broadcast(spark):
+    """Stored tables are far smaller than their rows in memory, which a broadcast would hold on the driver."""
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    counted = token_counts.op7_token_counts(docs)
+    assert sorted(map(tuple, counted.collect()), key=str) == slow_counts([(i, "a few words") for i in range(100)])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_hold_whole_ids(spark):
     with pytest.raises(ValueError):
         token_counts.count_tokens(spark.createDataFrame([], "file string, size long"), block_bytes=3)
